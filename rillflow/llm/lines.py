@@ -69,15 +69,16 @@ def later_windows(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with two more columns: line_runs (array of start, lines of each maximal run that goes) and kept_text.
+    """doc_id, text, row (the whole input row), line_runs (start and lines of each maximal run that goes) and kept_text.
 
     Order is by doc_id (nulls first), then line. Null text counts as empty and stays null. Rows that repeat doc_id and
     text are one document and get the same result. Blank lines take part, but a run without words never counts. A copy
-    may overlap the one before it (a line many times over): the first window stays. Other columns pass through.
+    may overlap the one before it (a line many times over): the first window stays.
+    Other columns, whatever their names, are in row alone.
     """
-    keyed = _keyed(docs)
+    keyed = _keyed(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")))
     at = F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("at")
-    gone = later_windows(keyed, min_lines, min_words).select("_doc", at).groupBy("_doc").agg(F.collect_set("at").alias("_gone"))
+    gone = later_windows(keyed.drop("row"), min_lines, min_words).select("_doc", at).groupBy("_doc").agg(F.collect_set("at").alias("_gone"))
     met = keyed.join(gone, "_doc", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     next_ = F.transform("_gone", lambda p: p + 1)
     runs = F.zip_with(
@@ -85,4 +86,4 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     )
     lines = F.array(F.struct(F.split("text", "\n", -1).alias("a"), F.col("_gone").alias("gone")))
     kept = F.transform(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["a"]) - 1), x["gone"]), lambda i: x["a"][i]), "\n"))[0]
-    return met.select(*docs.columns, runs.alias("line_runs"), F.when(F.size("_gone") == 0, F.col("text")).otherwise(kept).alias("kept_text"))
+    return met.select("doc_id", "text", "row", runs.alias("line_runs"), F.when(F.size("_gone") == 0, F.col("text")).otherwise(kept).alias("kept_text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, packing
+from . import chat, licenses, lines, media, minhash, packing, pieces, toxicity, vectors, warc
 from .common import table
 
 
@@ -47,13 +47,66 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*
 FROM e GROUP BY doc_id"""
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.examples(turns))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    value, bias = toxicity.model(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, value, bias)
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=6)
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.describe(warc.read_archive(spark, path))
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d FROM p),
+c AS (SELECT page_id, n, d, unnest(range(32)) AS i FROM h),
+v AS (SELECT page_id, n, d, i, ('0x' || substr(d || '00', 1 + (5 * i) // 4, 2))::INT AS two FROM c),
+e AS (SELECT page_id, n, d, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((two >> (3 - (5 * i) % 4)) & 31), 1), '' ORDER BY i) AS b32
+      FROM v GROUP BY ALL),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM e)
+SELECT page_id, n AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f"""
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op6_minhash, op10_packing)}
-SQL = {"op1_line_dedup": OP1_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_chat, op3_toxicity, op4_licenses, op5_sentencepiece, op6_minhash, op7_vectors, op8_warc, op9_media, op10_packing)
+}
+SQL = {"op1_line_dedup": OP1_SQL, "op8_warc": OP8_SQL}
