@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +12,28 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder of spark.checkpoint.dir, so that later reads don't depend on executors.
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which executors and driver share.
 
     Only where the setting is missing (tests), a folder of this process is used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and written to the shared folder, so that later reads don't depend on executors or on its plan.
+
+    A table and not checkpoint(): a checkpoint keeps its plan's estimate of size, which is a product over joins and
+    grows in a loop without end, while a table has a true size for Spark to plan with. The tables stay as long as
+    results that read them; the folder is scratch space and is emptied as checkpoints are.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -50,24 +63,18 @@ def chunks(batches, column: str, most: int = CHUNK_BYTES):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: a row (id, component) for each id on an edge; component is the least id.
 
-    Least labels travel along edges and then jump to the label's own label, so the rounds grow with the logarithm
-    of the longest path in practice. Each round is joins and partial aggregation; the driver sees one count.
-    Nulls on an edge are ignored. Hot ids: sums by id combine before the shuffle, and joins on id can be split.
+    Each round, every node takes the least of itself and its neighbours, and then what that one took, and the graph is
+    contracted to what was taken. Every node but the least of its surroundings is taken in, so the nodes at least halve.
+    A round is joins and sums by node; the driver sees one count. Nulls on an edge are ignored.
     """
-    pairs = edges.select(F.col(a).alias("id"), F.col(b).alias("other")).where("id is not null and other is not null and id <> other")
-    both = cut(pairs.union(pairs.select(F.col("other"), F.col("id"))).distinct())
-    labels = cut(both.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("component")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("theirs")), "other")
-            .groupBy("id").agg(F.min("theirs").alias("theirs"))
-        )
-        lower = labels.join(near, "id").select("id", F.least("component", "theirs").alias("next"), "component")
-        jumped = lower.join(labels.select(F.col("id").alias("next"), F.col("component").alias("far")), "next").select(
-            "id", F.least("next", "far").alias("component"), F.col("component").alias("was")
-        )
-        jumped = cut(jumped)
-        moved = jumped.where("component <> was").limit(1).count()
-        labels = jumped.select("id", "component")
-        if not moved:
-            return labels
+    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
+    graph = cut(pairs.union(pairs.select(F.col("y"), F.col("x"))).distinct())
+    labels = graph.select(F.col("x").alias("id"), F.col("x").alias("component")).distinct()
+    while graph.limit(1).count():
+        took = cut(graph.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to")))
+        twice = took.select(F.col("x").alias("to"), F.col("to").alias("far"))
+        jump = cut(took.join(twice, "to").select("x", "far"))
+        labels = cut(labels.join(jump.toDF("component", "far"), "component", "left").select("id", F.coalesce("far", "component").alias("component")))
+        graph = graph.join(jump, "x").select(F.col("far").alias("fx"), "y").join(jump.toDF("y", "fy"), "y")
+        graph = cut(graph.where("fx <> fy").select(F.col("fx").alias("x"), F.col("fy").alias("y")).distinct())
+    return labels

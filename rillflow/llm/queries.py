@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, licenses, lines, media, minhash, packing, pieces, toxicity, vectors, warc
-from .common import table
+from .common import shared_folder, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.archive_path(spark)
+    path = shared_folder(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.describe(warc.read_archive(spark, path))
 

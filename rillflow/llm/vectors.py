@@ -199,7 +199,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, block: int = BLOCK)
         blocked.groupBy("label", "size", "block").agg(F.collect_list(F.struct("id", "n", "unit", "spot")).alias("p"))
         .select("label", "size", "block", F.col("p.id").alias("ids"), F.col("p.n").alias("weights"), F.col("p.unit").alias("units"), F.col("p.spot").alias("spots"))
     )  # at most `block` points each
-    ends = [F.array(*[f(F.transform("spots", lambda s, i=i: s[i])) for i in range(DIRECTIONS)]) for f in (F.array_min, F.array_max)]
+    spot = lambda i: F.transform("spots", lambda s: s[i])
+    ends = [F.array(*[f(spot(i)) for i in range(DIRECTIONS)]) for f in (F.array_min, F.array_max)]
     boxes = cut(filled.select("label", "size", "block", ends[0].alias("lo"), ends[1].alias("hi")))
     found = cut(block_links(close_blocks(boxes, eps), filled, least))
     links = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))

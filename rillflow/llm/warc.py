@@ -8,8 +8,6 @@ stay in the JVM; a digest that many records share is joined as a skewed key, whi
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,13 +96,3 @@ def describe(records: DataFrame, key: str = "bigint") -> DataFrame:
         field("WARC-Type").alias("record_type"),
         F.when(page("WARC-Refers-To") != "", page("WARC-Refers-To")).cast(key).alias("refers_to"),
     )
-
-
-def archive_path(spark: SparkSession) -> str:
-    """A new folder in the shared folder of spark.checkpoint.dir."""
-    from .common import cut
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        cut(spark.range(1))  # sets a folder where there is none
-    return f"{context.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
