@@ -101,7 +101,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> tuple[np.nd
             best = logit >= np.repeat(top, per_text)
             weight = np.where(label == 1, 0.0, 0.5 / (1 - label).sum()) * 0.5
             weight[best & (label == 1)] = 0.5 / max(1, (y[at_text] == 1).sum())
-            weight[best & (label == 0)] += 0.25 / max(1, (y[at_text] == 0).sum())
+            weight[best & (label == 0)] += 1.0 / max(1, (y[at_text] == 0).sum())
         slope = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
         each = np.bincount(bucket, np.repeat(slope / size, size), len(used))
         step = (soft[1] - soft[0])[None, :] * each[:, None]
