@@ -35,7 +35,7 @@ def test_sessions_merge_at_the_gap_and_windows_hold_their_start(spark):
     assert sorted(r.value for r in pipeline.pipeline(rows, config).collect()) == [1.0, 3.0]
     tumbling = pipeline.pipeline(rows, PipelineConfig(aggregate="sum", to_eur=False)).collect()
     assert {(r.window_start - T0).seconds for r in tumbling} == {0, 10, 30, 60}
-    assert pipeline.pipeline(rows, PipelineConfig(window="sliding", aggregate="count")).count() == 7
+    assert pipeline.pipeline(rows, PipelineConfig(window="sliding", aggregate="count")).count() == 8
     assert pipeline.pipeline(rows.limit(0), config).count() == 0
 
 
@@ -65,7 +65,7 @@ def test_quantities_rewards_and_regimes(spark):
 
 
 def test_cooldown(spark):
-    rows = [("a", i, T0 + dt.timedelta(seconds=10 * i), c) for i, c in enumerate([10, 90, 10, 10, 10, 50])]
+    rows = [("a", i, T0 + dt.timedelta(seconds=10 * i), c) for i, c in enumerate([10.0, 90.0, 10.0, 10.0, 10.0, 50.0])]
     got = decisions.regime_cooldown(spark.createDataFrame(rows, "run string, seq long, ts timestamp_ntz, cpu double"), 30).orderBy("seq").collect()
     assert [(r.seq, r.from_regime, r.to_regime) for r in got] == [(1, "FCFS", "BANDIT"), (4, "BANDIT", "FCFS")]
 
