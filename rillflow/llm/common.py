@@ -69,12 +69,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     graph = cut(pairs.union(pairs.select(F.col("y"), F.col("x"))).distinct())
-    labels = graph.select(F.col("x").alias("id"), F.col("x").alias("component")).distinct()
+    labels, jumps = graph.select(F.col("x").alias("id"), F.col("x").alias("component")), []
     while graph.limit(1).count():
-        took = cut(graph.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to")))
+        took = graph.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to"))
         twice = took.select(F.col("x").alias("to"), F.col("to").alias("far"))
-        jump = cut(took.join(twice, "to").select("x", "far"))
-        labels = cut(labels.join(jump.toDF("component", "far"), "component", "left").select("id", F.coalesce("far", "component").alias("component")))
-        graph = graph.join(jump, "x").select(F.col("far").alias("fx"), "y").join(jump.toDF("y", "fy"), "y")
+        jumps.append(cut(took.join(twice, "to").select("x", "far")))
+        graph = graph.join(jumps[-1], "x").select(F.col("far").alias("fx"), "y").join(jumps[-1].toDF("y", "fy"), "y")
         graph = cut(graph.where("fx <> fy").select(F.col("fx").alias("x"), F.col("fy").alias("y")).distinct())
-    return labels
+    for k, jump in enumerate(jumps):  # the first names every id
+        moved = labels.join(jump.toDF("component", "far"), "component", "left").select("id", F.coalesce("far", "component").alias("component"))
+        labels = moved if k else jump.toDF("id", "component")
+    return cut(labels) if jumps else labels

@@ -165,10 +165,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     links = cut(exact(cut(likely(pairs, classes, size, percent, miss)), docs, classes, words, percent))
     labels = components(links)
     more = cut(crossing(buckets.drop("leader"), classes, labels, size, bands, percent, miss))
-    if more.limit(1).count():
-        links = links.union(exact(more, docs, classes, words, percent))
-        labels = components(links)
     named = classes.select("class", "first_id").join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    if more.limit(1).count():  # links between components: a graph of components alone
+        of = named.select("class", "component")
+        between = exact(more, docs, classes, words, percent).join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
+        whole = components(between, "ca", "cb").toDF("component", "whole")
+        named = named.join(whole, "component", "left").select("class", "first_id", F.coalesce("whole", "component").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of = named.join(least, "component").select("class", "component_id")
     out = every.select("doc_id", "n_shingles", "class").join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
