@@ -7,7 +7,8 @@
    Beta(m + 1, n - m + 1) posterior; the pair is dropped once its chance of reaching the bound is below `miss`.
 4. Survivors are verified on their full sets, which are made again from the texts of candidates alone.
 5. Links give components. Buckets that still hold several components are compared in full across components, in square
-   blocks, under 3 and 4; so no pair that shares a band is left out, and pairs inside a component cost nothing.
+   blocks, under 3 and 4; so no pair that shares a band is left out, and pairs inside a component cost nothing. Sets
+   travel with the members there, and a block returns the links that join its components, never its pairs.
 
 At 0.85 a pair shares none of 24 bands of 6 with a chance of 1.2e-5; at 0.8 (5 words), none of 30 bands of 5 with 6e-6.
 """
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import chunks, components, cut
 from .shingles import MinHash, mix, set_key, shingle_sets
 
-BATCH, MISS, BLOCK = 24, 1e-7, 512
+BATCH, MISS = 24, 1e-7
+#: Members of a block, and shingles in it: beyond either, a bucket is cut into more blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
 
 def fewest_equal(size: int, batch: int, percent: int, miss: float) -> list[tuple[int, int]]:
@@ -99,21 +102,27 @@ def likely(pairs: DataFrame, sigs: DataFrame, size: int, percent: int, miss: flo
     return met.mapInArrow(run, "a binary, b binary")
 
 
-def exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union. Sets are made from one text of each class asked for."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """class and shingles of the classes in wanted, made from one text of each."""
     ids = classes.join(wanted, "class").select(F.col("class").alias("_class"), F.col("first_id").alias("_first"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_first"))).select("doc_id", "text")
-    sets = cut(signatures(texts, words, 0, 0, sets=True).groupBy("class").agg(F.any_value("shingles").alias("shingles")))
+    return cut(signatures(texts, words, 0, 0, sets=True).groupBy("class").agg(F.any_value("shingles").alias("shingles")))
+
+
+def exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union."""
+    sets = full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), docs, classes, words)
     met = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     both = F.size(F.array_intersect("xa", "xb"))
     return met.where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
 
-def crossing(buckets: DataFrame, sigs: DataFrame, labels: DataFrame, size: int, bands: int, percent: int, miss: float) -> DataFrame:
-    """Likely pairs between different components of a bucket. Each pair is met in its first common band only.
+def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFrame, words: int, size: int, bands: int, percent: int, miss: float) -> DataFrame:
+    """Links (a, b), verified on full sets, that join different components of a bucket. A pair is met in its first common band only.
 
-    A bucket of more than BLOCK members is dealt into blocks by hash, and each pair of blocks is a group of its own.
+    A bucket of more than BLOCK members or BLOCK_SHINGLES shingles is dealt into blocks by hash, and each pair of blocks
+    is a group of its own. Components that a link joins count as one in the rest of the group, so a group returns
+    fewer links than it has components.
     """
     bounds, rows = fewest_equal(size, BATCH, percent, miss), size // bands
 
@@ -127,24 +136,35 @@ def crossing(buckets: DataFrame, sigs: DataFrame, labels: DataFrame, size: int,
         x, y = (np.frombuffer(b"".join(p["signature"]), "<u4").reshape(-1, size) for p in (one, two))
         codes = {c: k for k, c in enumerate(dict.fromkeys([*one["component"], *two["component"]]))}
         cx, cy = (np.array([codes[c] for c in p["component"]], int) for p in (one, two))
-        ax, by, out = one["class"].to_numpy(), two["class"].to_numpy(), []
+        ax, by, xs, ys, out = one["class"].to_numpy(), two["class"].to_numpy(), one["shingles"].to_numpy(), two["shingles"].to_numpy(), []
+        sizes = np.array([len(v) for v in ys], int)
         for r in range(len(x)):
             left = np.flatnonzero(cy != cx[r])
             left = left[left > r] if i == j else left
-            same = (y[left, : band * rows] == x[r, : band * rows]).reshape(len(left), band, rows).all(2).any(1)
-            left, equal = left[~same], 0
             for n, least in bounds:
-                equal = (y[left, :n] == x[r, :n]).sum(1)
-                left = left[equal >= least]
-            out += [(ax[r], b) for b in by[left]]
+                left = left[(y[left, :n] == x[r, :n]).sum(1) >= least]
+            same = (y[left, : band * rows] == x[r, : band * rows]).reshape(len(left), band, rows).all(2).any(1)
+            left = left[~same]
+            if not len(left):
+                continue
+            own, met = xs[r], np.concatenate(ys[left])  # sorted, without repeats
+            found = own[np.minimum(np.searchsorted(own, met), len(own) - 1)] == met
+            both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes[left]) - sizes[left])
+            for b in left[100 * both >= percent * (len(own) + sizes[left] - both)]:
+                if cy[b] != cx[r]:
+                    out.append((ax[r], by[b]))
+                    joined = cy[b]
+                    cx[cx == joined], cy[cy == joined] = cx[r], cx[r]
         return pd.DataFrame(out, columns=["a", "b"])
 
     own = buckets.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = own.groupBy("band", "key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi")
-    own = own.join(mixed.select("band", "key", F.ceil(F.col("_n") / BLOCK).alias("_blocks")), ["band", "key"])
+    sums = own.join(classes.select("class", "n_shingles"), "class").groupBy("band", "key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
+    blocks = F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_s") / BLOCK_SHINGLES))
+    own = cut(own.join(sums.where("_lo <> _hi").select("band", "key", blocks.alias("_blocks")), ["band", "key"]))
+    sets = full_sets(own.select("class").distinct(), docs, classes, words).select("class", F.array_sort("shingles").alias("shingles"))
     own = own.withColumn("_block", F.pmod(F.xxhash64("class"), F.col("_blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    own = own.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o")).join(sigs.select("class", "signature"), "class")
-    return own.select("band", "key", "_i", "_j", "_block", "class", "component", "signature").groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary").distinct()
+    own = own.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o")).join(classes.select("class", "signature").join(sets, "class"), "class")
+    return own.select("band", "key", "_i", "_j", "_block", "class", "component", "signature", "shingles").groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, miss: float = MISS) -> DataFrame:
@@ -156,7 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     size = bands * rows
     every = cut(signatures(docs, words, bands, rows))
     some = every.where("class is not null")
-    classes = cut(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")))
+    classes = cut(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")))
     spread = classes.select("class", F.posexplode("bands").alias("band", "key"))
     draw = F.struct(F.xxhash64("class", "band").alias("h"), F.col("class").alias("leader"))
     full = spread.groupBy("band", "key").agg(F.count("*").alias("_n"), F.min(draw)["leader"].alias("leader")).where("_n > 1")
@@ -164,11 +184,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     pairs = buckets.where("leader <> class").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
     links = cut(exact(cut(likely(pairs, classes, size, percent, miss)), docs, classes, words, percent))
     labels = components(links)
-    more = cut(crossing(buckets.drop("leader"), classes, labels, size, bands, percent, miss))
+    more = cut(crossing(buckets.drop("leader"), docs, classes, labels, words, size, bands, percent, miss))
     named = classes.select("class", "first_id").join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     if more.limit(1).count():  # links between components: a graph of components alone
         of = named.select("class", "component")
-        between = exact(more, docs, classes, words, percent).join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
+        between = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
         whole = components(between, "ca", "cb").toDF("component", "whole")
         named = named.join(whole, "component", "left").select("class", "first_id", F.coalesce("whole", "component").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
