@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece with its sequence and place."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, escape=False)
 
 
 STAGES = [("toxicity", toxic_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", best_fit_packing)]

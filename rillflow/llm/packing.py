@@ -29,9 +29,13 @@ def default_tokenizer() -> str:
 
 
 class Ids:
-    """Token ids of texts under the byte-level vocabulary of a tokenizer file."""
+    """Token ids of texts under the byte-level vocabulary of a tokenizer file.
 
-    def __init__(self, path: str):
+    With escape, a special token's content in a text is read as plain text; without, as that token, as `tokenizers` does
+    by default. Texts that hold the content of a token which is to be found go to `tokenizers`, whatever their bytes.
+    """
+
+    def __init__(self, path: str, escape: bool = True):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,11 +45,13 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.exact.encode_special_tokens = escape
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        special = {t.content for t in self.exact.get_added_tokens_decoder().values()}
+        added = self.exact.get_added_tokens_decoder().values()
+        special = {t.content for t in added}
+        self.found = [t.content for t in added if not (escape and t.special)]
         ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary.items() if piece not in special}
         # fixed value: the vocabulary's public splitting pattern
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -53,16 +59,17 @@ class Ids:
 
     def __call__(self, text: str) -> list[int]:
         raw = text.encode()
-        if raw.isascii() or max(raw) < FIRST_RARE_BYTE:
+        if (raw.isascii() or max(raw) < FIRST_RARE_BYTE) and not any(t in text for t in self.found):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
-def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False, escape: bool = True) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit).
 
     A document is its ids and end_id; null text counts as empty. Longer ones than size are cut so that only the
     first piece is shorter than size. Repeated rows are packed as often as they occur. Other columns are ignored.
+    escape is that of Ids.
     """
     path = tokenizer or default_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
@@ -74,7 +81,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: s
         import numpy as np
         import pyarrow as pa
 
-        encode, last, last_ids = Ids(path), None, None
+        encode, last, last_ids = Ids(path, escape), None, None
         for batch in chunks(batches, "text"):
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -154,6 +161,6 @@ def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
     return met.select(*rows.columns, (F.col("_first") + F.col("_rank") - F.col("_rank0")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False, escape: bool = True) -> DataFrame:
     """pieces() and pack(): a row per piece with its place. An empty table gives no rows."""
-    return pack(cut(pieces(docs, size, end_id, tokenizer, keep_ids)), size)
+    return pack(cut(pieces(docs, size, end_id, tokenizer, keep_ids, escape)), size)
