@@ -2,8 +2,10 @@
 
 Templates are license phrases and notices. All rolling GRAM-word hashes of the texts meet the templates' hashes in a
 join; a match votes for the diagonal (text position - template position). Votes are summed by text, template and
-diagonal; neighbouring diagonals, apart by inserted or left-out words, are merged; and a span is kept if the words that
-its votes cover are enough of the template. A phrase counts only whole: on one diagonal, with every vote.
+diagonal; neighbouring diagonals, apart by inserted or left-out words, are merged. In a merged group each stretch of
+text that a template may take is compared with it: a template place counts once, however often the text repeats it, and
+only in the template's order; the stretch with the most is kept if that is enough of the template. A phrase counts only
+whole: on one diagonal, with every vote.
 """
 
 from __future__ import annotations
@@ -42,26 +44,43 @@ def words(text: str = "text"):
     return F.filter(F.split(lower, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
 
 
+def in_order():
+    """The most template places that matches in _ahead (place, back = -at) cover in the order of both text and template."""
+    none = F.array_repeat(F.lit(0), F.col("n_words"))  # by template place: the longest run of matches that ends there
+    longer = lambda best, at: 1 + F.coalesce(F.array_max(F.slice(best, F.lit(1), at)), F.lit(0))
+    # of matches at one text place the highest template place comes first, so that no run takes two of them
+    step = lambda best, m: F.transform(best, lambda n, i: F.when(i == -m["back"], F.greatest(n, longer(best, -m["back"]))).otherwise(n))
+    return F.array_max(F.aggregate(F.array_sort("_ahead"), none, step))
+
+
 def spans(rows: DataFrame, known: DataFrame) -> DataFrame:
     """_row, label, whole, start, end (word places, end excluded), score, of texts given as (_row, _words).
 
-    known is a few hundred rows made from constants, so it is broadcast. Only matches are shuffled.
+    known is a few hundred rows made from constants, so it is broadcast. Only matches are shuffled. A group of
+    neighbouring diagonals gives one span, its best.
     """
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_words") - GRAM, F.lit(0))), lambda i: F.concat_ws(" ", F.slice("_words", i + 1, GRAM)))
     met = rows.select("_row", F.posexplode(grams).alias("place", "gram")).select("_row", "place", "gram", F.xxhash64("gram").alias("hash"))
     met = met.join(F.broadcast(known), ["hash", "gram"])  # the words themselves settle a chance hash
     met = met.dropDuplicates(["_row", "place", "label", "at"])  # a repeated row votes once
     votes = met.groupBy("_row", "label", "whole", "n_words", (F.col("place") - F.col("at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("place").alias("lo"), (F.max("place") + GRAM).alias("hi")
+        F.count("*").alias("votes"), F.collect_list("at").alias("ats")  # a diagonal has each template place once at most
     )
     full = votes.where("whole and votes = n_words - %d" % (GRAM - 1)).select("_row", "label", "whole", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_words")).alias("end"), F.lit(1.0).alias("score"))
     side = Window.partitionBy("_row", "label").orderBy("diagonal")
     loose = votes.where("not whole").withColumn("_new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(side) > DRIFT).cast("int"), F.lit(1)))
     loose = loose.withColumn("_group", F.sum("_new").over(side))
-    merged = loose.groupBy("_row", "label", "whole", "n_words", "_group").agg(F.sum("votes").alias("votes"), F.min("lo").alias("start"), F.max("hi").alias("end"))
-    part = F.least(F.lit(1.0), F.col("votes") / (F.col("n_words") - (GRAM - 1)))
-    near = merged.withColumn("score", F.round(part, 6)).where((F.col("score") >= LEAST) & (F.col("end") - F.col("start") <= F.col("n_words") + 2 * DRIFT))
-    return full.union(near.select("_row", "label", "whole", "start", "end", "score"))
+    flat = loose.select("_row", "label", "whole", "n_words", "_group", "diagonal", F.explode("ats").alias("at")).withColumn("place", F.col("diagonal") + F.col("at"))
+    longest = known.agg(F.max("n_words")).first()[0] or 0
+    reach = Window.partitionBy("_row", "label", "_group").orderBy("place").rangeBetween(0, longest + 2 * DRIFT)
+    ahead = F.collect_list(F.struct("place", (-F.col("at")).alias("back"))).over(reach)
+    met = flat.withColumn("_ahead", ahead).withColumn("_ahead", F.filter("_ahead", lambda m: m["place"] <= F.col("place") + F.col("n_words") + (2 * DRIFT - GRAM)))
+    grams = F.col("n_words") - (GRAM - 1)
+    met = met.where(F.size(F.array_distinct(F.transform("_ahead", lambda m: m["back"]))) / grams >= LEAST)
+    near = met.withColumn("score", F.round(in_order() / grams, 6)).where(F.col("score") >= LEAST).withColumn("end", F.array_max(F.transform("_ahead", lambda m: m["place"])) + GRAM)
+    near = near.groupBy("_row", "label", "whole", "_group").agg(F.max(F.struct("score", (F.col("place") - F.col("end")).alias("_less"), (-F.col("place")).alias("_first"))).alias("m"))
+    near = near.select("_row", "label", "whole", (-F.col("m._first")).alias("start"), (-F.col("m._first") - F.col("m._less")).alias("end"), F.col("m.score").alias("score"))
+    return full.union(near)
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

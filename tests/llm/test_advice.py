@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("rillflow.llm")
-from rillflow.llm import chat, packing, queries  # noqa: E402
+from rillflow.llm import chat, licenses, packing, queries  # noqa: E402
 
 
 def documents(spark, folder, rows):
@@ -46,3 +46,20 @@ def test_chat_reads_trained_text_from_whole_examples(spark):
     # a context that is missing from the example moves the mask, which only a reader of whole examples can see
     with pytest.raises(Exception, match="mask"):
         chat.read_back(rows.where(F.col("ord") != 0)).collect()
+
+
+def test_licenses_count_a_template_place_once_and_in_order(spark):
+    notice = licenses.NOTICES["no-warranty"]
+    texts = [
+        (1, "the software " * 8), (2, "the software " * 8 + notice[len("the software ") :]), (3, notice), (4, "the software is provided as is and without warranty of any kind"),
+        (5, "the software " * 40 + notice + " the software" * 40), (6, "without warranty of any kind the software is provided as is"), (7, "of any kind " * 6), (8, None),
+        (9, notice + " " + "and so on " * 50 + notice),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    none, whole = ("", 0.0), ("no-warranty", 1.0)
+    assert got == {1: none, 2: whole, 3: whole, 4: ("no-warranty", 0.9), 5: whole, 6: none, 7: none, 8: none, 9: whole}
+    from pyspark.sql import functions as F
+
+    found = licenses.spans(docs.where("text is not null").select(F.col("doc_id").alias("_row"), licenses.words().alias("_words")), licenses.templates(spark)).collect()
+    assert sorted((r.start, r.end) for r in found if r._row in (3, 9)) == [(0, 11), (0, 11), (161, 172)]
