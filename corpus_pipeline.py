@@ -32,9 +32,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates (5 words, 0.8). Rows that repeat a doc_id stay together."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The document with the least doc_id of each group of near duplicates (5 words, 0.8).
+
+    Rows are judged by doc_id and text: of rows that share a doc_id, one goes if its own text is in the group of a lesser
+    doc_id. Rows that repeat both stay or go together. A null doc_id is behind all others; in a group without
+    any, the text of the least MD5 stays.
+    """
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    marked = minhash.near_duplicates(docs.select("doc_id", "text", key.alias("_text")), key="_text")
+    gone = marked.where("not kept").select(F.col("doc_id").alias("_id"), "_text").distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_text")), "left_anti").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

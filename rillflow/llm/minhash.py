@@ -45,9 +45,12 @@ def fewest_equal(size: int, batch: int, percent: int, miss: float) -> list[tuple
     return out
 
 
-def signatures(docs: DataFrame, words: int, bands: int, rows: int, sets: bool = False) -> DataFrame:
-    """doc_id, n_shingles, class (binary, null without shingles) and signature and bands, or the set itself if sets."""
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary, " + ("shingles array<long>" if sets else "signature binary, bands array<long>")
+def signatures(docs: DataFrame, words: int, bands: int, rows: int, sets: bool = False, carry: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, class (binary, null without shingles) and signature and bands, or the set itself if sets.
+
+    The binary column named carry, if any, comes along.
+    """
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary, " + ("shingles array<long>" if sets else "signature binary, bands array<long>") + (f", {carry} binary" if carry else "")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -73,10 +76,10 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, sets: bool =
                     key = mix(key ^ band[:, :, j])
                 for i, s, k in zip(full, sig, key.view(np.int64), strict=True):
                     made[i], keys[i] = s.astype("<u4").tobytes(), k
-            columns += [pa.array(made, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "signature", "bands"])
+            columns += [pa.array(made, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *([batch.column(carry)] if carry else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "signature", "bands", *([carry] if carry else [])])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *([carry] if carry else [])).mapInArrow(run, schema)
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
@@ -168,16 +171,21 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
     return own.select("band", "key", "_i", "_j", "_block", "class", "component", "signature", "shingles").groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, miss: float = MISS, key: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs.
 
-    doc_id names a document: rows that share one share a component. Null or blank texts have no shingles and are
-    their own component. A null doc_id takes part in links but is never a component's least id unless it is alone.
+    Components are of texts: rows that share a doc_id but not the text may be in different ones, and each is kept or not
+    by its own. Null or blank texts have no shingles and are their own component. A null doc_id takes part in links but
+    is never a component's least id unless no row of the component has one.
+
+    key names a binary column of docs that tells texts apart, and is put out too. With it, a component without any doc_id
+    keeps the rows of its least key; without, it keeps all its rows.
     """
     size = bands * rows
-    every = cut(signatures(docs, words, bands, rows))
+    every = cut(signatures(docs, words, bands, rows, carry=key))
+    extra = [F.min(key).alias("first_key")] if key else []
     some = every.where("class is not null")
-    classes = cut(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")))
+    classes = cut(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), *extra))
     spread = classes.select("class", F.posexplode("bands").alias("band", "key"))
     draw = F.struct(F.xxhash64("class", "band").alias("h"), F.col("class").alias("leader"))
     full = spread.groupBy("band", "key").agg(F.count("*").alias("_n"), F.min(draw)["leader"].alias("leader")).where("_n > 1")
@@ -192,7 +200,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         between = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
         whole = components(between, "ca", "cb").toDF("component", "whole")
         named = named.join(whole, "component", "left").select("class", "first_id", F.coalesce("whole", "component").alias("component"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = named.join(least, "component").select("class", "component_id")
-    out = every.select("doc_id", "n_shingles", "class").join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if key:
+        named = named.join(classes.select("class", "first_key"), "class")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), *([F.min("first_key").alias("first_key")] if key else []))
+    more_columns = ["first_key"] if key else []
+    of = named.select("component", "class").join(least, "component").select("class", "component_id", *more_columns)
+    out = every.select("doc_id", "n_shingles", "class", *([key] if key else [])).join(of, "class", "left")
+    kept = F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id"))
+    if key:
+        kept = kept & (F.col("component_id").isNotNull() | F.col("class").isNull() | (F.col(key) == F.col("first_key")))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept"), *([key] if key else []))

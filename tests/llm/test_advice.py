@@ -63,3 +63,17 @@ def test_licenses_count_a_template_place_once_and_in_order(spark):
 
     found = licenses.spans(docs.where("text is not null").select(F.col("doc_id").alias("_row"), licenses.words().alias("_words")), licenses.templates(spark)).collect()
     assert sorted((r.start, r.end) for r in found if r._row in (3, 9)) == [(0, 11), (0, 11), (161, 172)]
+
+
+def test_near_dedup_goes_by_row(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(80))
+    near, far, lone = text + " more", " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(80))
+    rows = [(1, text), (2, near), (2, far), (3, None), (3, text), (None, near), (None, far + " z"), (None, lone), (None, lone + " a"), (None, None), (None, "only this one")]
+    rows += [(4, "twice the same row"), (4, "twice the same row")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    found = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    got = sorted(((r.doc_id, r.text) for r in found if r.text not in (lone, lone + " a")), key=str)
+    assert got == sorted([(1, text), (2, far), (3, None), (None, None), (None, "only this one"), (4, "twice the same row"), (4, "twice the same row")], key=str)
+    assert sum(r.text in (lone, lone + " a") for r in found) == 1 and found[0].asDict().keys() == {"doc_id", "text", "source"}
