@@ -158,6 +158,6 @@ def repair_csv(texts: DataFrame) -> DataFrame:
     goes; the values are as many as the heading's fields.
     """
     lines = F.filter(F.split("text", "\r?\n"), lambda x: x != "")
-    rest = F.transform(F.slice(lines, 3, 1000), lambda x: F.regexp_replace(x, "^[^,]*,?", ""))
+    rest = F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), lambda x: F.regexp_replace(x, "^[^,]*,?", ""))
     joined = F.array_join(F.filter(F.concat(F.slice(lines, 2, 1), rest), lambda x: x != ""), ",")
     return texts.select("run", F.split(F.get(lines, F.lit(0)), ",").alias("names"), F.split(joined, ",").alias("values"))
