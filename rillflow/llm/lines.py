@@ -1,24 +1,31 @@
 """Repeated line runs, found on a suffix array over line ids and deleted but for their first copy. DataFrame functions only.
 
-Each line gets an id, the rank of its digest among the lines that occur twice or more; a line that occurs once can't be
-in a repeat, and its suffixes leave at once. Prefix doubling sorts the other suffixes by their first 1, 2, 4, ... lines:
-the new rank of a suffix is the sorted place of the pair (own rank, rank of the suffix `width` lines on), and only pairs
-that tie go on, since the others have no longest-common-prefix of that length with anything. Ties at a width are the
-longest-common-prefix intervals of at least that many lines; each keeps its first position.
-
-A run counts if it has min_lines lines, or min_words words. So each run that counts is a union of windows of at most
-min_lines lines that count themselves, and of the array the first min_lines lines of each suffix decide everything:
-the doubling ends there, whatever the length of the longest repeat. Overlapping windows merge into maximal runs.
+Lines without words are left out of the sequences, since they repeat everywhere. Every other line has a place, a number
+that grows with doc_id and line, and one more than that of the line before it in its document.
+
+1. Prefix doubling. A suffix's rank is the sorted place of its first line's digest; then of the pair (own rank, rank of
+   the suffix `width` lines on), for widths 1, 2, 4, ... until no two suffixes tie. Suffixes that tie with none leave at
+   once. Suffixes that tie at a width are a longest-common-prefix interval of at least that many lines; each interval
+   knows its first place. A suffix ends with its document, so widths end with the longest repeat.
+2. Longest common prefixes. The highest width at which a suffix ties with an earlier one has half of the bits of its
+   longest previous copy. The others come from the top down: an interval is split by the rank of what follows, at half
+   the width each time; a suffix whose part has an earlier member moves into it, the others stay, with one member of
+   each part, so that no step has more than twice as many rows as there are suffixes.
+3. A suffix whose copy ends beyond that of the suffix before it begins a maximal repeated run, of known length and first
+   place. Runs that count are deleted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut
 
 MIN_LINES, MIN_WORDS = 4, 50
+# words are runs of anything but these
+GAPS = " \\t\\r"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -26,21 +33,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text))))
 
 
-def _lines(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """doc_id, _doc, at, line (digest) and least: the fewest lines from here on that make a run that counts."""
+def _has_words(line: Column) -> Column:
+    return F.regexp_like(line, F.lit(f"[^{GAPS}]"))
+
+
+def numbered_lines(keyed: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """doc_id, _doc, at (number of lines with words before it), line (its number in the text), digest, least and pos (the place).
+
+    least is the fewest lines from here on that make a run that counts. Rows that repeat doc_id and text are one document.
+    """
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    each = F.transform(lines, lambda x: F.struct(F.unhex(F.md5(x)).alias("line"), F.regexp_count(x, F.lit("[^ \\t\\r]+")).alias("words")))
+    worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda s: _has_words(s["x"]))
+    each = F.transform(worded, lambda s: F.struct(s["line"].alias("line"), F.unhex(F.md5(s["x"])).alias("digest"), F.regexp_count(s["x"], F.lit(f"[^{GAPS}]+")).alias("words")))
 
     def least(array: Column, i: Column) -> Column:
-        words = lambda n: F.aggregate(F.slice(array, i + 1, n), F.lit(0), lambda s, x: s + x["words"])
-        out = F.when(words(min_lines) > 0, min_lines).otherwise(min_lines + 1)
+        words, enough = [F.coalesce(F.get(array, i + n)["words"], F.lit(0)) for n in range(min_lines - 1)], F.lit(min_lines)
         for n in range(min_lines - 1, 0, -1):
-            out = F.when(words(n) >= min_words, n).otherwise(out)
-        return out
+            enough = F.when(sum(words[1:n], words[0]) >= min_words, n).otherwise(enough)
+        return enough
 
     # the one-member array gives the lines a name, so that they are made once for a text
-    rows = F.flatten(F.transform(F.array(each), lambda a: F.transform(a, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), least(a, i).alias("least")))))
-    return docs.select("doc_id", "_doc", F.inline(rows))
+    rows = F.flatten(F.transform(F.array(each), lambda a: F.transform(a, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["digest"].alias("digest"), least(a, i).alias("least")))))
+    raw = cut(keyed.select("doc_id", "_doc", F.inline(rows)))
+    # a document is in one range, so the numbers of its lines follow each other
+    ordered = raw.repartitionByRange("doc_id", "_doc").distinct().sortWithinPartitions("doc_id", "_doc", "at")
+    return cut(ordered.withColumn("pos", F.monotonically_increasing_id()))
 
 
 def _ranked(groups: DataFrame, *by: str) -> DataFrame:
@@ -48,42 +65,116 @@ def _ranked(groups: DataFrame, *by: str) -> DataFrame:
     return cut(groups.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
 
 
-def later_windows(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """_doc, at, width of each window that counts and begins after an equal one."""
-    place = F.struct("doc_id", "_doc", "at")
-    keep = ["doc_id", "_doc", "at", "least", "rank", "first"]
-    lines = _lines(docs, min_lines, min_words)
-    tied = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    by_width = {1: cut(lines.join(_ranked(tied, "line"), "line").select(*keep).dropDuplicates(["_doc", "at"]))}
-    for target in range(2, min_lines + 1):
-        width = 1 << ((target - 1).bit_length() - 1)  # two windows of that many lines, side by side or overlapping
-        ahead = by_width[width].select("_doc", (F.col("at") - (target - width)).alias("at"), F.col("rank").alias("next"))
-        pairs = cut(by_width[width].join(ahead, ["_doc", "at"]).select("doc_id", "_doc", "at", "least", F.col("rank").alias("own"), "next"))
-        tied = pairs.groupBy("own", "next").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-        by_width[target] = cut(pairs.join(_ranked(tied, "own", "next"), ["own", "next"]).select(*keep))
-    found = [w.where((F.col("least") <= width) & (F.col("first") < place)).select("_doc", "at", F.lit(width).alias("width")) for width, w in by_width.items()]
-    out = found[0]
-    for other in found[1:]:
-        out = out.union(other)
-    return out
+def _earlier(width: Column | int) -> Column:
+    """Whether the copy at `first` is before pos and ends before it, or lies in another document."""
+    return (F.col("first") < F.col("pos")) & ((F.col("first") < F.col("start")) | (F.col("pos") - F.col("first") >= width))
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text, row (the whole input row), line_runs (start and lines of each maximal run that goes) and kept_text.
+def suffix_levels(numbered: DataFrame) -> list[DataFrame]:
+    """For widths 1, 2, 4, ...: pos, start (place of the document's first line), least, rank and first of suffixes that tie there."""
+    tied = numbered.groupBy("digest").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1")
+    start = (F.col("pos") - F.col("at")).alias("start")
+    levels = [cut(numbered.join(_ranked(tied, "digest"), "digest").select("pos", start, "least", "rank", "first"))]
+    while levels[-1].limit(1).count():
+        width, own = 1 << (len(levels) - 1), levels[-1]
+        ahead = own.select((F.col("pos") - width).alias("pos"), "start", F.col("rank").alias("next"))
+        pairs = cut(own.join(ahead, ["pos", "start"]).select("pos", "start", "least", F.col("rank").alias("own"), "next"))
+        tied = pairs.groupBy("own", "next").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1")
+        levels.append(cut(pairs.join(_ranked(tied, "own", "next"), ["own", "next"]).select("pos", "start", "least", "rank", "first")))
+    return levels[:-1]
+
+
+def longest_previous(levels: list[DataFrame]) -> DataFrame | None:
+    """pos, start, least, width, first: the longest copy of what begins at pos that ends before it or is in an earlier document.
+
+    None without any repeat. A row of `rows` is a suffix in interval (width, id); asks says that it looks for its own copy,
+    the others are there to be found.
+    """
+    rows = None
+    for k in range(len(levels) - 1, -1, -1):
+        width = 1 << k
+        mine = levels[k]
+        if k + 1 < len(levels):
+            mine = mine.join(levels[k + 1].where(_earlier(2 * width)).select("pos"), "pos", "left_anti")
+        mine = mine.select("pos", "start", "least", F.lit(width).alias("width"), F.col("rank").alias("id"), _earlier(width).alias("asks"), "first")
+        rows = mine if rows is None else rows.unionByName(mine)
+        if k == 0:
+            break
+        step = width // 2  # rows here have a width of `width` or more, and step is the bit to be found
+        after = levels[k - 1].select(F.col("pos").alias("_at"), F.col("start").alias("_start"), F.col("rank").alias("next"))
+        met = rows.withColumn("_at", F.col("pos") + F.col("width")).join(after, "_at", "left")
+        met = cut(met.select(*rows.columns, F.when(F.col("_start") == F.col("start"), F.col("next")).alias("next")))
+        parts = met.where("next is not null").groupBy("width", "id", "next").agg(F.count("*").alias("_n"), F.min("pos").alias("_first"), F.max("asks").alias("_asked"))
+        parts = cut(parts.where("_n > 1").drop("_n").withColumn("_id", F.monotonically_increasing_id()))
+        split = met.join(parts, ["width", "id", "next"], "left").withColumn("_old", F.col("first")).withColumn("first", F.col("_first"))
+        moves = F.coalesce(F.col("asks") & _earlier(F.col("width") + step), F.lit(False))
+        split = cut(split.withColumn("_moves", moves))
+        keep = ["pos", "start", "least"]
+        inside = split.where("_asked").select(*keep, (F.col("width") + step).alias("width"), F.col("_id").alias("id"), F.col("_moves").alias("asks"), "first")
+        stays = split.where("not _moves and (asks or _id is null or pos = _first)").select(*keep, "width", "id", "asks", F.col("_old").alias("first"))
+        rows = inside.unionByName(stays)
+    return None if rows is None else rows.where("asks").select("pos", "start", "least", "width", "first")
+
+
+def maximal_runs(keyed: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """_doc, at, lines, first_doc, first_line: runs that count and whose copy begins after an equal one, none inside another.
+
+    at and lines are in lines with words; first_line is the first copy's line in the text of first_doc.
+    """
+    numbered = numbered_lines(keyed, min_lines, min_words)
+    found = longest_previous(suffix_levels(numbered))
+    if found is None:
+        return numbered.where("false").select("_doc", "at", F.lit(0).alias("lines"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"))
+    end = F.col("pos") + F.col("width")
+    before = F.lag(end).over(Window.partitionBy("start").orderBy("pos"))
+    runs = found.where("width >= least").withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < end))
+    runs = cut(runs.select("pos", "first", F.col("width").alias("lines")))
+    named = runs.join(numbered.select("pos", "_doc", "at"), "pos")
+    return named.join(numbered.select(F.col("pos").alias("first"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")), "first").select(
+        "_doc", "at", "lines", "first_doc", "first_line"
+    )
+
 
-    Order is by doc_id (nulls first), then line. Null text counts as empty and stays null. Rows that repeat doc_id and
-    text are one document and get the same result. Blank lines take part, but a run without words never counts. A copy
-    may overlap the one before it (a line many times over): the first window stays.
-    Other columns, whatever their names, are in row alone.
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text, row (the whole input row), line_runs, copies and kept_text.
+
+    A run counts if it has min_lines lines with words, or min_words words. Order is by doc_id (nulls first), then text, then
+    line. Of a run's copies all but the first go, with the lines without words inside them; a copy is deleted only if an
+    earlier one ends before it begins (of a line twelve times over, min_lines stay). line_runs are start and lines
+    of each stretch of the text that goes; copies are the maximal runs behind them, which may overlap: line, lines
+    (with words), first_doc and first_line, where the first copy begins.
+    Null text counts as empty and stays null. Rows that repeat doc_id and text are one document and get the same
+    result. Other columns, whatever their names, are in row alone.
     """
     keyed = _keyed(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")))
-    at = F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("at")
-    gone = later_windows(keyed.drop("row"), min_lines, min_words).select("_doc", at).groupBy("_doc").agg(F.collect_set("at").alias("_gone"))
-    met = keyed.join(gone, "_doc", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    runs = maximal_runs(keyed.drop("row"), min_lines, min_words)
+    by_doc = runs.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("at", "lines", "first_doc", "first_line"))).alias("_runs"))
+    met = keyed.join(by_doc, "_doc", "left")
+    lines = F.split("text", "\n", -1)
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
+    line = lambda at: F.get(F.col("_worded"), at)
+    met = met.withColumn("_worded", F.when(F.col("_runs").isNotNull(), worded))
+    # of overlapping runs, each gives the lines from the end of the one before it, which also has the lines up to its own end
+    gone = F.flatten(
+        F.transform(
+            "_runs",
+            lambda r, i: F.sequence(
+                F.greatest(line(r["at"]), F.when(i > 0, F.when(F.get("_runs", i - 1)["at"] + F.get("_runs", i - 1)["lines"] > r["at"], line(F.get("_runs", i - 1)["at"] + F.get("_runs", i - 1)["lines"] - 1) + 1))),
+                line(r["at"] + r["lines"] - 1),
+            ),
+        )
+    )
+    none = F.array().cast("array<int>")
+    met = met.withColumn("_gone", F.coalesce(gone, none))
     next_ = F.transform("_gone", lambda p: p + 1)
-    runs = F.zip_with(
+    stretches = F.zip_with(
         F.array_sort(F.array_except("_gone", next_)), F.array_sort(F.array_except(next_, "_gone")), lambda s, e: F.struct(s.alias("start"), (e - s).alias("lines"))
     )
-    lines = F.array(F.struct(F.split("text", "\n", -1).alias("a"), F.col("_gone").alias("gone")))
-    kept = F.transform(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["a"]) - 1), x["gone"]), lambda i: x["a"][i]), "\n"))[0]
-    return met.select("doc_id", "text", "row", runs.alias("line_runs"), F.when(F.size("_gone") == 0, F.col("text")).otherwise(kept).alias("kept_text"))
+    copies = F.transform("_runs", lambda r: F.struct(line(r["at"]).alias("line"), r["lines"].alias("lines"), r["first_doc"].alias("first_doc"), r["first_line"].alias("first_line")))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(F.col("_split"), i)), "\n")
+    met = met.withColumn("_split", F.when(F.size("_gone") > 0, lines))
+    return met.select("doc_id", "text", "row", stretches.alias("line_runs"), F.coalesce(copies, F.array().cast(copies_type(docs))).alias("copies"), F.when(F.size("_gone") == 0, F.col("text")).otherwise(kept).alias("kept_text"))
+
+
+def copies_type(docs: DataFrame) -> str:
+    return f"array<struct<line:int,lines:int,first_doc:{dict(docs.dtypes)['doc_id']},first_line:int>>"

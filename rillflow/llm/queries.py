@@ -17,34 +17,52 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
         F.aggregate("line_runs", F.lit(0).cast("long"), lambda s, r: s + r["lines"]).alias("n_removed"),
         F.size("line_runs").cast("long").alias("n_runs"),
+        F.size("copies").cast("long").alias("n_copies"),
+        F.coalesce(F.array_max(F.transform("copies", lambda c: c["lines"])), F.lit(0)).cast("long").alias("longest_copy"),
         F.length(F.coalesce("kept_text", F.lit(""))).cast("long").alias("kept_chars"),
         F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"),
     )
 
 
+#: Windows of every width, one line wider a step, as long as two are equal.
 OP1_SQL = r"""
-WITH l AS (
+WITH RECURSIVE
+a AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS p
   FROM documents),
-w AS (SELECT *, len(regexp_extract_all(line, '[^ \t\r]+')) AS n FROM l),
-a AS (SELECT *, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3, lead(line, 3) OVER d AS l4,
-             lead(n, 1) OVER d AS n2, lead(n, 2) OVER d AS n3, lead(n, 3) OVER d AS n4
-      FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
-v AS (
-  SELECT doc_id, p, 1 AS width, n AS words, md5(line) AS k FROM a
-  UNION ALL SELECT doc_id, p, 2, n + n2, md5(line) || md5(l2) FROM a WHERE l2 IS NOT NULL
-  UNION ALL SELECT doc_id, p, 3, n + n2 + n3, md5(line) || md5(l2) || md5(l3) FROM a WHERE l3 IS NOT NULL
-  UNION ALL SELECT doc_id, p, 4, n + n2 + n3 + n4, md5(line) || md5(l2) || md5(l3) || md5(l4) FROM a WHERE l4 IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS copy FROM v),
-g AS (SELECT DISTINCT doc_id, p + unnest(range(width)) AS p FROM r
-      WHERE copy > 1 AND (words >= 50 OR (width = 4 AND words > 0))),
-m AS (SELECT w.doc_id, w.p, w.line, g.p IS NOT NULL AS gone FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.p = g.p),
-e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM m)
+l AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i, md5(line) AS h,
+         len(regexp_extract_all(line, '[^ \t\r]+')) AS n
+  FROM a WHERE regexp_matches(line, '[^ \t\r]')),
+r AS (
+  SELECT 1 AS width, doc_id, i, h AS k, n AS words FROM l
+  UNION ALL
+  SELECT * FROM (
+    SELECT r.width + 1 AS width, r.doc_id, r.i, md5(r.k || l.h) AS k, r.words + l.n AS words
+    FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + r.width)
+  QUALIFY count(*) OVER (PARTITION BY k) > 1),
+f AS (
+  SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(i) OVER o AS first_at
+  FROM r WINDOW o AS (PARTITION BY width, k ORDER BY doc_id, i)),
+w AS (
+  SELECT doc_id, i, max(width) AS width FROM f
+  WHERE (first_doc < doc_id OR first_at + width <= i) AND (words >= 50 OR width >= 4)
+  GROUP BY ALL),
+c AS (
+  SELECT * FROM w
+  QUALIFY coalesce(max(i + width) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < i + width, true)),
+g AS (
+  SELECT DISTINCT c.doc_id, unnest(range(x.p, y.p + 1)) AS p
+  FROM c JOIN l AS x ON x.doc_id = c.doc_id AND x.i = c.i JOIN l AS y ON y.doc_id = c.doc_id AND y.i = c.i + c.width - 1),
+m AS (SELECT a.doc_id, a.p, a.line, g.p IS NOT NULL AS gone FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.p = g.p),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM m),
+t AS (SELECT doc_id, count(*) AS n_copies, max(width) AS longest_copy FROM c GROUP BY 1)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
+       coalesce(any_value(n_copies), 0) AS n_copies, coalesce(any_value(longest_copy), 0) AS longest_copy,
        coalesce(length(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone)), 0) AS kept_chars,
        md5(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_md5
-FROM e GROUP BY doc_id"""
+FROM e LEFT JOIN t USING (doc_id) GROUP BY doc_id"""
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

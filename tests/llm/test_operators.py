@@ -44,28 +44,57 @@ def empty(spark):
     return table(spark, []).limit(0)
 
 
-def test_line_runs_match_brute_force(spark, rows):
-    places, order = defaultdict(list), sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0], hashlib.md5((("-" if r[0] is None else str(r[0])) + ":" + r[1]).encode()).digest()))
+def line_runs(rows):
+    """(kept text by (doc_id, text), maximal runs by it), from windows of every length, by the rules of lines.repeated_lines."""
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0], hashlib.md5((("-" if r[0] is None else str(r[0])) + ":" + r[1]).encode()).digest()))
     split = [t.split("\n") for _, t in order]
+    worded = [[p for p, x in enumerate(a) if x.strip(" \t\r")] for a in split]
     count = lambda a: sum(len(re.findall(r"[^ \t\r]+", x)) for x in a)
-    gone = [set() for _ in order]
+    longest, live, n = {}, [(d, p) for d, w in enumerate(worded) for p in range(len(w))], 1
+    while live:
+        places = defaultdict(list)
+        for d, p in live:
+            if p + n <= len(worded[d]):
+                places[tuple(split[d][q] for q in worded[d][p : p + n])].append((d, p))
+        live = [at for found in places.values() if len(found) > 1 for at in found]
+        for run, (first, *others) in places.items():
+            if n >= 4 or count(run) >= 50:
+                longest.update({(d, p): (n, first) for d, p in others if d != first[0] or p - first[1] >= n})
+        n += 1
+    kept, runs = {}, defaultdict(list)
     for d, a in enumerate(split):
-        for p in range(len(a)):
-            for n in range(1, 5):
-                if p + n <= len(a):
-                    places[tuple(a[p : p + n])].append((d, p))
-    for run, at in places.items():
-        if count(run) >= 50 or len(run) == 4 and count(run):
-            for d, p in at[1:]:
-                gone[d] |= set(range(p, p + len(run)))
-    want = {(i, t): "\n".join(x for p, x in enumerate(a) if p not in g) for (i, t), a, g in zip(order, split, gone, strict=True)}
+        gone, end = set(), -1
+        for p in range(len(worded[d])):
+            n, first = longest.get((d, p), (0, None))
+            if n and p + n > end:
+                end = p + n
+                gone |= set(range(worded[d][p], worded[d][end - 1] + 1))
+                runs[order[d]].append((worded[d][p], n, order[first[0]][0], worded[first[0]][first[1]]))
+        kept[order[d]] = "\n".join(x for p, x in enumerate(a) if p not in gone)
+    return kept, runs
+
+
+def test_line_runs_match_brute_force(spark, rows):
+    draw = random.Random(8)
+    line = lambda n: " ".join(draw.choice("abcdefgh") + str(draw.randrange(9)) for _ in range(n))
+    base, some = [line(3) for _ in range(500)], [f"few {i}" for i in range(3)]
+    more = [(100, "\n".join(base)), (101, "\n\n".join(base)), (102, "\n".join([line(2), *base[100:350], line(2), *base[20:23]]))]
+    more += [(110, "\n".join(["same"] * 12)), (111, "\n".join(["p", "q"] * 4)), (112, "\n".join(["p", "", "q"] * 9)), (113, "\n" * 300 + "p\nq\np"), (114, "\n".join([line(60)] * 3)), (115, "same\n" * 300)]
+    more += [(120 + i, "\n".join(draw.choice(some) for _ in range(draw.randint(1, 40)))) for i in range(25)]
+    rows = [*rows, *more]
+    kept, runs = line_runs(rows)
     got = lines.repeated_lines(table(spark, rows)).collect()
     assert len(got) == len(rows)
-    assert sum(bool(g) for g in gone) >= 5
+    assert sum(bool(r) for r in runs.values()) >= 20 and runs[101, more[1][1]][0] == (0, 500, 100, 0)
     for r in got:
-        assert (r.kept_text or "") == want[r.doc_id, r.text or ""], r.doc_id
+        key = r.doc_id, r.text or ""
+        assert (r.kept_text or "") == kept[key], r.doc_id
+        assert [(c.line, c.lines, c.first_doc, c.first_line) for c in r.copies] == runs[key], r.doc_id
         assert r.row.kept_text == "k" and (r.text is None) == (r.kept_text is None)
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[110].kept_text == "\n".join(["same"] * 4) and by_id[111].kept_text == "p\nq\np\nq"
     assert lines.repeated_lines(empty(spark)).count() == 0
+    assert lines.repeated_lines(table(spark, [(1, "a\nb"), (2, None)])).count() == 2
 
 
 def sets_of(rows, k):
