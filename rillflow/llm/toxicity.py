@@ -17,12 +17,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import chunks
 
 BITS, DIMENSIONS, SEGMENT, SHORTEST, LONGEST = 17, 12, 6, 3, 6
 #: Labelled texts of a class that the fit may use, and the bytes of the longest of them.
 SAMPLE, SAMPLE_BYTES, EPOCHS = 1200, 4096, 40
+#: Bytes of text whose n-grams the fit makes and sums at a time.
+FIT_BYTES = 1 << 17
 THRESHOLD = 0.3
 
 _draw = np.random.Generator(np.random.PCG64(11))
@@ -75,38 +78,58 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, begins, of[owner[begins]]
 
 
+def slices(texts: list[str], most: int = FIT_BYTES) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """grams() of runs of whole texts of about `most` bytes, with 32-bit numbers, so that little is held beside the buckets."""
+    out, start, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text.encode("utf-8", "surrogatepass"))
+        if size >= most or i == len(texts) - 1:
+            bucket, begins, of = grams(texts[start : i + 1])
+            if len(bucket):
+                out.append((bucket, begins.astype(np.int32), (of + start).astype(np.int32)))
+            start, size = i + 1, 0
+    return out
+
+
 def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """(a number for each bucket, bias). Both classes must occur, else all is 0 with a bias that says never or always."""
+    """(a number for each bucket, bias). Both classes must occur, else all is 0 with a bias that says never or always.
+
+    Each epoch sums the gradient over slices of whole texts. Held are 4 bytes an n-gram and the work of one slice: under
+    300 MB for 2 * SAMPLE texts of SAMPLE_BYTES bytes.
+    """
     y = np.asarray(toxic, float)
-    if not len(y) or y.min() == y.max():
-        return np.zeros(1 << BITS, np.float32), (20.0 if len(y) and y.max() else -20.0)
-    bucket, begins, of = grams(texts)
-    used, bucket = np.unique(bucket, return_inverse=True)
-    size = np.diff(np.append(begins, len(bucket)))
+    parts = slices(texts) if len(y) and y.min() != y.max() else []
+    if not parts:
+        return np.zeros(1 << BITS, np.float32), (20.0 if len(y) and y.min() == 1 else -20.0)
+    used = np.flatnonzero(sum(np.bincount(bucket, minlength=1 << BITS) for bucket, _, _ in parts))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    for bucket, _, _ in parts:
+        bucket[:] = place[bucket]
+    segments = [sum(int((y[of] == c).sum()) for _, _, of in parts) for c in (0, 1)]
+    known = [sum(int((y[np.unique(of)] == c).sum()) for _, _, of in parts) for c in (0, 1)]
     draw = np.random.Generator(np.random.PCG64(3))
     embed = draw.normal(0, 0.1, (len(used), DIMENSIONS))
     soft = draw.normal(0, 0.5, (2, DIMENSIONS))
     bias = np.zeros(2)
     seen = [np.full_like(x, 1e-8) for x in (embed, soft, bias)]
-    label = y[of]
-    whole = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
-    heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    at_text, per_text = of[heads], np.diff(np.append(heads, len(of)))
     for epoch in range(epochs):
-        value = embed @ (soft[1] - soft[0])
-        logit = np.add.reduceat(value[bucket], begins) / size + bias[1] - bias[0]
-        weight = whole
-        if epoch >= epochs // 4:  # from now on a toxic text stands by its highest segment
-            top = np.maximum.reduceat(logit, heads)
-            best = logit >= np.repeat(top, per_text)
-            weight = np.where(label == 1, 0.0, 0.5 / (1 - label).sum()) * 0.5
-            weight[best & (label == 1)] = 0.5 / max(1, (y[at_text] == 1).sum())
-            weight[best & (label == 0)] += 1.0 / max(1, (y[at_text] == 0).sum())
-        slope = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
-        each = np.bincount(bucket, np.repeat(slope / size, size), len(used))
-        step = (soft[1] - soft[0])[None, :] * each[:, None]
+        value, each, pushed = embed @ (soft[1] - soft[0]), np.zeros(len(used)), 0.0
+        for bucket, begins, of in parts:
+            label, size = y[of], np.diff(np.append(begins, len(bucket)))
+            logit = np.add.reduceat(value[bucket], begins) / size + bias[1] - bias[0]
+            weight = np.where(label == 1, 0.5 / max(1, segments[1]), 0.5 / max(1, segments[0]))
+            if epoch >= epochs // 4:  # from now on a toxic text stands by its highest segment
+                heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                best = logit >= np.repeat(np.maximum.reduceat(logit, heads), np.diff(np.append(heads, len(of))))
+                weight = np.where(label == 1, 0.0, weight * 0.5)
+                weight[best & (label == 1)] = 0.5 / max(1, known[1])
+                weight[best & (label == 0)] += 1.0 / max(1, known[0])
+            slope = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
+            each += np.bincount(bucket, np.repeat(slope / size, size), len(used))
+            pushed += slope.sum()
         pull = each @ embed
-        grads = step + 1e-7 * embed, np.stack([-pull, pull]) + 1e-6 * soft, np.array([-slope.sum(), slope.sum()])
+        grads = each[:, None] * (soft[1] - soft[0])[None, :] + 1e-7 * embed, np.stack([-pull, pull]) + 1e-6 * soft, np.array([-pushed, pushed])
         for x, g, s in zip((embed, soft, bias), grads, seen, strict=True):
             s += g * g
             x -= 0.3 * g / np.sqrt(s)
@@ -127,23 +150,24 @@ def scores(texts: list[str | None], value: np.ndarray, bias: float) -> np.ndarra
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """False for a null doc_id, which no label can name."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
-    """Fit on at most `sample` labelled texts of each class, of at most sample_bytes bytes, none held out.
+    """Fit on at most `sample` labelled documents of each class, of at most sample_bytes bytes, none held out.
 
-    Which ones is decided by a hash of doc_id. Rows with a null id or label teach nothing; of several labels the highest counts.
+    Which ones is decided by a hash of doc_id, among those that are short enough. Rows with a null id or label teach
+    nothing; of several labels of an id the highest counts, and of several texts the least.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id", F.lit("toxicity"))
-    parts = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(2 * sample) for y in (0, 1)]
-    chosen = parts[0].union(parts[1])  # 4 * sample ids at most: safe to broadcast
-    short = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = []
-    for y in (0, 1):
-        rows += short.where(F.col("toxic") == y).orderBy(order, "doc_id", "text").limit(sample).collect()
-    return fit([r.text for r in rows], [int(r.toxic) for r in rows])
+    short = docs.where(F.octet_length("text") <= sample_bytes)
+    able = short.select("doc_id").join(known.where("toxic in (0, 1)"), "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id", F.lit("toxicity")).alias("_draw")).distinct()
+    order = Window.partitionBy("toxic").orderBy("_draw", "doc_id")
+    chosen = able.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id", "toxic")  # 2 * sample ids: safe to broadcast
+    rows = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = sorted(rows.collect(), key=lambda r: (r.toxic, r.doc_id))
+    return fit([r.text for r in found], [int(r.toxic) for r in found])
 
 
 def score(docs: DataFrame, value: np.ndarray, bias: float) -> DataFrame:
