@@ -25,9 +25,19 @@ class PipelineConfig:
     slide: str = "5 seconds"
     gap: str = "30 seconds"
     lateness: str = "5 seconds"
+    console_sink: bool = True
+    file_sink: bool = False
+    output_path: str = ""
     profile: str = "constant"
     rate: int = 50_000
     duration: int = 300
+    step_low: float = 0.25
+    step_high: float = 1.5
+    step_from: float = 0.33
+    step_to: float = 0.66
+    sine_amplitude: float = 0.7
+    sine_period: int = 60
+    cpu_load: int = 0
     parallelism: int = 4
 
     def __post_init__(self) -> None:
@@ -35,6 +45,14 @@ class PipelineConfig:
             if value not in known:
                 raise ValueError(f"{value!r} is none of {', '.join(known)}")
 
+    @classmethod
+    def from_args(cls, args: list[str]) -> PipelineConfig:
+        """rate, duration, parallelism, window seconds, CPU load and profile, in this order, from the first on as many as there are."""
+        names = ("rate", "duration", "parallelism", "size", "cpu_load", "profile")
+        given = dict(zip(names, args, strict=False))
+        read = {"size": lambda v: f"{int(v)} seconds", "profile": str.lower}
+        return cls(**{name: read.get(name, int)(value) for name, value in given.items()})
+
     @property
     def source_parallelism(self) -> int:
         return max(1, self.parallelism // 2)
@@ -44,6 +62,6 @@ class PipelineConfig:
         return max(1, self.parallelism // 4)
 
     def run_name(self) -> str:
-        short = {"tumbling": "TUM", "sliding": "SLI", "session": "SES"}[self.window]
+        # fixed value: the format of the benchmark's run names
         profile = "" if self.profile == "constant" else f",dist={self.profile.upper()}"
-        return f"Nexmark-Config[rate={self.rate // 1000}k,par={self.parallelism},win={short}-{self.size.split()[0]}s{profile}]"
+        return f"Nexmark-Config[rate={self.rate // 1000}k,par={self.parallelism},win={self.window[:3].upper()}-{self.size.split()[0]}s,cpu={self.cpu_load}{profile}]"

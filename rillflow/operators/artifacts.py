@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the job record's fields
 METRICS = "struct<`read-records`:bigint,`write-records`:bigint,`accumulated-backpressured-time`:bigint,`accumulated-idle-time`:bigint>"
 JOB = f"jid string, name string, state string, `start-time` bigint, `end-time` bigint, duration bigint, vertices array<struct<name:string,parallelism:int,metrics:{METRICS}>>"
 # fixed values: the classes of a vertex, first match first
-CLASSES = (("source", "Source"), ("cpu", "CPU Load"), ("latency", "Latency"), ("filter", "Filter"), ("transform", "Transform"), ("window", "Window"), ("sink", "Sink"))
-NODE_CLASSES = "Source, CPU Load, Latency, Filter, Transform, Window, Sink"
-
-
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file, with workload and strategy from the two folders above it."""
-    jobs = spark.read.schema(JOB).option("multiLine", True).json(path)
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    return jobs.select("*", F.element_at(parts, -3).alias("workload"), F.element_at(parts, -2).alias("strategy"))
+CLASSES = (
+    ("source", "Source: Bid Generator"), ("cpu", "CPU Load Simulator"), ("latency", "Latency Tracker"), ("filter", "Filter"),
+    ("transform", "Transform"), ("window", "Window"), ("sink", "Sink"),
+)
 
 
 def header(jobs: DataFrame) -> DataFrame:
@@ -42,14 +37,18 @@ def vertex_class(name: Column) -> Column:
 
 
 def by_class(rows: DataFrame) -> DataFrame:
-    """jid and, for each class, the records out of its last vertex (and in, for filters)."""
+    """jid, duration and, for each class, the records out of its last vertex; for filters and sinks also those in."""
     kind = vertex_class(F.col("vertex"))
     last = lambda label, c: F.coalesce(F.max_by(F.when(kind == label, F.col(c)), F.when(kind == label, F.col("pos"))), F.lit(0))
-    return rows.groupBy("jid", "duration").agg(*(last(label, "records_out").alias(f"{label}_out") for label, _ in CLASSES), last("filter", "records_in").alias("filter_in"))
+    came, went = (last(label, "records_in").alias(f"{label}_in") for label in ("filter", "sink")), (last(label, "records_out").alias(f"{label}_out") for label, _ in CLASSES)
+    return rows.groupBy("jid", "duration").agg(*went, *came)
 
 
 def processed(rows: DataFrame) -> DataFrame:
-    """processed, stage: of latency, transform, cpu and filter the first with records, else the source; and their rate."""
+    """processed, stage: of latency, transform, cpu and filter the first with records, else the source; and their rate.
+
+    A job that processed nothing has no rate.
+    """
     order = ("latency", "transform", "cpu", "filter")
     value, stage = F.col("source_out"), F.lit("source")
     for label in reversed(order):
@@ -58,9 +57,13 @@ def processed(rows: DataFrame) -> DataFrame:
     return rows.select("jid", value.alias("processed"), stage.alias("stage"), throughput(value, F.col("duration")).alias("throughput"))
 
 
-def throughput(records: Column, duration_ms: Column) -> Column:
+def per_second(records: Column, duration_ms: Column) -> Column:
     """Whole records a second; null without a duration."""
-    return F.when(duration_ms > 0, F.floor(records * 1000 / duration_ms).cast("long"))
+    return F.when(duration_ms > 0, F.call_function("div", records.cast("long") * 1000, duration_ms.cast("long")))
+
+
+def throughput(records: Column, duration_ms: Column) -> Column:
+    return F.when(records > 0, per_second(records, duration_ms))
 
 
 def selectivity(records_out: Column, records_in: Column) -> Column:
@@ -85,11 +88,11 @@ def source_log(lines: DataFrame) -> DataFrame:
 
 
 def latency_log(lines: DataFrame) -> DataFrame:
-    """Plain means over subtasks of their final percentiles, and the mean weighted by their counts."""
+    """Plain means over subtasks of their final percentiles, halves to even, and the mean weighted by their counts."""
     last = lines.where(F.contains("line", F.lit(" FINAL ")))
     of = lambda c: number(F.col("line"), c)
     return last.groupBy("run").agg(
-        *(F.round(F.avg(of(c)), 0).cast("long").alias(c) for c in ("p50", "p95", "p99")), F.round(F.avg(of("avg")), 1).alias("avg"),
+        *(F.bround(F.avg(of(c)), 0).cast("long").alias(c) for c in ("p50", "p95", "p99")), F.round(F.avg(of("avg")), 1).alias("avg"),
         F.round(F.sum(of("avg") * of("count")) / F.sum(of("count")), 1).alias("weighted_avg"),
     )
 

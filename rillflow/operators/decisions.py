@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .latency import percentiles  # noqa: F401  (decision latencies use the same rule)
+from ..functions.scores import bucket, regime
+from .ordered import previous, running
 
 
 def pick_first(load: DataFrame) -> DataFrame:
@@ -25,18 +26,19 @@ def pick_by_priority(load: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def round_robin(requests: DataFrame, nodes: int) -> DataFrame:
-    order = Window.partitionBy("run").orderBy("seq")
-    return requests.select("run", "seq", ((F.row_number().over(order) - 1) % nodes).cast("long").alias("node"))
+    """The i-th request of a run (from 0) goes to node i % nodes."""
+    return running(requests.select("run", "seq"), ["run"], "seq", {"_n": F.lit(1)}).select("run", "seq", (F.col("_n") % nodes).cast("long").alias("node"))
 
 
-#: The registry of choice rules: each takes node loads and gives a node a tick.
+#: The registry of choice rules: each takes node loads (tick, node, ord, cpu_pct) and gives a node a tick.
 RULES = {"FCFS": pick_first, "LEAST_LOADED": pick_least_loaded}
 
 
-def reward(cpu: Column) -> Column:
-    """1 in [30, 70]; rising from 0.5 below, falling to 0.5 at 90 above, 0.2 beyond."""
-    raw = F.when(cpu < 30, 0.5 + 0.3 * cpu / 30.0).when(cpu <= 70, F.lit(1.0)).when(cpu <= 90, 1.0 - 0.5 * (cpu - 70.0) / 20.0).otherwise(F.lit(0.2))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+def choose(rule: str, load: DataFrame) -> DataFrame:
+    """tick and node by the named rule; an unknown name raises ValueError. Round robin and priorities look at requests."""
+    if rule not in RULES:
+        raise ValueError(f"{rule!r} is none of {', '.join(RULES)}")
+    return RULES[rule](load)
 
 
 def arm_stats(selections: DataFrame) -> DataFrame:
@@ -45,18 +47,29 @@ def arm_stats(selections: DataFrame) -> DataFrame:
     return found.withColumn("share_pct", F.round(100.0 * F.col("selections") / every, 6)).withColumn("mean_reward", F.round(F.col("total_reward") / F.col("selections"), 6)).withColumn("total_reward", F.round("total_reward", 6))
 
 
-def ucb_scores(selections: DataFrame) -> DataFrame:
-    """The chosen arm's bound before each step: mean reward and sqrt(2) * sqrt(ln(N + 1) / n); null for an arm not tried."""
-    order = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("run", "node").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    n, every = F.count("*").over(own), F.count("*").over(order)
-    mean = F.avg(F.col("reward")).over(own)
-    bound = F.when(n > 0, F.round(mean + F.sqrt(F.lit(2.0)) * F.sqrt(F.log((every + 1).cast("double")) / n), 6))
-    return selections.select("run", "seq", "node", n.alias("tried"), bound.alias("bound"), F.when(n < 2, "EXPLORATION").otherwise("EXPLOITATION").alias("phase"))
+def ucb_scores(selections: DataFrame, least: int = 2) -> DataFrame:
+    """Each arm's bound before each step, whether it was chosen there, and the run's phase.
 
-
-def bucket(cpu: Column) -> Column:
-    return F.when(cpu < 30, "LOW").when(cpu <= 70, "MED").otherwise("HIGH")
+    run, seq, node, chosen, tried, bound, phase: a row per step and arm of the run. bound is the mean reward so far and
+    sqrt(2) * sqrt(ln(N + 1) / n), for an arm not tried yet the largest double. The phase is EXPLORATION as long as an
+    arm has fewer than `least` selections. Rewards are summed to 8 decimals. A run has few arms.
+    """
+    rows = selections.select("run", "seq", "node", F.col("reward").cast("decimal(20,8)").alias("reward"))
+    arms = rows.groupBy("run").agg(F.collect_set("node").alias("_arms"))
+    every = rows.join(F.broadcast(arms), "run").select("run", "seq", F.explode("_arms").alias("_arm"), "node", "reward")
+    own = F.col("_arm") == F.col("node")
+    steps = every.select("run", "seq", F.col("_arm").alias("node"), own.alias("chosen"), F.when(own, F.col("reward")).otherwise(F.lit(0).cast("decimal(20,8)")).alias("_reward"))
+    seen = running(steps, ["run", "node"], "seq", {"tried": F.col("chosen").cast("long"), "_total": F.col("_reward")})
+    seen = running(seen.withColumn("_step", F.struct("seq", "node")), ["run"], "_step", {"_rows": F.lit(1)})
+    few = F.min("tried").over(Window.partitionBy("run", "seq")) < least
+    n_arms = F.count("*").over(Window.partitionBy("run", "seq"))
+    steps_before = F.floor(F.col("_rows") / n_arms)  # each step before has a row per arm
+    mean = F.col("_total").cast("double") / F.col("tried")
+    bound = F.round(mean + F.sqrt(F.lit(2.0)) * F.sqrt(F.log((steps_before + 1).cast("double")) / F.col("tried")), 6)
+    return seen.select(
+        "run", "seq", "node", "chosen", "tried", F.when(F.col("tried") > 0, bound).otherwise(F.lit(1.7976931348623157e308)).alias("bound"),
+        F.when(few, "EXPLORATION").otherwise("EXPLOITATION").alias("phase"),
+    )
 
 
 def states(load: DataFrame) -> DataFrame:
@@ -66,8 +79,9 @@ def states(load: DataFrame) -> DataFrame:
 
 
 def epsilon_schedule(steps: DataFrame) -> DataFrame:
-    visits = F.count("*").over(Window.partitionBy("run", "state").orderBy("seq"))
-    return steps.select("run", "seq", "state", visits.alias("visits"), F.round(F.greatest(F.lit(0.05), 1 / F.sqrt(visits.cast("double"))), 6).alias("epsilon"))
+    """Visits of a state so far, with this one, and the chance of exploring, max(0.05, 1 / sqrt(visits))."""
+    seen = running(steps.select("run", "seq", "state"), ["run", "state"], "seq", {"_n": F.lit(1)}).withColumn("visits", (F.col("_n") + 1).cast("long"))
+    return seen.select("run", "seq", "state", "visits", F.round(F.greatest(F.lit(0.05), 1 / F.sqrt(F.col("visits").cast("double"))), 6).alias("epsilon"))
 
 
 def td_audit(steps: DataFrame, alpha: float = 0.2, gamma: float = 0.8) -> DataFrame:
@@ -76,35 +90,49 @@ def td_audit(steps: DataFrame, alpha: float = 0.2, gamma: float = 0.8) -> DataFr
     return steps.withColumn("q_due", F.round(due, 6)).withColumn("off", F.round(F.abs(F.col("q_new") - due), 6))
 
 
-def regime(cpu: Column) -> Column:
-    return F.when(cpu > 60, "BANDIT").when(cpu > 30, "LEAST_LOADED").otherwise("FCFS")
-
-
 def regime_changes(ticks: DataFrame) -> DataFrame:
     """run, seq, from, to where the regime differs from the run's row before."""
-    rows = ticks.withColumn("to", regime(F.col("cpu"))).withColumn("from", F.lag("to").over(Window.partitionBy("run").orderBy("seq")))
-    return rows.where("from <> to").select("run", "seq", F.col("from").alias("from_regime"), F.col("to").alias("to_regime"))
+    rows = previous(ticks.select("run", "seq", regime(F.col("cpu")).alias("to_regime")), ["run"], "seq", "to_regime", "from_regime")
+    return rows.where("from_regime <> to_regime").select("run", "seq", "from_regime", "to_regime")
 
 
 def regime_cooldown(ticks: DataFrame, seconds: int) -> DataFrame:
-    """Changes that come at least `seconds` after the last one that was let through; sequential, streamed run by run.
+    """Changes that come at least `seconds` after the last one that was let through.
 
-    ticks: run, seq, ts, cpu. Rows of a run pass in order and only its last state is held, whatever its length.
+    ticks: run, seq, ts, cpu. Each change depends on the one before it, so a run is read in order by one task, which
+    holds a batch of rows and looks for the next change in arrays; runs are read side by side.
     """
 
     def accept(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
 
         run, current, changed = None, None, None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.run != run:
-                    run, current, changed = r.run, r.regime, None
-                elif r.regime != current and (changed is None or (r.ts - changed).total_seconds() >= seconds):
-                    out.append((r.run, r.seq, current, r.regime))
-                    current, changed = r.regime, r.ts
-            yield pd.DataFrame(out, columns=["run", "seq", "from_regime", "to_regime"])
-
-    rows = ticks.select("run", "seq", "ts", regime(F.col("cpu")).alias("regime")).repartition("run").sortWithinPartitions("run", "seq")
-    return rows.mapInPandas(accept, "run string, seq long, from_regime string, to_regime string")
+        for batch in batches:
+            runs, regimes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("run", "regime"))
+            at = batch.column("ts").cast(pa.int64()).to_numpy()
+            found, before = [], []
+            edges = np.concatenate([[0], np.flatnonzero(runs[1:] != runs[:-1]) + 1, [len(runs)]])
+            for i, stop in zip(edges[:-1], edges[1:], strict=True):
+                if stop == i:
+                    continue
+                if runs[i] != run:
+                    run, current, changed, i = runs[i], regimes[i], None, i + 1
+                size = 64
+                while i < stop:
+                    end = min(stop, i + size)
+                    hit = regimes[i:end] != current
+                    if changed is not None:
+                        hit &= at[i:end] - changed >= seconds * 1_000_000
+                    if hit.any():
+                        i += int(hit.argmax())
+                        found.append(i)
+                        before.append(current)
+                        current, changed, i, size = regimes[i], at[i], i + 1, 64
+                    else:
+                        i, size = end, 2 * size
+            take = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("run").take(take), batch.column("seq").take(take), pa.array(before, pa.string()), batch.column("regime").take(take)], names=["run", "seq", "from_regime", "to_regime"])
+
+    rows = ticks.select("run", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), regime(F.col("cpu")).alias("regime")).repartition("run").sortWithinPartitions("run", "seq")
+    return rows.mapInArrow(accept, "run string, seq long, from_regime string, to_regime string")

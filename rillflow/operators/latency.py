@@ -53,6 +53,22 @@ def admitted(rows: DataFrame, interval: str, capacity: int) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= capacity).drop("_rank")
 
 
+def counters(rows: DataFrame, interval: str, seconds: int, capacity: int) -> DataFrame:
+    """A source's counters at the end of each interval with rows: totals so far of rows generated, emitted and dropped, the
+    interval's rates, and the part dropped so far (0 if none were generated).
+
+    Intervals are summed up first; the running totals go over one row an interval, in one task.
+    """
+    each = shed(rows, interval, capacity).select("interval_start", "generated", "emitted", "dropped")
+    so_far = Window.partitionBy().orderBy("interval_start").rowsBetween(Window.unboundedPreceding, 0)
+    totals = each.select(
+        "interval_start", *(F.sum(c).over(so_far).alias(f"{c}_total") for c in ("generated", "emitted", "dropped")),
+        *((F.col(c) / F.lit(float(seconds))).alias(f"{c}_per_sec") for c in ("generated", "emitted", "dropped")),
+    )
+    share = F.when(F.col("generated_total") > 0, F.round(100.0 * F.col("dropped_total") / F.col("generated_total"), 6)).otherwise(0.0)
+    return totals.withColumn("drop_pct", share)
+
+
 def snapshots(rows: DataFrame, interval: str, group: str, value: str) -> DataFrame:
     """Figures of a group so far, at the end of each interval in which it has rows."""
     sums = rows.groupBy(group, F.window("ts", interval).alias("w")).agg(F.count("*").alias("c"), F.sum(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -65,3 +81,8 @@ def interval_rates(rows: DataFrame, interval: str, seconds: int, group: str) ->
     sums = rows.groupBy(group, F.window("ts", interval).alias("w")).agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     before = F.lag("n_rows").over(Window.partitionBy(group).orderBy("w.start"))
     return sums.select(group, F.col("w.start").alias("interval_start"), "n_rows", (F.col("n_rows") / F.lit(float(seconds))).alias("per_second"), (F.col("n_rows") - before).alias("change"), "first_ts", "last_ts")
+
+
+def final_rates(rows: DataFrame, group: str) -> DataFrame:
+    """A sink's last line: rows of the whole run, and the times of the first and the last."""
+    return rows.groupBy(group).agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

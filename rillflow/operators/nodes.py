@@ -1,45 +1,45 @@
-"""Quantities, utilisation and predicates of cluster nodes and pods."""
+"""Utilisation and predicates of cluster nodes and pods."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: factors of memory suffixes
-BINARY = {"Ki": 1024, "Mi": 1024**2, "Gi": 1024**3, "Ti": 1024**4}
+from ..functions.quantities import estimated_cpu, utilisation
 
+def pending(pods: DataFrame, scheduler: str) -> DataFrame:
+    return pods.where((F.col("scheduler") == scheduler) & (F.col("node").isNull() | (F.col("node") == "")))
 
-def millicores(text: Column) -> Column:
-    """'2387m', '2' or '250000000n' in millicores; anything else is 0."""
-    number = lambda cut: F.substring(text, F.lit(1), F.length(text) - cut).try_cast("double")
-    value = F.when(F.endswith(text, F.lit("n")), number(1) / 1e6).when(F.endswith(text, F.lit("m")), number(1)).otherwise(text.try_cast("double") * 1000)
-    return F.coalesce(value, F.lit(0.0))
 
+def eligible(nodes: DataFrame) -> DataFrame:
+    """Ready and without a taint that keeps pods away. Nodes without conditions aren't ready; without taints are free."""
+    ready = F.coalesce(F.exists("conditions", lambda c: (c["type"] == "Ready") & (c["status"] == "True")), F.lit(False))
+    tainted = F.coalesce(F.exists("taints", lambda t: t["effect"].isin("NoSchedule", "NoExecute")), F.lit(False))
+    return nodes.where(ready & ~tainted)
 
-def memory_bytes(text: Column) -> Column:
-    """'1943Mi' or a bare number in bytes; anything else is 0."""
-    value = text.try_cast("double")
-    for suffix, factor in BINARY.items():
-        value = F.when(F.endswith(text, F.lit(suffix)), F.substring(text, F.lit(1), F.length(text) - 2).try_cast("double") * float(factor)).otherwise(value)
-    return F.coalesce(value, F.lit(0.0)).cast("long")
 
+def node_cpu(usage: DataFrame, allocatable: DataFrame, default: float = 1000.0) -> DataFrame:
+    """tick, node, pct: millicores used, of those of the node. usage: tick, node, used; allocatable: node, millicores.
 
-def utilisation(used: Column, allocatable: Column, missing: float) -> Column:
-    """Percent in [0, 100]; `missing` stands in where nothing was measured."""
-    percent = 100.0 * used / F.when(allocatable > 0, allocatable)
-    return F.when(percent.isNull(), F.lit(missing)).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), percent)))
+    A node that isn't listed has `default` millicores.
+    """
+    met = usage.join(allocatable, "node", "left")
+    return met.select("tick", "node", utilisation(F.col("used"), F.coalesce("millicores", F.lit(default)), 0.0).alias("pct"))
 
 
-def estimated_cpu(pods: Column) -> Column:
-    return F.least(F.lit(90.0), 15.0 + 8.0 * pods)
+def node_memory(nodes: DataFrame, usage: DataFrame, missing: float = 50.0) -> DataFrame:
+    """tick, node, pct of bytes. nodes: tick, node, bytes; usage: tick, node, used. Nodes without a sample have `missing`."""
+    met = nodes.join(usage, ["tick", "node"], "left")
+    return met.select("tick", "node", utilisation(F.col("used"), F.col("bytes"), missing).alias("pct"))
 
 
-def pending(pods: DataFrame, scheduler: str) -> DataFrame:
-    return pods.where((F.col("scheduler") == scheduler) & (F.col("node").isNull() | (F.col("node") == "")))
+def with_estimates(pods: DataFrame, measured: DataFrame) -> DataFrame:
+    """tick, node, pct: what was measured, else the estimate by the node's pods. pods: tick, node, pods; measured: tick, node, pct."""
+    met = pods.join(measured, ["tick", "node"], "left")
+    return met.select("tick", "node", F.coalesce("pct", estimated_cpu(F.col("pods"))).alias("pct"))
 
 
-def eligible(nodes: DataFrame) -> DataFrame:
-    """Ready and without a taint that keeps pods away. Nodes without conditions aren't ready; without taints are free."""
-    ready = F.coalesce(F.exists("conditions", lambda c: (c["type"] == "Ready") & (c["status"] == "True")), F.lit(False))
-    tainted = F.coalesce(F.exists("taints", lambda t: t["effect"].isin("NoSchedule", "NoExecute")), F.lit(False))
-    return nodes.where(ready & ~tainted)
+def cluster_average(ticks: DataFrame, cpu: DataFrame, missing: float = 50.0) -> DataFrame:
+    """tick, pct: the mean over a tick's nodes, to 4 decimals before it is summed; `missing` for a tick without any."""
+    mean = cpu.groupBy("tick").agg((F.sum(F.col("pct").cast("decimal(20,4)")).cast("double") / F.count("pct")).alias("pct"))
+    return ticks.join(mean, "tick", "left").select("tick", F.coalesce("pct", F.lit(missing)).alias("pct"))

@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AGGREGATES, PROFILES, WINDOWS, PipelineConfig
+from ..functions import quantities, scores
 from ..operators import artifacts, compare, decisions, latency, nodes
 from ..operators import pipeline as core
 from ..sources import bids as source
 from ..streaming import jobs
+from .registry import BIDS, query
+from .registry import bids as _bids
 
 HOURLY = dict(size="1 hour", slide="30 minutes", gap="6 hours")
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-BIDS = "bids AS (SELECT user_id AS auction_id, event_id % 10000 AS bidder_id, value AS price, ts, event_id, event_type FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL)"
 AMOUNTS = BIDS + ", amounts AS (SELECT auction_id, CAST(price * 0.908e0 AS DOUBLE) AS amount, ts, event_id FROM bids WHERE price > 100)"
 AGG_SQL = {
     "sum": "CAST(sum(CAST(amount AS DECIMAL(20,5))) AS DOUBLE)", "avg": "CAST(sum(CAST(amount AS DECIMAL(20,5))) AS DOUBLE) / count(*)",
@@ -32,20 +31,6 @@ WINDOW_SQL = {
 }
 
 
-def query(name: str, sql: str | None = None, bids: str = BIDS):
-    def register(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = f"WITH {bids} {sql}" if bids else sql
-        return f
-
-    return register
-
-
-def _bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.bids(spark, sf_dir)
-
-
 # --- sources
 query("bids_scan", "SELECT auction_id, bidder_id, price, ts FROM bids")(lambda s, d: _bids(s, d).select("auction_id", "bidder_id", "price", "ts"))
 
@@ -71,18 +56,21 @@ for _p in PROFILES:
 
     def _rate(spark: SparkSession, sf_dir: str, p: str = _p) -> DataFrame:
         seconds = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy((F.col("event_id") % 300).cast("int").alias("t")).agg(F.count("*").alias("arrived"))
-        return seconds.select("t", "arrived", source.rate(p, F.col("t"), 50_000, 300).cast("int").alias("target_rate"))
+        return seconds.select("t", "arrived", source.rate(PipelineConfig(profile=p), F.col("t")).cast("int").alias("target_rate"))
 
     query(f"rate_{_p}", f"WITH {SECONDS} SELECT t, count(*) AS arrived, {RATE_SQL[_p]} AS target_rate FROM s GROUP BY t", "")(_rate)
 
 
-@query(
-    "rate_plan",
-    f"WITH {SECONDS}, r AS (SELECT t, {RATE_SQL['step']} AS target_rate FROM s GROUP BY t) SELECT t, target_rate, greatest(1, target_rate // 4) AS instance_rate, greatest(1, (target_rate // 4) // 50) AS batch_size, (target_rate // 4) * 2 AS capacity FROM r",
-    "",
-)
+RATE_PLAN_SQL = f"""
+WITH {SECONDS}, r AS (SELECT t, {RATE_SQL['step']} AS target_rate FROM s GROUP BY t)
+SELECT t, target_rate, greatest(1, target_rate // 4) AS instance_rate, greatest(1, greatest(1, target_rate // 4) // 50) AS batch_size,
+       greatest(1, 75000 // 4) * 2 AS capacity
+FROM r"""
+
+
+@query("rate_plan", RATE_PLAN_SQL, "")
 def rate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.rate_plan(_rate(spark, sf_dir, "step").drop("arrived"), 4)
+    return source.rate_plan(_rate(spark, sf_dir, "step").drop("arrived"), PipelineConfig(profile="step"), 4)
 
 
 # --- filters and projections
@@ -169,7 +157,20 @@ query("latency_snapshots", f"SELECT event_type, day + INTERVAL '1 day' AS snapsh
 )
 RATES = f"SELECT event_type, {DAY} AS interval_start, count(*) AS n_rows, count(*) / 86400.0e0 AS per_second, count(*) - lag(count(*)) OVER (PARTITION BY event_type ORDER BY {DAY}) AS change, min(ts) AS first_ts, max(ts) AS last_ts FROM {{t}} GROUP BY 1, 2"
 query("sink_rate", RATES.format(t="(SELECT * FROM bids WHERE price > 100)"))(lambda s, d: latency.interval_rates(core.high_value(_bids(s, d)), "1 day", 86400, "event_type"))
-query("source_counters", RATES.format(t="bids"))(lambda s, d: latency.interval_rates(_bids(s, d), "1 day", 86400, "event_type"))
+COUNTERS_SQL = f"""
+, i AS (SELECT {DAY} AS interval_start, count(*) AS generated, least(count(*), 300) AS emitted FROM bids GROUP BY 1),
+c AS (SELECT *, generated - emitted AS dropped FROM i),
+t AS (
+  SELECT interval_start, CAST(sum(generated) OVER w AS BIGINT) AS generated_total, CAST(sum(emitted) OVER w AS BIGINT) AS emitted_total,
+         CAST(sum(dropped) OVER w AS BIGINT) AS dropped_total, generated / 86400.0e0 AS generated_per_sec, emitted / 86400.0e0 AS emitted_per_sec,
+         dropped / 86400.0e0 AS dropped_per_sec
+  FROM c WINDOW w AS (ORDER BY interval_start ROWS UNBOUNDED PRECEDING))
+SELECT *, CASE WHEN generated_total > 0 THEN round(100.0e0 * dropped_total / generated_total, 6) ELSE 0.0e0 END AS drop_pct FROM t"""
+query("source_counters", COUNTERS_SQL)(lambda s, d: latency.counters(_bids(s, d), "1 day", 86400, 300))
+query("source_rates", RATES.format(t="bids"))(lambda s, d: latency.interval_rates(_bids(s, d), "1 day", 86400, "event_type"))
+query("sink_totals", "SELECT event_type, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM bids WHERE price > 100 GROUP BY 1")(
+    lambda s, d: latency.final_rates(core.high_value(_bids(s, d)), "event_type")
+)
 
 # --- nodes
 LOAD = BIDS + f", load AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS tick, auction_id % 3 AS node, auction_id % 3 AS ord, max(least(100.0e0, price)) AS cpu_pct, count(*) AS pods, min(price) AS low FROM bids GROUP BY ALL)"
@@ -181,17 +182,64 @@ def _load(s: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ord", F.col("node"))
 
 
-query("cpu_utilisation", "SELECT tick, node, least(100.0e0, greatest(0.0e0, 100.0e0 * low / cpu_pct)) AS pct FROM load", LOAD)(lambda s, d: _load(s, d).select("tick", "node", nodes.utilisation(F.col("low"), F.col("cpu_pct"), 0.0).alias("pct")))
-query("mem_utilisation", "SELECT tick, node, CASE WHEN pods > 1 THEN least(100.0e0, 100.0e0 * low / (pods - 1)) ELSE 50.0e0 END AS pct FROM load", LOAD)(lambda s, d: _load(s, d).select("tick", "node", nodes.utilisation(F.col("low"), F.col("pods") - 1, 50.0).alias("pct")))
-query("cpu_estimated", "SELECT tick, node, CASE WHEN cpu_pct > 20 THEN cpu_pct ELSE least(90.0e0, 15.0e0 + 8.0e0 * pods) END AS pct FROM load", LOAD)(lambda s, d: _load(s, d).select("tick", "node", F.coalesce(F.when(F.col("cpu_pct") > 20, F.col("cpu_pct")), nodes.estimated_cpu(F.col("pods"))).alias("pct")))
-query("cluster_avg_cpu", "SELECT tick, CAST(sum(CAST(cpu_pct AS DECIMAL(20,4))) AS DOUBLE) / count(*) AS pct FROM load GROUP BY 1", LOAD)(lambda s, d: _load(s, d).groupBy("tick").agg((F.sum(F.col("cpu_pct").cast("decimal(20,4)")).cast("double") / F.count("*")).alias("pct")))
+USED = LOAD + """,
+used AS (SELECT tick, node, CAST(round(cpu_pct * 9) AS DOUBLE) AS used, CAST(round(low * 1000) AS BIGINT) AS bytes_used, pods FROM load),
+sizes AS (SELECT DISTINCT node, CASE node WHEN 0 THEN 900.0e0 WHEN 1 THEN 500.0e0 END AS millicores FROM load WHERE node < 2),
+cpu AS (
+  SELECT tick, node, least(100.0e0, greatest(0.0e0, 100.0e0 * used / coalesce(millicores, 1000.0e0))) AS pct
+  FROM used LEFT JOIN sizes USING (node))"""
+
+
+def _usage(s: SparkSession, d: str) -> DataFrame:
+    used = F.round(F.col("cpu_pct") * 9).cast("double")
+    return _load(s, d).select("tick", "node", used.alias("used"), F.round(F.col("low") * 1000).cast("bigint").alias("bytes_used"), "pods")
+
+
+def _node_cpu(s: SparkSession, d: str) -> DataFrame:
+    """Node 2 says nothing of its size."""
+    sizes = _load(s, d).where("node < 2").select("node", F.when(F.col("node") == 0, 900.0).otherwise(500.0).alias("millicores")).distinct()
+    return nodes.node_cpu(_usage(s, d), sizes)
+
+
+query("cpu_utilisation", "SELECT tick, node, pct FROM cpu", USED)(_node_cpu)
+
+
+@query(
+    "mem_utilisation",
+    """SELECT tick, node, CASE WHEN pods % 5 = 0 OR pods = 1 THEN 50.0e0
+              ELSE least(100.0e0, greatest(0.0e0, 100.0e0 * bytes_used / ((pods - 1) * 10000))) END AS pct FROM used""",
+    USED,
+)
+def mem_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of some nodes there is no sample, and of some no size."""
+    used = _usage(spark, sf_dir)
+    return nodes.node_memory(used.select("tick", "node", ((F.col("pods") - 1) * 10000).alias("bytes")), used.where("pods % 5 <> 0").select("tick", "node", F.col("bytes_used").alias("used")))
+
+
+@query("cpu_estimated", "SELECT tick, node, CASE WHEN pods % 3 = 0 THEN least(90.0e0, 15.0e0 + 8.0e0 * pods) ELSE pct END AS pct FROM cpu JOIN used USING (tick, node)", USED)
+def cpu_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pods = _usage(spark, sf_dir).select("tick", "node", "pods")
+    return nodes.with_estimates(pods, _node_cpu(spark, sf_dir).join(pods.where("pods % 3 <> 0"), ["tick", "node"], "left_semi"))
+
+
+CLUSTER_SQL = """
+SELECT t.tick, coalesce(CAST(sum(CAST(pct AS DECIMAL(20,4))) AS DOUBLE) / count(pct), 50.0e0) AS pct
+FROM (SELECT DISTINCT tick FROM load) t LEFT JOIN (SELECT * FROM cpu WHERE node = 1) c ON c.tick = t.tick GROUP BY 1"""
+
+
+@query("cluster_avg_cpu", CLUSTER_SQL, USED)
+def cluster_avg_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over one node, which some ticks lack."""
+    return nodes.cluster_average(_load(spark, sf_dir).select("tick").distinct(), _node_cpu(spark, sf_dir).where("node = 1"))
+
+
 query("pod_cpu", "SELECT auction_id AS pod, CAST(sum(coalesce(CAST(round(price * 100) AS BIGINT), 100)) AS BIGINT) AS millicores FROM bids GROUP BY 1")(
-    lambda s, d: _bids(s, d).groupBy(F.col("auction_id").alias("pod")).agg(F.sum(nodes.millicores(F.concat(F.round(F.col("price") * 100).cast("bigint").cast("string"), F.lit("m")))).cast("bigint").alias("millicores"))
+    lambda s, d: _bids(s, d).groupBy(F.col("auction_id").alias("pod")).agg(F.sum(quantities.millicores(F.concat(F.round(F.col("price") * 100).cast("bigint").cast("string"), F.lit("m")))).cast("bigint").alias("millicores"))
 )
 _cpu_text = lambda: F.when(F.col("event_id") % 4 == 0, F.concat(F.col("event_id").cast("string"), F.lit("m"))).when(F.col("event_id") % 4 == 1, F.col("event_id").cast("string")).when(F.col("event_id") % 4 == 2, F.concat((F.col("event_id") * 1000000).cast("string"), F.lit("n"))).otherwise("bad")
-query("quantity_cpu", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN event_id * 1000.0e0 WHEN 2 THEN event_id::DOUBLE ELSE 0.0e0 END AS millicores FROM events", "")(lambda s, d: _bids(s, d).select("event_id", nodes.millicores(_cpu_text()).alias("millicores")))
+query("quantity_cpu", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN event_id * 1000.0e0 WHEN 2 THEN event_id::DOUBLE ELSE 0.0e0 END AS millicores FROM events", "")(lambda s, d: _bids(s, d).select("event_id", quantities.millicores(_cpu_text()).alias("millicores")))
 _mem_text = lambda: F.concat(F.col("event_id").cast("string"), F.element_at(F.array(*map(F.lit, ("Ki", "Mi", "Gi", "x"))), (F.col("event_id") % 4 + 1).cast("int")))
-query("quantity_mem", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id * 1024 WHEN 1 THEN event_id * 1048576 WHEN 2 THEN event_id * 1073741824 ELSE 0 END AS bytes FROM events", "")(lambda s, d: _bids(s, d).select("event_id", nodes.memory_bytes(_mem_text()).alias("bytes")))
+query("quantity_mem", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id * 1024 WHEN 1 THEN event_id * 1048576 WHEN 2 THEN event_id * 1073741824 ELSE 0 END AS bytes FROM events", "")(lambda s, d: _bids(s, d).select("event_id", quantities.memory_bytes(_mem_text()).alias("bytes")))
 query("pods_pending", "SELECT event_id AS pod FROM bids WHERE event_type IN ('click', 'view') AND auction_id % 3 < 2")(
     lambda s, d: nodes.pending(_bids(s, d).select(F.col("event_id").alias("pod"), F.when(F.col("event_type").isin("click", "view"), "own").otherwise("other").alias("scheduler"), F.when(F.col("auction_id") % 3 == 0, "").when(F.col("auction_id") % 3 == 2, "n").alias("node")), "own").select("pod")
 )
@@ -205,8 +253,8 @@ def nodes_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- decisions
-query("pick_first", "SELECT tick, arg_min(node, ord) AS node FROM load GROUP BY 1", LOAD)(lambda s, d: decisions.pick_first(_load(s, d)))
-query("pick_least_loaded", "SELECT tick, node FROM (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY cpu_pct, ord) AS r FROM load) WHERE r = 1", LOAD)(lambda s, d: decisions.pick_least_loaded(_load(s, d)))
+query("pick_first", "SELECT tick, arg_min(node, ord) AS node FROM load GROUP BY 1", LOAD)(lambda s, d: decisions.choose("FCFS", _load(s, d)))
+query("pick_least_loaded", "SELECT tick, node FROM (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY cpu_pct, ord) AS r FROM load) WHERE r = 1", LOAD)(lambda s, d: decisions.choose("LEAST_LOADED", _load(s, d)))
 query("assign_round_robin", "SELECT event_type AS run, event_id AS seq, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 3 AS node FROM bids")(lambda s, d: decisions.round_robin(_bids(s, d).select(F.col("event_type").alias("run"), F.col("event_id").alias("seq")), 3))
 
 
@@ -223,15 +271,28 @@ STEPS = BIDS + ", steps AS (SELECT event_type AS run, event_id AS seq, auction_i
 
 def _steps(s: SparkSession, d: str) -> DataFrame:
     rows = _bids(s, d).select(F.col("event_type").alias("run"), F.col("event_id").alias("seq"), (F.col("auction_id") % 3).alias("node"), F.least(F.lit(100.0), "price").alias("cpu"), "ts")
-    return rows.withColumn("reward", decisions.reward(F.col("cpu")))
+    return rows.withColumn("reward", scores.reward(F.col("cpu")))
 
 
 query("reward_score", "SELECT run, seq, round(reward, 9) AS reward FROM rewarded", STEPS)(lambda s, d: _steps(s, d).select("run", "seq", F.round("reward", 9).alias("reward")))
 query("arm_stats", "SELECT run, node, count(*) AS selections, round(CAST(sum(CAST(reward AS DECIMAL(20,8))) AS DOUBLE), 6) AS total_reward, round(100.0e0 * count(*) / sum(count(*)) OVER (PARTITION BY run), 6) AS share_pct, round(CAST(sum(CAST(reward AS DECIMAL(20,8))) AS DOUBLE) / count(*), 6) AS mean_reward FROM rewarded GROUP BY run, node", STEPS)(lambda s, d: decisions.arm_stats(_steps(s, d)))
-query("ucb_scores", "SELECT run, seq, node, count(*) OVER o AS tried, CASE WHEN count(*) OVER o > 0 THEN round(avg(reward) OVER o + sqrt(2.0e0) * sqrt(ln(CAST(count(*) OVER e + 1 AS DOUBLE)) / count(*) OVER o), 6) END AS bound, CASE WHEN count(*) OVER o < 2 THEN 'EXPLORATION' ELSE 'EXPLOITATION' END AS phase FROM rewarded WINDOW o AS (PARTITION BY run, node ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), e AS (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", STEPS)(lambda s, d: decisions.ucb_scores(_steps(s, d)))
+UCB_SQL = """
+, arms AS (SELECT DISTINCT run, node FROM steps),
+e AS (
+  SELECT s.run, s.seq, a.node, a.node = s.node AS chosen, CASE WHEN a.node = s.node THEN CAST(reward AS DECIMAL(20,8)) ELSE 0 END AS r,
+         row_number() OVER (PARTITION BY s.run, a.node ORDER BY s.seq) - 1 AS n_before
+  FROM rewarded s JOIN arms a ON a.run = s.run),
+t AS (
+  SELECT *, coalesce(CAST(sum(chosen::INT) OVER o AS BIGINT), 0) AS tried, coalesce(CAST(sum(r) OVER o AS DOUBLE), 0) AS total
+  FROM e WINDOW o AS (PARTITION BY run, node ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT run, seq, node, chosen, tried,
+       CASE WHEN tried > 0 THEN round(total / tried + sqrt(2.0e0) * sqrt(ln(CAST(n_before + 1 AS DOUBLE)) / tried), 6) ELSE 1.7976931348623157e308 END AS bound,
+       CASE WHEN min(tried) OVER (PARTITION BY run, seq) < 2 THEN 'EXPLORATION' ELSE 'EXPLOITATION' END AS phase
+FROM t"""
+query("ucb_scores", UCB_SQL, STEPS)(lambda s, d: decisions.ucb_scores(_steps(s, d)))
 BUCKET = "CASE WHEN {c} < 30 THEN 'LOW' WHEN {c} <= 70 THEN 'MED' ELSE 'HIGH' END"
 query("state_bucket", f"SELECT tick, {BUCKET.format(c='mean')} || '_' || {BUCKET.format(c='most')} AS state FROM (SELECT tick, CAST(sum(CAST(cpu_pct AS DECIMAL(20,4))) AS DOUBLE) / count(*) AS mean, max(cpu_pct) AS most FROM load GROUP BY 1)", LOAD)(lambda s, d: decisions.states(_load(s, d)))
-query("epsilon_schedule", f"SELECT run, seq, state, visits, round(greatest(0.05e0, 1 / sqrt(CAST(visits AS DOUBLE))), 6) AS epsilon FROM (SELECT *, count(*) OVER (PARTITION BY run, state ORDER BY seq) AS visits FROM (SELECT run, seq, {BUCKET.format(c='cpu')} AS state FROM steps))", STEPS)(lambda s, d: decisions.epsilon_schedule(_steps(s, d).withColumn("state", decisions.bucket(F.col("cpu")))))
+query("epsilon_schedule", f"SELECT run, seq, state, visits, round(greatest(0.05e0, 1 / sqrt(CAST(visits AS DOUBLE))), 6) AS epsilon FROM (SELECT *, count(*) OVER (PARTITION BY run, state ORDER BY seq) AS visits FROM (SELECT run, seq, {BUCKET.format(c='cpu')} AS state FROM steps))", STEPS)(lambda s, d: decisions.epsilon_schedule(_steps(s, d).withColumn("state", scores.bucket(F.col("cpu")))))
 query("td_audit", "SELECT run, seq, round(q + 0.2e0 * (reward + 0.8e0 * q - q), 6) AS q_due, round(abs(reward - (q + 0.2e0 * (reward + 0.8e0 * q - q))), 6) AS off FROM (SELECT *, cpu / 100.0e0 AS q FROM rewarded)", STEPS)(
     lambda s, d: decisions.td_audit(_steps(s, d).select("run", "seq", "reward", (F.col("cpu") / 100.0).alias("q"), (F.col("cpu") / 100.0).alias("q_next"), F.col("reward").alias("q_new"))).select("run", "seq", "q_due", "off")
 )
@@ -239,9 +300,19 @@ SNAP = "SELECT run, node, arg_max(cpu, seq) AS q FROM steps GROUP BY 1, 2"
 query("q_snapshot", SNAP, STEPS)(lambda s, d: _steps(s, d).groupBy("run", "node").agg(F.max_by("cpu", "seq").alias("q")))
 query("top_q", f"SELECT * FROM ({SNAP}) ORDER BY q DESC, run, node LIMIT 10", STEPS)(lambda s, d: _steps(s, d).groupBy("run", "node").agg(F.max_by("cpu", "seq").alias("q")).orderBy(F.desc("q"), "run", "node").limit(10))
 REGIME = "CASE WHEN cpu > 60 THEN 'BANDIT' WHEN cpu > 30 THEN 'LEAST_LOADED' ELSE 'FCFS' END"
-query("regime", f"SELECT run, seq, {REGIME} AS regime FROM steps", STEPS)(lambda s, d: _steps(s, d).select("run", "seq", decisions.regime(F.col("cpu")).alias("regime")))
+query("regime", f"SELECT run, seq, {REGIME} AS regime FROM steps", STEPS)(lambda s, d: _steps(s, d).select("run", "seq", scores.regime(F.col("cpu")).alias("regime")))
 query("regime_changes", f"SELECT * FROM (SELECT run, seq, lag({REGIME}) OVER (PARTITION BY run ORDER BY seq) AS from_regime, {REGIME} AS to_regime FROM steps) WHERE from_regime <> to_regime", STEPS)(lambda s, d: decisions.regime_changes(_steps(s, d)))
-query("regime_cooldown")(lambda s, d: decisions.regime_cooldown(_steps(s, d), 3600))
+COOLDOWN_SQL = f"""
+, r AS (SELECT run, seq, ts, {REGIME} AS regime FROM steps),
+c(run, seq, ts, from_regime, to_regime) AS (
+  SELECT run, seq, NULL::TIMESTAMP, NULL::VARCHAR, regime FROM r WHERE (run, seq) IN (SELECT run, min(seq) FROM r GROUP BY 1)
+  UNION ALL
+  SELECT n.run, n.seq, n.ts, n.was, n.regime FROM (
+    SELECT r.*, c.to_regime AS was, row_number() OVER (PARTITION BY r.run ORDER BY r.seq) AS k
+    FROM c JOIN r ON r.run = c.run AND r.seq > c.seq AND r.regime <> c.to_regime AND (c.ts IS NULL OR r.ts - c.ts >= INTERVAL '3600 seconds')) n
+  WHERE k = 1)
+SELECT run, seq, from_regime, to_regime FROM c WHERE from_regime IS NOT NULL"""
+query("regime_cooldown", COOLDOWN_SQL, "RECURSIVE " + STEPS)(lambda s, d: decisions.regime_cooldown(_steps(s, d), 3600))
 query("decision_stats", "SELECT event_type AS strategy, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (), 6) AS share_pct FROM bids GROUP BY 1")(lambda s, d: compare.shares(_bids(s, d).select(F.col("event_type").alias("strategy")), "strategy"))
 
 # --- records of runs, written as JSON and text from events and read back
@@ -283,14 +354,14 @@ _n = lambda c: F.format_number(F.col(c) * 1000, 0)
 query("parse_source_log", f"WITH {USERS}, g AS (SELECT user_id % 10 AS run, CAST(sum(n * 1000) AS BIGINT) AS generated, CAST(sum(hi * 1000) AS BIGINT) AS emitted, CAST(sum((n - hi) * 1000) AS BIGINT) AS dropped FROM u GROUP BY 1) SELECT run, generated, emitted, dropped, (dropped * 10000 // generated) / 100.0e0 AS drop_pct FROM g", "")(
     lambda s, d: artifacts.source_log(_lines(s, d, "[Source-1] FINALIZADO en 90.1s: generated=", _n("n"), ", emitted=", _n("hi"), ", dropped=", F.format_number((F.col("n") - F.col("hi")) * 1000, 0), " (0.0%)"))
 )
-query("parse_latency_log", f"WITH {USERS} SELECT run, CAST(round(avg(n)) AS BIGINT) AS p50, CAST(round(avg(n + 5)) AS BIGINT) AS p95, CAST(round(avg(n + 9)) AS BIGINT) AS p99, round(avg(n + 0.0e0), 1) AS avg, round(sum(n * n) / sum(n + 0.0e0), 1) AS weighted_avg FROM (SELECT user_id % 10 AS run, n FROM u) GROUP BY 1", "")(
+query("parse_latency_log", f"WITH {USERS} SELECT run, CAST(round_even(avg(n), 0) AS BIGINT) AS p50, CAST(round_even(avg(n + 5), 0) AS BIGINT) AS p95, CAST(round_even(avg(n + 9), 0) AS BIGINT) AS p99, round(avg(n + 0.0e0), 1) AS avg, round(sum(n * n) / sum(n + 0.0e0), 1) AS weighted_avg FROM (SELECT user_id % 10 AS run, n FROM u) GROUP BY 1", "")(
     lambda s, d: artifacts.latency_log(_lines(s, d, "[Latency-TOTAL-0] FINAL count=", F.col("n").cast("string"), " min=1ms p50=", F.col("n").cast("string"), "ms p95=", (F.col("n") + 5).cast("string"), "ms p99=", (F.col("n") + 9).cast("string"), "ms max=9ms avg=", F.col("n").cast("string"), ".0ms"))
 )
 query("parse_sink_log", f"WITH {USERS} SELECT user_id % 10 AS run, n AS records, hi AS rate FROM u", "")(lambda s, d: artifacts.sink_log(_lines(s, d, "[Sink-0] records=", F.col("n").cast("string"), " rate=", F.col("hi").cast("string"), "/s")))
 query("parse_selections", f"WITH {USERS} SELECT user_id % 10 AS run, 'node-' || user_id AS node, hi + 0.0e0 AS cpu, 0.5e0 AS reward, n AS total FROM u", "")(lambda s, d: artifacts.selection_log(_lines(s, d, "[BANDIT] [SELECTION] Node: node-", F.col("user_id").cast("string"), " | Reason: EXPLORATION | CPU: ", F.col("hi").cast("string"), ".0% | Reward: 0.5 | Total: ", F.col("n").cast("string"), " | Arm: 1")))
 query("parse_td_updates", f"WITH {USERS} SELECT user_id % 10 AS run, 'LOW_LOW' AS state, hi AS action, 0.5e0 AS reward, 0.5e0 AS q, n + 0.25e0 AS q_new FROM u", "")(lambda s, d: artifacts.td_log(_lines(s, d, "[SARSA] [UPDATE] s=LOW_LOW a=", F.col("hi").cast("string"), " r=0.5 s'=LOW_LOW a'=1  Q: 0.5000 -> ", F.col("n").cast("string"), ".2500")))
 query("parse_node_metrics", f"WITH {USERS} SELECT 'node-' || user_id AS node, n + 0.0e0 AS millicores, hi * 1048576 AS bytes FROM u", "")(
-    lambda s, d: _lines(s, d, "node-", F.col("user_id").cast("string"), "   ", F.col("n").cast("string"), "m   19%   ", F.col("hi").cast("string"), "Mi  24%").select(F.split("line", "\\s+").alias("c")).select(F.col("c")[0].alias("node"), nodes.millicores(F.col("c")[1]).alias("millicores"), nodes.memory_bytes(F.col("c")[3]).alias("bytes"))
+    lambda s, d: _lines(s, d, "node-", F.col("user_id").cast("string"), "   ", F.col("n").cast("string"), "m   19%   ", F.col("hi").cast("string"), "Mi  24%").select(F.split("line", "\\s+").alias("c")).select(F.col("c")[0].alias("node"), quantities.millicores(F.col("c")[1]).alias("millicores"), quantities.memory_bytes(F.col("c")[3]).alias("bytes"))
 )
 PLACED = f"WITH {USERS}, p AS (SELECT user_id % 10 AS run, 'n' || (n % 4) AS node, count(*) AS pods FROM u GROUP BY 1, 2) "
 
@@ -304,14 +375,15 @@ query("placement_balance", PLACED + "SELECT run, count(*) AS nodes_used, CAST(su
 
 
 def _texts(s: SparkSession, d: str, *parts) -> DataFrame:
-    lines = _lines(s, d, *parts).withColumn("k", F.regexp_extract("line", "#(\\d+)", 1).cast("long"))
+    """A text for each hundred users, so none grows with the table."""
+    lines = _lines(s, d, *parts).withColumn("k", F.regexp_extract("line", "#(\\d+)", 1).cast("long")).withColumn("run", F.expr("k div 100"))
     return lines.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "").alias("text"))
 
 
-query("parse_decisions", f"WITH {USERS} SELECT user_id % 10 AS run, row_number() OVER (PARTITION BY user_id % 10 ORDER BY user_id) AS seq, 'p#' || user_id AS pod, 'FCFS' AS strategy, CASE WHEN n % 2 = 0 THEN 'n1' END AS node, hi + 0.5e0 AS cpu FROM u", "")(
+query("parse_decisions", f"WITH {USERS} SELECT user_id // 100 AS run, row_number() OVER (PARTITION BY user_id // 100 ORDER BY user_id) AS seq, 'p#' || user_id AS pod, 'FCFS' AS strategy, CASE WHEN n % 2 = 0 THEN 'n1' END AS node, hi + 0.5e0 AS cpu FROM u", "")(
     lambda s, d: artifacts.decisions(_texts(s, d, "[SCHEDULING] Pod: p#", F.col("user_id").cast("string"), "\n  Strategy: FCFS\n", F.when(F.col("n") % 2 == 0, "  Result: SCHEDULED to n1\n").otherwise(""), "  Node CPU: ", F.col("hi").cast("string"), ".5% (real)\n"))
 )
-query("parse_switches", f"WITH {USERS} SELECT user_id % 10 AS run, row_number() OVER (PARTITION BY user_id % 10 ORDER BY user_id) AS seq, 'FCFS' AS from_strategy, 'B#' || user_id AS to_strategy, hi + 0.5e0 AS cpu, TIMESTAMP '2025-11-27 22:38:18' AS at FROM u", "")(
+query("parse_switches", f"WITH {USERS} SELECT user_id // 100 AS run, row_number() OVER (PARTITION BY user_id // 100 ORDER BY user_id) AS seq, 'FCFS' AS from_strategy, 'B#' || user_id AS to_strategy, hi + 0.5e0 AS cpu, TIMESTAMP '2025-11-27 22:38:18' AS at FROM u", "")(
     lambda s, d: artifacts.switches(_texts(s, d, "[STRATEGY SWITCH]\n  From: FCFS\n  To: B#", F.col("user_id").cast("string"), "\n  Reason: Cluster CPU = ", F.col("hi").cast("string"), ".5%\n  Time: 2025-11-27 22:38:18\n"))
 )
 query("parse_job_name", f"WITH {USERS} SELECT user_id, n || 'k' AS rate, CAST(hi AS VARCHAR) AS par FROM u", "")(
@@ -321,15 +393,25 @@ query("metrics_csv_repair", f"WITH {USERS} SELECT user_id AS run, 4 AS n_names,
     lambda s, d: artifacts.repair_csv(_users(s, d).select(F.col("user_id").alias("run"), F.concat(F.lit("a,b,c,d\n"), F.col("n").cast("string"), F.lit(","), F.col("hi").cast("string"), F.lit(",0\n0,"), F.col("ms").cast("string"), F.lit("\n")).alias("text"))).select("run", F.size("names").alias("n_names"), F.size("values").alias("n_values"), F.col("values")[0].alias("a"), F.col("values")[2].alias("c"), F.col("values")[3].alias("d"))
 )
 
-# --- comparison: strategy is the user's remainder, distribution the event type
-RUNS = BIDS + ", runs AS (SELECT 's' || (auction_id % 5) AS strategy, event_type AS distribution, count(*) AS throughput, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS p95, max(event_id) AS seq, count(*) FILTER (price > 100) AS p99, round(100.0e0 * count(*) FILTER (price > 100) / count(*), 2) AS drop_pct FROM bids GROUP BY ALL)"
+# --- comparison: strategy is the user's remainder, distribution the event type; latency is the price in cents
+RUNS = MS.replace("SELECT event_type, CAST", "SELECT 's' || (auction_id % 5) AS strategy, price, event_id, event_type AS distribution, CAST") + """,
+runs AS (
+  SELECT strategy, distribution, count(*) AS throughput, max(event_id) AS seq,
+         list(ms ORDER BY ms)[CAST(least(count(*) - 1, trunc(count(*) * 0.95e0)) AS BIGINT) + 1] AS p95,
+         list(ms ORDER BY ms)[CAST(least(count(*) - 1, trunc(count(*) * 0.99e0)) AS BIGINT) + 1] AS p99,
+         round(100.0e0 * count(*) FILTER (price > 100) / count(*), 2) AS drop_pct,
+         round(100.0e0 * count(*) FILTER (ms > 15000) / count(*), 2) AS stale_pct
+  FROM l GROUP BY ALL)"""
 
 
 def _runs(s: SparkSession, d: str) -> DataFrame:
-    high = F.count_if(F.col("price") > 100)
-    return _bids(s, d).groupBy(F.concat(F.lit("s"), (F.col("auction_id") % 5).cast("string")).alias("strategy"), F.col("event_type").alias("distribution")).agg(
-        F.count("*").alias("throughput"), F.sum(F.round(F.col("price") * 100).cast("bigint")).alias("p95"), F.max("event_id").alias("seq"), high.alias("p99"), F.round(100.0 * high / F.count("*"), 2).alias("drop_pct")
+    strategy, ms = F.concat(F.lit("s"), (F.col("auction_id") % 5).cast("string")), F.round(F.col("price") * 100).cast("bigint")
+    rows = _bids(s, d).select(strategy.alias("strategy"), F.col("event_type").alias("distribution"), ms.alias("ms"), "price", "event_id").withColumn("run", F.concat_ws("/", "strategy", "distribution"))
+    share = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 2)
+    counts = rows.groupBy("run", "strategy", "distribution").agg(
+        F.count("*").alias("throughput"), F.max("event_id").alias("seq"), share(F.col("price") > 100).alias("drop_pct"), share(F.col("ms") > 15000).alias("stale_pct")
     )
+    return counts.join(latency.percentiles(rows, "run", "ms").select("run", "p95", "p99"), "run").drop("run")
 
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -345,4 +427,10 @@ query("rank_strategies", "SELECT distribution, strategy, rank() OVER (PARTITION
 query("consolidate", "SELECT strategy, distribution, throughput, p95, NULL::BIGINT AS p99, 'old' AS layout FROM runs UNION ALL SELECT strategy, distribution, throughput, NULL, p99, 'new' FROM runs", RUNS)(
     lambda s, d: compare.consolidate({"old": _runs(s, d).select("strategy", "distribution", "throughput", "p95"), "new": _runs(s, d).select("strategy", "distribution", "throughput", "p99")})
 )
-query("plot_summary", "SELECT distribution, strategy, throughput, drop_pct, 0.97e0 AS stale_pct FROM runs", RUNS)(lambda s, d: _runs(s, d).select("distribution", "strategy", "throughput", "drop_pct", F.lit(".97").try_cast("double").alias("stale_pct")))
+
+
+@query("plot_summary", "SELECT distribution, strategy, throughput, drop_pct, stale_pct FROM runs", RUNS)
+def plot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of stale rows comes as text without a leading 0."""
+    text = F.regexp_replace(F.col("stale_pct").cast("string"), "^0\\.", ".")
+    return _runs(spark, sf_dir).select("distribution", "strategy", "throughput", "drop_pct", text.try_cast("double").alias("stale_pct"))

@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import PipelineConfig
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _as_bids(events: DataFrame) -> DataFrame:
+def as_bids(events: DataFrame) -> DataFrame:
     bids = events.select(
         F.col("user_id").alias("auction_id"), (F.col("event_id") % 10000).alias("bidder_id"), F.col("value").alias("price"), "ts", "event_id", "event_type"
     )
@@ -19,15 +21,16 @@ def _as_bids(events: DataFrame) -> DataFrame:
 
 def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as bids; rows without key, price or time are left out."""
-    return _as_bids(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return as_bids(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def bid_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+def bid_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1) -> DataFrame:
     """The same as a stream of files. Event time needs an instant, so ts is read in the session's zone."""
     # as a pattern, the path may be a file or a folder of files; a plain path must be a folder
     path = f"{path[:-1]}[{path[-1]}]"
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return _as_bids(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(EVENTS)
+    events = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+    return as_bids(events).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def pool_replay(spark: SparkSession, n: int, pool: int = 10_000) -> DataFrame:
@@ -39,23 +42,31 @@ def pool_replay(spark: SparkSession, n: int, pool: int = 10_000) -> DataFrame:
     return spark.range(n).withColumn("k", F.col("id") % pool).join(F.broadcast(made), "k").select("id", "auction_id", "bidder_id", "price")
 
 
-def rate(profile: str, t: Column, base: int, duration: int) -> Column:
+def rate(config: PipelineConfig, t: Column) -> Column:
     """Events a second at second t. Step and sine are at least 1; fractions are cut."""
-    if profile == "constant":
+    base, duration = config.rate, config.duration
+    if config.profile == "constant":
         return F.lit(base)
-    if profile == "step":
-        middle = (t >= int(duration * 0.33)) & (t < int(duration * 0.66))
-        value = F.when(middle, F.lit(int(base * 1.5))).otherwise(F.lit(int(base * 0.25)))
+    if config.profile == "step":
+        middle = (t >= int(duration * config.step_from)) & (t < int(duration * config.step_to))
+        value = F.when(middle, F.lit(int(base * config.step_high))).otherwise(F.lit(int(base * config.step_low)))
     else:
-        value = (base * (1 + 0.7 * F.sin(2 * math.pi * t / 60.0))).cast("int")
+        value = (base * (1 + config.sine_amplitude * F.sin(2 * math.pi * t / float(config.sine_period)))).cast("int")
     return F.greatest(F.lit(1), value)
 
 
-def rate_profile(spark: SparkSession, profile: str, base: int = 50_000, duration: int = 300) -> DataFrame:
-    return spark.range(duration).select(F.col("id").cast("int").alias("t"), rate(profile, F.col("id"), base, duration).alias("target_rate"))
+def rate_profile(spark: SparkSession, config: PipelineConfig) -> DataFrame:
+    return spark.range(config.duration).select(F.col("id").cast("int").alias("t"), rate(config, F.col("id")).alias("target_rate"))
+
+
+def peak_rate(config: PipelineConfig) -> int:
+    """The most that a profile asks for in a second."""
+    return int(config.rate * {"constant": 1.0, "step": config.step_high, "sine": 1 + config.sine_amplitude}[config.profile])
 
 
-def rate_plan(profile: DataFrame, instances: int) -> DataFrame:
-    """Each instance's rate, batch size and queue capacity."""
+def rate_plan(rates: DataFrame, config: PipelineConfig, instances: int) -> DataFrame:
+    """Each instance's rate and batch size by second, and its queue, which holds two seconds of the profile's peak."""
     each = F.greatest(F.lit(1), F.floor(F.col("target_rate") / instances).cast("int"))
-    return profile.withColumn("instance_rate", each).withColumn("batch_size", F.greatest(F.lit(1), F.floor(each / 50).cast("int"))).withColumn("capacity", each * 2)
+    capacity = 2 * max(1, peak_rate(config) // instances)
+    planned = rates.withColumn("instance_rate", each).withColumn("batch_size", F.greatest(F.lit(1), F.floor(each / 50).cast("int")))
+    return planned.withColumn("capacity", F.lit(capacity))

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..operators.pipeline import aggregate, amounts, filters, window
+from ..scratch import scratch
 from ..sources.bids import bid_stream
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset (tests), in a folder of this process."""
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        root = context.getCheckpointDir()
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def windowed_stream(bids: DataFrame, config: PipelineConfig) -> DataFrame:
     rows = amounts(filters(bids, config), config).withWatermark("ts", config.lateness)
     found = rows.groupBy("auction_id", window(config).alias("w")).agg(aggregate(config.aggregate))
