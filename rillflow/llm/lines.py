@@ -61,8 +61,11 @@ def numbered_lines(keyed: DataFrame, min_lines: int, min_words: int) -> DataFram
 
 
 def _ranked(groups: DataFrame, *by: str) -> DataFrame:
-    """An order-preserving number for each row of groups, whose keys are distinct; range-sorted over all partitions."""
-    return cut(groups.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
+    """An order-preserving number for each row of groups, whose keys are distinct; range-sorted over all partitions.
+
+    The keys differ, so a partition that is made again has the same order and numbers.
+    """
+    return groups.orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
 
 
 def _earlier(width: Column | int) -> Column:
@@ -78,7 +81,7 @@ def suffix_levels(numbered: DataFrame) -> list[DataFrame]:
     while levels[-1].limit(1).count():
         width, own = 1 << (len(levels) - 1), levels[-1]
         ahead = own.select((F.col("pos") - width).alias("pos"), "start", F.col("rank").alias("next"))
-        pairs = cut(own.join(ahead, ["pos", "start"]).select("pos", "start", "least", F.col("rank").alias("own"), "next"))
+        pairs = own.join(ahead, ["pos", "start"]).select("pos", "start", "least", F.col("rank").alias("own"), "next")
         tied = pairs.groupBy("own", "next").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1")
         levels.append(cut(pairs.join(_ranked(tied, "own", "next"), ["own", "next"]).select("pos", "start", "least", "rank", "first")))
     return levels[:-1]
@@ -87,8 +90,8 @@ def suffix_levels(numbered: DataFrame) -> list[DataFrame]:
 def longest_previous(levels: list[DataFrame]) -> DataFrame | None:
     """pos, start, least, width, first: the longest copy of what begins at pos that ends before it or is in an earlier document.
 
-    None without any repeat. A row of `rows` is a suffix in interval (width, id); asks says that it looks for its own copy,
-    the others are there to be found.
+    None without any repeat. A row of `rows` is a suffix in the interval of `width` whose first place is `first`; asks says
+    that it looks for its own copy, the others are there to be found.
     """
     rows = None
     for k in range(len(levels) - 1, -1, -1):
@@ -96,23 +99,22 @@ def longest_previous(levels: list[DataFrame]) -> DataFrame | None:
         mine = levels[k]
         if k + 1 < len(levels):
             mine = mine.join(levels[k + 1].where(_earlier(2 * width)).select("pos"), "pos", "left_anti")
-        mine = mine.select("pos", "start", "least", F.lit(width).alias("width"), F.col("rank").alias("id"), _earlier(width).alias("asks"), "first")
+        mine = mine.select("pos", "start", "least", F.lit(width).alias("width"), "first", _earlier(width).alias("asks"))
         rows = mine if rows is None else rows.unionByName(mine)
         if k == 0:
             break
         step = width // 2  # rows here have a width of `width` or more, and step is the bit to be found
-        after = levels[k - 1].select(F.col("pos").alias("_at"), F.col("start").alias("_start"), F.col("rank").alias("next"))
+        after = levels[k - 1].select(F.col("pos").alias("_at"), F.col("start").alias("_start"), F.col("rank").alias("_next"))
         met = rows.withColumn("_at", F.col("pos") + F.col("width")).join(after, "_at", "left")
-        met = cut(met.select(*rows.columns, F.when(F.col("_start") == F.col("start"), F.col("next")).alias("next")))
-        parts = met.where("next is not null").groupBy("width", "id", "next").agg(F.count("*").alias("_n"), F.min("pos").alias("_first"), F.max("asks").alias("_asked"))
-        parts = cut(parts.where("_n > 1").drop("_n").withColumn("_id", F.monotonically_increasing_id()))
-        split = met.join(parts, ["width", "id", "next"], "left").withColumn("_old", F.col("first")).withColumn("first", F.col("_first"))
-        moves = F.coalesce(F.col("asks") & _earlier(F.col("width") + step), F.lit(False))
-        split = cut(split.withColumn("_moves", moves))
-        keep = ["pos", "start", "least"]
-        inside = split.where("_asked").select(*keep, (F.col("width") + step).alias("width"), F.col("_id").alias("id"), F.col("_moves").alias("asks"), "first")
-        stays = split.where("not _moves and (asks or _id is null or pos = _first)").select(*keep, "width", "id", "asks", F.col("_old").alias("first"))
-        rows = inside.unionByName(stays)
+        met = met.select(*rows.columns, F.when(F.col("_start") == F.col("start"), F.col("_next")).alias("next"))
+        parts = met.where("next is not null").groupBy("width", "first", "next").agg(F.count("*").alias("_n"), F.min("pos").alias("_part"), F.max("asks").alias("_asked"))
+        split = met.join(parts.where("_n > 1").drop("_n"), ["width", "first", "next"], "left")
+        found = (F.col("_part") < F.col("pos")) & ((F.col("_part") < F.col("start")) | (F.col("pos") - F.col("_part") >= F.col("width") + step))
+        moves = F.col("asks") & F.coalesce(found, F.lit(False))
+        inside = F.struct((F.col("width") + step).alias("width"), F.col("_part").alias("first"), moves.alias("asks"))
+        stays = F.struct("width", "first", "asks")
+        both = F.array(F.when(F.col("_asked"), inside), F.when(~moves & (F.col("asks") | F.col("_part").isNull() | (F.col("pos") == F.col("_part"))), stays))
+        rows = cut(split.select("pos", "start", "least", F.inline(F.array_compact(both))))
     return None if rows is None else rows.where("asks").select("pos", "start", "least", "width", "first")
 
 
@@ -164,16 +166,18 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
             ),
         )
     )
-    none = F.array().cast("array<int>")
-    met = met.withColumn("_gone", F.coalesce(gone, none))
+    met = met.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>"))).withColumn("_split", F.when(F.size("_gone") > 0, lines))
     next_ = F.transform("_gone", lambda p: p + 1)
     stretches = F.zip_with(
         F.array_sort(F.array_except("_gone", next_)), F.array_sort(F.array_except(next_, "_gone")), lambda s, e: F.struct(s.alias("start"), (e - s).alias("lines"))
     )
     copies = F.transform("_runs", lambda r: F.struct(line(r["at"]).alias("line"), r["lines"].alias("lines"), r["first_doc"].alias("first_doc"), r["first_line"].alias("first_line")))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(F.col("_split"), i)), "\n")
-    met = met.withColumn("_split", F.when(F.size("_gone") > 0, lines))
-    return met.select("doc_id", "text", "row", stretches.alias("line_runs"), F.coalesce(copies, F.array().cast(copies_type(docs))).alias("copies"), F.when(F.size("_gone") == 0, F.col("text")).otherwise(kept).alias("kept_text"))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_gone"), lambda i: F.get(F.col("_split"), i)), "\n")
+    result = F.struct(
+        stretches.alias("line_runs"), F.coalesce(copies, F.array().cast(copies_type(docs))).alias("copies"), F.when(F.size("_gone") == 0, F.col("text")).otherwise(kept).alias("kept_text")
+    )
+    # generated, so that a caller's filter is not moved below and the result not made once for each use of it
+    return met.select("doc_id", "text", "row", F.inline(F.array(result)))
 
 
 def copies_type(docs: DataFrame) -> str:
