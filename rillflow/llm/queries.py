@@ -70,6 +70,21 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(turns))
 
 
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+p AS (
+  SELECT *, length('<turn ' || replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>') || '> ' || replace(replace(text, '\', '\\'), '<', '\<') || '</turn>' || chr(10)) AS n,
+         CASE WHEN role = 'assistant' THEN text END AS said
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(said)), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(said, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars, count(said) AS n_examples
+FROM p GROUP BY conv_id"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     value, bias = toxicity.model(docs, table(spark, sf_dir, "labels"))
@@ -91,10 +106,51 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=6)
 
 
+#: All pairs of documents that share a shingle; least ids are passed on along links until none falls.
+OP6_SQL = r"""
+WITH RECURSIVE
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      ELSE [array_to_string(w, ' ')] END) AS g
+  FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, least) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.b, r.least FROM r JOIN e ON e.a = r.doc_id AND r.least < e.b),
+c AS (SELECT doc_id, min(least) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
+
+
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE
+v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AS sound
+  FROM embeddings),
+g AS (SELECT *, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS size FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND sound),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE a.size > 0 AND b.size > 0 AND list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.93),
+r(vec_id, least) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT e.b, r.least FROM r JOIN e ON e.a = r.vec_id AND r.least < e.b),
+c AS (SELECT vec_id, min(least) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -127,4 +183,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_line_dedup, op2_chat, op3_toxicity, op4_licenses, op5_sentencepiece, op6_minhash, op7_vectors, op8_warc, op9_media, op10_packing)
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op8_warc": OP8_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op6_minhash": OP6_SQL, "op7_vectors": OP7_SQL, "op8_warc": OP8_SQL}
