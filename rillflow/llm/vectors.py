@@ -68,17 +68,19 @@ def place(rows: DataFrame, bases: dict, eps: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            sizes, cells, spots, units = [], [], [], []
-            for p in batch.column("point").to_pylist():
-                x = np.array(p)
-                x /= np.abs(x).max()
-                x /= np.sqrt(x @ x)
-                spot = bases[len(x)] @ x if len(x) in bases else np.zeros(0)
-                spot = np.concatenate([spot, np.zeros(DIRECTIONS - len(spot))])
-                sizes.append(len(x))
-                cells.append(np.floor(spot / eps).astype(np.int32))
-                spots.append(spot)
-                units.append(x.astype("<f8").tobytes())
+            column = batch.column("point")
+            length = column.value_lengths().to_numpy(zero_copy_only=False)
+            sizes, cells, spots, units = length.tolist(), [None] * len(length), [None] * len(length), [None] * len(length)
+            for size in np.unique(length):
+                at = np.flatnonzero(length == size)
+                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+                x = x / np.abs(x).max(1, keepdims=True)
+                x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+                spot = np.zeros((len(at), DIRECTIONS))
+                if size in bases:
+                    spot[:, : len(bases[size])] = x @ bases[size].T
+                for i, s, c, u in zip(at, spot, np.floor(spot / eps).astype(np.int32), x.astype("<f8"), strict=True):
+                    cells[i], spots[i], units[i] = c, s, u.tobytes()
             rest = [i for i, c in enumerate(batch.schema.names) if c != "point"]
             made = [pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(spots, pa.list_(pa.float64())), pa.array(units, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *made], names=[*(batch.schema.names[i] for i in rest), "size", "cells", "spot", "unit"])
@@ -121,6 +123,26 @@ def close_blocks(blocks: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
+def forest(hit):
+    """Edges (a row of two places each) that span the components of a symmetric matrix of links, found breadth first.
+
+    Each place is on the rim once, so the work is that of the matrix, whatever the number of links.
+    """
+    import numpy as np
+
+    left, edges = hit.any(1), [np.empty((0, 2), int)]
+    while left.any():
+        rim = np.array([left.argmax()])
+        left[rim] = False
+        while len(rim):
+            met = hit[rim] & left
+            new = np.flatnonzero(met.any(0))
+            edges.append(np.stack([rim[met[:, new].argmax(0)], new], 1))
+            left[new] = False
+            rim = new
+    return np.concatenate(edges)
+
+
 def block_links(pairs: DataFrame, filled: DataFrame, least: float) -> DataFrame:
     """kind 0: id a has `n` links to others, counted with weights; kind 1: a and b are linked. a and b are numbers of points.
 
@@ -142,31 +164,15 @@ def block_links(pairs: DataFrame, filled: DataFrame, least: float) -> DataFrame:
                 same = r["x"] == r["y"]
                 if same:
                     np.fill_diagonal(hit, False)
-                i, j = np.nonzero(np.triu(hit) if same else hit)
-                root = np.arange(len(x) + (0 if same else len(y)))
-
-                def top(v: int, root=root) -> int:
-                    while root[v] != v:
-                        root[v] = root[root[v]]
-                        v = root[v]
-                    return v
-
-                links = []
-                for a, b in zip(i.tolist(), (j + (0 if same else len(x))).tolist(), strict=True):
-                    ra, rb = top(a), top(b)
-                    if ra != rb:
-                        root[rb] = ra
-                        links.append((a, b))
+                links = forest(hit if same else np.block([[np.zeros((len(x), len(x)), bool), hit], [hit.T, np.zeros((len(y), len(y)), bool)]]))
                 names = xi if same else np.concatenate([xi, yi])
                 counts = [(xi, hit @ yw)] + ([] if same else [(yi, hit.T @ xw)])
                 for ids, n in counts:
                     some = np.flatnonzero(n)
                     for c, v in zip(out, (np.zeros(len(some), int), ids[some], ids[some], n[some]), strict=True):
                         c.append(v)
-                if links:
-                    e = np.array(links)
-                    for c, v in zip(out, (np.ones(len(e), int), names[e[:, 0]], names[e[:, 1]], np.zeros(len(e), int)), strict=True):
-                        c.append(v)
+                for c, v in zip(out, (np.ones(len(links), int), names[links[:, 0]], names[links[:, 1]], np.zeros(len(links), int)), strict=True):
+                    c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["kind", "a", "b", "n"])
 
