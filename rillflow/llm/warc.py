@@ -87,12 +87,20 @@ def field(name: str, column: str = "header") -> Column:
 
 
 def describe(records: DataFrame, key: str = "bigint") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, from header blocks and payloads as read."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read from the rebuilt records.
+
+    A response's payload is cut out of its record by Content-Length; a revisit has none, and stands for the payload that
+    its digest led to. The digest is computed from those bytes, and one that isn't the header's fails the job.
+    """
     page = lambda name: F.regexp_extract(field(name), "^<urn:page:(.*)>$", 1)
-    return records.select(
+    block = F.substring(F.col("record"), F.octet_length("header") + 1, field("Content-Length").cast("int"))
+    read = records.select("header", F.when(field("WARC-Type") == "revisit", F.col("payload")).otherwise(block).alias("payload"))
+    digest = base32(F.sha1("payload"))
+    sound = F.concat(F.lit("sha1:"), digest) == field("WARC-Payload-Digest")
+    return read.select(
         F.when(page("WARC-Record-ID") != "", page("WARC-Record-ID")).cast(key).alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.substring(field("WARC-Payload-Digest"), 6, 32).alias("payload_digest"),
+        F.when(F.coalesce(sound, F.lit(False)), digest).otherwise(F.raise_error(F.lit("a record's payload isn't that of its digest"))).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         F.when(page("WARC-Refers-To") != "", page("WARC-Refers-To")).cast(key).alias("refers_to"),
     )
