@@ -12,12 +12,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .common import chunks
 
 WIDTH, HEIGHT, FPS = 64, 64, 25
@@ -69,14 +70,14 @@ def frame(samples: np.ndarray) -> bytes:
     return b"\xff\xd8" + head + raw + b"\xff\xd9"
 
 
-def unframe(jpeg: bytes) -> np.ndarray:
+def unframe(raw: bytes) -> np.ndarray:
     """The samples of a frame; only frames of constant blocks under the tables above are known."""
     at, shape, step, tables = 2, None, 0, {}
-    if jpeg[:2] != b"\xff\xd8":
+    if raw[:2] != b"\xff\xd8":
         raise ValueError("no JPEG frame")
     while True:
-        mark, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
-        body = jpeg[at + 4 : at + 2 + size]
+        mark, size = raw[at + 1], struct.unpack_from(">H", raw, at + 2)[0]
+        body = raw[at + 4 : at + 2 + size]
         at += 2 + size
         if mark == 0xDB:
             step = body[1]
@@ -91,9 +92,9 @@ def unframe(jpeg: bytes) -> np.ndarray:
             break
     if shape is None or step != 8 or tables.get(0) != _table(0x00, LENGTHS) or tables.get(16) != _table(0x10, {0: 1}):
         raise ValueError("not a frame of constant blocks")
-    raw = np.frombuffer(jpeg[at : jpeg.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff"), np.uint8)
+    coded = np.frombuffer(raw[at : raw.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff"), np.uint8)
     n = shape[0] * shape[1]
-    bits = np.unpackbits(raw)[: n * 10].reshape(n, 10)
+    bits = np.unpackbits(coded)[: n * 10].reshape(n, 10)
     value = bits @ (1 << np.arange(9, -1, -1, dtype=np.uint16))
     return (np.cumsum(DECODED[value], dtype=np.int64) + 128).astype(np.uint8).reshape(shape)
 
@@ -122,8 +123,17 @@ def write_avi(payload: bytes) -> bytes:
     return _chunk(b"RIFF", body)
 
 
-def read_avi(avi: bytes) -> tuple[bytes, list[np.ndarray], float]:
-    """Payload, frames and seconds a frame, by way of the index."""
+def image(frame_bytes: bytes) -> np.ndarray:
+    """The brightness of a frame: of to_avi()'s frames one sample a block, of others every pixel."""
+    try:
+        return unframe(frame_bytes)
+    except ValueError:
+        found = jpeg.decode(frame_bytes)
+        return found if found.ndim == 2 else found[:, :, 0]
+
+
+def open_avi(avi: bytes) -> tuple[list[bytes], float, int | None]:
+    """The frames' bytes by way of the index, the seconds of a frame, and the number of samples if the file says it."""
     if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     at, found = 12, {}
@@ -132,31 +142,42 @@ def read_avi(avi: bytes) -> tuple[bytes, list[np.ndarray], float]:
         key = name + avi[at + 8 : at + 12] if name == b"LIST" else name
         found[key] = (at + 8, size)
         at += 8 + size + size % 2
+    if not {b"LISTmovi", b"LISThdrl", b"idx1"} <= found.keys():
+        raise ValueError("an AVI file without header, frames or index")
     movie, (index, size) = found[b"LISTmovi"][0], found[b"idx1"]
     seconds = struct.unpack_from("<I", avi, found[b"LISThdrl"][0] + 12)[0] / 1e6
-    frames = []
-    for i in range(index, index + size, 16):
-        name, _, offset, length = struct.unpack_from("<4sIII", avi, i)
-        if name == b"00dc":
-            start = movie + offset + 8
-            frames.append(unframe(avi[start : start + length]))
-    n = struct.unpack_from("<Q", avi, found[b"smpl"][0])[0]
+    frames, base = [], None
+    for name, _, offset, length in struct.iter_unpack("<4sIII", avi[index : index + size // 16 * 16]):
+        if name[2:] in (b"dc", b"db"):
+            if base is None:  # places count from the list of frames, in some files from the file's start
+                base = movie if avi[movie + offset : movie + offset + 4] == name else 0
+            frames.append(avi[base + offset + 8 : base + offset + 8 + length])
+    n = struct.unpack_from("<Q", avi, found[b"smpl"][0])[0] if b"smpl" in found else None
+    return frames, seconds, n
+
+
+def read_avi(avi: bytes) -> tuple[bytes, list[np.ndarray], float]:
+    """Payload, frames and seconds a frame of a file of write_avi()."""
+    found, seconds, n = open_avi(avi)
+    frames = [unframe(f) for f in found]
     return b"".join(f.tobytes() for f in frames)[:n], frames, seconds
 
 
-def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
+def shots(frames: Iterable[np.ndarray]) -> list[tuple[int, int]]:
     """(first frame, frame after the last) of each shot. A shot begins where the histogram's change is over the mean of the
     last BACK changes in the shot by SPREAD deviations and by FLOOR at least."""
     histograms = [np.bincount(f.reshape(-1) >> 4, minlength=BITS) / f.size for f in frames]
+    if not histograms:
+        return []
     starts, recent = [0], []
-    for i in range(1, len(frames)):
+    for i in range(1, len(histograms)):
         change = float(np.abs(histograms[i] - histograms[i - 1]).sum() / 2)
         if recent and change > np.mean(recent) + max(FLOOR, SPREAD * np.std(recent)):
             starts.append(i)
             recent = []
         else:
             recent = [*recent[-BACK + 1 :], change]
-    return list(zip(starts, [*starts[1:], len(frames)], strict=True))
+    return list(zip(starts, [*starts[1:], len(histograms)], strict=True))
 
 
 def to_avi(docs: DataFrame) -> DataFrame:
@@ -201,6 +222,30 @@ def clip_rows(media: DataFrame) -> DataFrame:
     return media.select("doc_id", F.posexplode("clips").alias("clip", "_c")).select("doc_id", "clip", "_c.start", "_c.end")
 
 
+def shots_of(rows: DataFrame) -> DataFrame:
+    """The same from any motion-JPEG files: rows has doc_id and avi. A null or empty file gives no row, a damaged one fails the job.
+
+    A file is one value, and so is read in one task; of its frames, one is held at a time beside the histograms.
+    """
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, clip int, start double, end double"
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in chunks(batches, "avi"):
+            places, out = [], []
+            for i, avi in enumerate(batch.column("avi").to_pylist()):
+                if avi:
+                    frames, seconds, _ = open_avi(avi)
+                    for k, (a, b) in enumerate(shots(map(image, frames))):
+                        places.append(i)
+                        out.append((k, round(a * seconds, 6), round(b * seconds, 6)))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int64())), *columns], names=["doc_id", "clip", "start", "end"])
+
+    return rows.select("doc_id", "avi").mapInArrow(run, schema)
+
+
 def features(docs: DataFrame) -> DataFrame:
     """The digests of read_media() over to_avi(), and feature: number of shots, then their end times in seconds."""
     media = read_media(to_avi(docs))
