@@ -124,9 +124,11 @@ def exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, per
 def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFrame, words: int, size: int, bands: int, percent: int, miss: float) -> DataFrame:
     """Links (a, b), verified on full sets, that join different components of a bucket. A pair is met in its first common band only.
 
-    A bucket of more than BLOCK members or BLOCK_SHINGLES shingles is dealt into blocks by hash, and each pair of blocks
-    is a group of its own. Components that a link joins count as one in the rest of the group, so a group returns
-    fewer links than it has components.
+    A bucket's largest component is met by the others only, never by itself. Both it and the others, if of more than BLOCK
+    members or BLOCK_SHINGLES shingles, are dealt into blocks by hash, and each pair of blocks with one of the others is
+    a group of its own; so the members of the largest travel once for each block of others, of which there are few
+    once copies are joined. Components that a link joins count as one in the rest of the group, so a group returns fewer
+    links than it has components.
     """
     bounds, rows = fewest_equal(size, BATCH, percent, miss), size // bands
 
@@ -162,11 +164,15 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
         return pd.DataFrame(out, columns=["a", "b"])
 
     own = buckets.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    sums = own.join(classes.select("class", "n_shingles"), "class").groupBy("band", "key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
-    blocks = F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_s") / BLOCK_SHINGLES))
-    own = cut(own.join(sums.where("_lo <> _hi").select("band", "key", blocks.alias("_blocks")), ["band", "key"]))
+    each = own.join(classes.select("class", "n_shingles"), "class").groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    sums = each.groupBy("band", "key").agg(F.count("*").alias("_of"), F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.max(F.struct("n", "s", "component")).alias("_main"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES))
+    main, others = blocks(F.col("_main.n"), F.col("_main.s")), blocks(F.col("_n") - F.col("_main.n"), F.col("_s") - F.col("_main.s"))
+    own = cut(own.join(sums.where("_of > 1").select("band", "key", F.col("_main.component").alias("_largest"), main.alias("_main"), others.alias("_others")), ["band", "key"]))
     sets = full_sets(own.select("class").distinct(), docs, classes, words).select("class", F.array_sort("shingles").alias("shingles"))
-    own = own.withColumn("_block", F.pmod(F.xxhash64("class"), F.col("_blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    draw, largest = F.xxhash64("class"), F.col("component") == F.col("_largest")
+    own = own.withColumn("_block", F.when(largest, F.col("_others") + F.pmod(draw, F.col("_main"))).otherwise(F.pmod(draw, F.col("_others"))))
+    own = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_others") - 1 + F.when(largest, 0).otherwise(F.col("_main")))))
     own = own.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o")).join(classes.select("class", "signature").join(sets, "class"), "class")
     return own.select("band", "key", "_i", "_j", "_block", "class", "component", "signature", "shingles").groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary")
 
