@@ -15,11 +15,13 @@ CHUNK_BYTES = 4 << 20
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that spark.checkpoint.dir names, which executors and driver share.
 
-    Only where the setting is missing (tests), a folder of this process is used.
+    Where the setting is missing, only a local session gets a folder of this machine; on a cluster that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 

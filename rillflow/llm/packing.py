@@ -71,7 +71,6 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: s
     first piece is shorter than size. Repeated rows are packed as often as they occur. Other columns are ignored.
     escape is that of Ids.
     """
-    path = tokenizer or default_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
@@ -81,7 +80,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: s
         import numpy as np
         import pyarrow as pa
 
-        encode, last, last_ids = Ids(path, escape), None, None
+        encode, last, last_ids = Ids(tokenizer or default_tokenizer(), escape), None, None  # the default is found where the task runs
         for batch in chunks(batches, "text"):
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

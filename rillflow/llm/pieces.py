@@ -125,7 +125,6 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     Null text counts as empty: no pieces. The two digests differ only where a text has the space mark itself, which
     decodes to a space. Repeated rows give repeated results.
     """
-    path = model or default_model()
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_pieces long, ids array<int>, text_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator) -> Iterator:
@@ -134,7 +133,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        pieces = opened(path)
+        pieces = opened(model or default_model())  # the default is found where the task runs
         for batch in chunks(batches, "text", 1 << 20):
             ids, plain, again = [], [], []
             for text in batch.column("text").to_pylist():
@@ -153,13 +152,12 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
     """rows and a column text made from their ids; null ids give null."""
-    path = model or default_model()
     schema = StructType([*rows.drop("text").schema.fields, StructField("text", StringType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        pieces = opened(path)
+        pieces = opened(model or default_model())  # the default is found where the task runs
         for batch in batches:
             text = pa.array([None if ids is None else pieces.decode(ids) for ids in batch.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "text"])
