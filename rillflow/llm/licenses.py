@@ -20,7 +20,7 @@ GRAM, DRIFT, LEAST = 2, 3, 0.8
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 # fixed values: phrases that must stand whole, by label
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-# fixed values: openings of public notices, which may stand with small changes, by label
+# fixed values: public notices, which may stand with small changes, by label: openings, and short licenses in full
 NOTICES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy",
@@ -28,15 +28,39 @@ NOTICES = {
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license",
     "no-warranty": "the software is provided as is without warranty of any kind",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+    "as published by the free software foundation either version 3 of the license or at your option any later version",
+    "apache-2.0-notice": "you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the "
+    "license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for "
+    "the specific language governing permissions and limitations under the license",
+    "mit-terms": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+    "damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+    "applications and to alter it and redistribute it freely subject to the following restrictions",
 }
+#: Templates of more runs of words than this are joined by a shuffle, not sent to every task.
+SENT = 20_000
 
 
 def templates(spark: SparkSession, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
-    """label, whole, n_words, at, gram: a row per GRAM-word run of each template. Phrases need GRAM words or more."""
-    rows = [(label, whole, text.split()) for group, whole in ((phrases or PHRASES, True), (notices or NOTICES, False)) for label, text in group.items()]
-    flat = [(label, whole, len(w), i, " ".join(w[i : i + GRAM])) for label, whole, w in rows for i in range(len(w) - GRAM + 1)]
-    made = spark.createDataFrame(flat, "label string, whole boolean, n_words int, at int, gram string")
-    return made.select("label", "whole", "n_words", "at", F.xxhash64("gram").alias("hash"), "gram")
+    """label, whole, n_words, at, hash, gram of the given texts, or of those above."""
+    rows = [(label, text, whole) for group, whole in ((PHRASES if phrases is None else phrases, True), (NOTICES if notices is None else notices, False)) for label, text in group.items()]
+    return template_grams(spark.createDataFrame(rows, "label string, text string, whole boolean"))
+
+
+def template_grams(texts: DataFrame) -> DataFrame:
+    """label, whole, n_words, at, hash, gram: a row per GRAM-word run of each template of a table (label, text, whole).
+
+    Templates of fewer than GRAM words, without text or without a label have none. Of rows with the same label, one
+    template each is needed: they must differ in label.
+    """
+    split = texts.where("label is not null").select("label", F.coalesce("whole", F.lit(False)).alias("whole"), words().alias("_words")).where(F.size("_words") >= GRAM)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_words") - (GRAM - 1)), lambda i: F.concat_ws(" ", F.slice("_words", i, GRAM)))
+    rows = split.select("label", "whole", F.size("_words").alias("n_words"), F.posexplode(runs).alias("at", "gram"))
+    return rows.select("label", "whole", "n_words", "at", F.xxhash64("gram").alias("hash"), "gram")
 
 
 def words(text: str = "text"):
@@ -44,6 +68,21 @@ def words(text: str = "text"):
     return F.filter(F.split(lower, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
 
 
+def grams(known: DataFrame):
+    """place and gram of the GRAM-word runs of _words; where the templates are few, only of runs that have a first and a
+    last word of theirs, since the join would drop the others."""
+    if known.limit(SENT + 1).count() > SENT:
+        return F.transform(F.sequence(F.lit(0), F.size("_words") - GRAM), lambda i: F.struct(i.alias("place"), F.concat_ws(" ", F.slice("_words", i + 1, GRAM)).alias("gram")))
+    parts = known.select(F.split("gram", " ").alias("g")).select(F.element_at("g", 1).alias("first"), F.element_at("g", -1).alias("last")).distinct().collect()
+    firsts, lasts = sorted({r.first for r in parts}), sorted({r.last for r in parts})
+    if not parts:
+        return F.array().cast("array<struct<place:int,gram:string>>")
+    run = lambda w, i: F.when(
+        w.isin(firsts) & F.get("_words", i + GRAM - 1).isin(lasts), F.struct(i.alias("place"), F.concat_ws(" ", F.slice("_words", i + 1, GRAM)).alias("gram"))
+    )
+    return F.filter(F.transform("_words", run), lambda x: x.isNotNull())
+
+
 def in_order():
     """The most template places that matches in _ahead (place, back = -at) cover in the order of both text and template."""
     none = F.array_repeat(F.lit(0), F.col("n_words"))  # by template place: the longest run of matches that ends there
@@ -53,15 +92,21 @@ def in_order():
     return F.array_max(F.aggregate(F.array_sort("_ahead"), none, step))
 
 
+def candidates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows without _words, with n_words and _grams."""
+    keep = [c for c in rows.columns if c != "_words"]
+    return rows.select(*keep, F.size("_words").cast("long").alias("n_words"), F.when(F.size("_words") >= GRAM, grams(known)).alias("_grams"))
+
+
 def spans(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """_row, label, whole, start, end (word places, end excluded), score, of texts given as (_row, _words).
+    """_row, label, whole, start, end (word places, end excluded), score, of candidates() with _row.
 
-    known is a few hundred rows made from constants, so it is broadcast. Only matches are shuffled. A group of
-    neighbouring diagonals gives one span, its best.
+    Templates of SENT runs or fewer are broadcast. Only matches are shuffled. A group of neighbouring diagonals gives
+    one span, its best.
     """
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_words") - GRAM, F.lit(0))), lambda i: F.concat_ws(" ", F.slice("_words", i + 1, GRAM)))
-    met = rows.select("_row", F.posexplode(grams).alias("place", "gram")).select("_row", "place", "gram", F.xxhash64("gram").alias("hash"))
-    met = met.join(F.broadcast(known), ["hash", "gram"])  # the words themselves settle a chance hash
+    met = rows.select("_row", F.explode("_grams").alias("_g")).select("_row", "_g.place", "_g.gram", F.xxhash64("_g.gram").alias("hash"))
+    few = known.limit(SENT + 1).count() <= SENT
+    met = met.join(F.broadcast(known) if few else known, ["hash", "gram"])  # the words themselves settle a chance hash
     met = met.dropDuplicates(["_row", "place", "label", "at"])  # a repeated row votes once
     votes = met.groupBy("_row", "label", "whole", "n_words", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.count("*").alias("votes"), F.collect_list("at").alias("ats")  # a diagonal has each template place once at most
@@ -86,14 +131,16 @@ def spans(rows: DataFrame, known: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: a row per row of docs.
 
+    known is a table of template_grams(), by default that of the phrases and notices above.
+
     Null text counts as empty: no words, no labels, score 0. Rows are told apart by doc_id and text; rows that repeat
     both get the same values. score is the best span's, 1 for a whole phrase.
     """
-    spark = docs.sparkSession
+    known = known or templates(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text))).alias("_row"))
-    split = keyed.select("doc_id", "_row", words().alias("_words"))
-    found = spans(split.where(F.size("_words") >= GRAM).select("_row", "_words"), known or templates(spark))
+    rows = cut(candidates(keyed.select("doc_id", "_row", words().alias("_words")), known))
+    found = spans(rows, known)
     by_row = found.groupBy("_row").agg(
         F.count(F.when(F.col("whole"), 1)).alias("n_base"),
         F.min(F.when(F.col("whole"), F.col("start"))).cast("long").alias("first_word"),
@@ -102,8 +149,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("score").alias("score"),
     )
-    sized = split.select("doc_id", "_row", F.size("_words").cast("long").alias("n_words"))
-    return sized.join(by_row, "_row", "left").select(
+    return rows.select("doc_id", "_row", "n_words").join(by_row, "_row", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -273,6 +273,26 @@ def test_vectors_match_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest_spans_components_without_their_links():
+    draw = np.random.default_rng(2)
+    for n in (1, 2, 30, 200):
+        for share in (0.0, 0.01, 0.1, 1.0):
+            hit = np.triu(draw.random((n, n)) < share, 1)
+            hit = hit | hit.T
+            root = list(range(n))
+
+            def top(v, root=root):
+                while root[v] != v:
+                    v = root[v]
+                return v
+
+            for a, b in vectors.forest(hit):
+                assert hit[a, b] and top(a) != top(b)
+                root[top(b)] = top(a)
+            assert all(top(a) == top(b) for a, b in zip(*np.nonzero(hit), strict=True))
+    assert len(vectors.forest(np.ones((512, 512), bool) ^ np.eye(512, dtype=bool))) == 511
+
+
 def test_distant_blocks_are_skipped(spark):
     rows = []
     for b in range(40):
@@ -321,6 +341,147 @@ def test_shots_follow_the_histogram():
     assert (media.unframe(media.frame(every)) == every).all() and (media.unframe(media.frame(every.T.copy())) == every.T).all()
 
 
+def best_cover(words, template):
+    """The most template places that a text's pairs of words cover in the order of both, in a stretch not much longer than the template."""
+    grams = [tuple(template[i : i + 2]) for i in range(len(template) - 1)]
+    met = [(p, a) for p in range(len(words) - 1) for a, g in enumerate(grams) if tuple(words[p : p + 2]) == g]
+    best = 0
+    for start, _ in met:
+        longest = {}
+        for p, a in sorted(m for m in met if start <= m[0] <= start + len(template) + 2 * licenses.DRIFT - 2):
+            longest[p, a] = 1 + max([n for (q, b), n in longest.items() if q < p and b < a], default=0)
+        best = max(best, *longest.values())
+    return best / len(grams)
+
+
+def test_notices_in_full_from_a_table_of_templates(spark, monkeypatch):
+    draw = random.Random(9)
+    texts = [(label, text, False) for label, text in licenses.NOTICES.items()] + [(label, text, True) for label, text in licenses.PHRASES.items()]
+    rows = [(i, text.upper()) for i, (_, text, _) in enumerate(texts)]
+    for i, (_, text, whole) in enumerate(texts):
+        for k in range(4):
+            w = text.split()
+            for _ in range(k * 2 if not whole else 0):
+                w[draw.randrange(len(w))] = draw.choice(["changed", "the", w[0]])
+            rows.append((100 + 10 * i + k, "before " * k + " ".join(w) + " after the software is"))
+    docs = table(spark, rows)
+    want = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        want[i] = {label for label, text, whole in texts if (" " + text + " " in " " + " ".join(w) + " " if whole else best_cover(w, text.split()) >= licenses.LEAST)}
+    extra = [("short", "one", False), ("none", None, False), (None, "no label here", True)]
+    known = licenses.template_grams(spark.createDataFrame(texts + extra, "label string, text string, whole boolean"))
+    for sent in (licenses.SENT, 0):
+        monkeypatch.setattr(licenses, "SENT", sent)
+        got = {r.doc_id: (set(filter(None, r.labels.split(","))), r.score) for r in licenses.scan(docs, known).collect()}
+        assert {i: labels for i, (labels, _) in got.items()} == want
+        assert all(score == 1.0 for i, (_, score) in got.items() if i < 100)
+    assert sum(map(bool, want.values())) > 30 and licenses.scan(docs, known.limit(0)).where("labels <> ''").count() == 0
+
+
+def other_jpeg(parts, restart=0, tables=True):
+    """A baseline frame by another coder: parts are (samples, h, v), with AC coefficients, one of two quantisation tables."""
+    import struct
+
+    from rillflow.llm import jpeg
+
+    codes = {}
+    for name, (counts, symbols) in jpeg.DEFAULT.items():
+        code, it = 0, iter(bytes.fromhex(symbols))
+        for n, count in enumerate(counts, 1):
+            for _ in range(count):
+                codes[name, next(it)] = format(code, f"0{n}b")
+                code += 1
+            code <<= 1
+    most_h, most_v = max(h for _, h, _ in parts), max(v for _, _, v in parts)
+    high, wide = parts[0][0].shape
+    down, across = -(-high // (8 * most_v)), -(-wide // (8 * most_h))
+    steps = [np.full(64, 4 + q) + np.arange(64) // 16 for q in range(2)]
+    natural = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+    basis = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    planes = []
+    for samples, h, v in parts:
+        size = down * v * 8, across * h * 8
+        planes.append(np.pad(samples, [(0, size[0] - samples.shape[0]), (0, size[1] - samples.shape[1])], mode="edge").astype(float))
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    out, bits, last = b"", "", [0] * len(parts)
+    for unit in range(down * across):
+        if restart and unit and unit % restart == 0:
+            bits += "1" * (-len(bits) % 8)
+            out += int(bits, 2).to_bytes(len(bits) // 8).replace(b"\xff", b"\xff\x00") + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            bits, last = "", [0] * len(parts)
+        y, x = divmod(unit, across)
+        for k, (_, h, v) in enumerate(parts):
+            for j in range(v):
+                for i in range(h):
+                    at = (y * v + j) * 8, (x * h + i) * 8
+                    block = basis @ (planes[k][at[0] : at[0] + 8, at[1] : at[1] + 8] - 128) @ basis.T
+                    q = np.rint(block.reshape(64)[natural] / steps[k > 0]).astype(int).tolist()
+                    n, extra = number(q[0] - last[k])
+                    last[k] = q[0]
+                    bits += codes[int(k > 0), n] + extra
+                    zeros = 0
+                    for c in range(1, max([i for i in range(64) if q[i]], default=0) + 1):
+                        if q[c] == 0:
+                            zeros += 1
+                            continue
+                        bits += codes[16 + (k > 0), 0xF0] * (zeros // 16)
+                        n, extra = number(q[c])
+                        bits += codes[16 + (k > 0), (zeros % 16) << 4 | n] + extra
+                        zeros = 0
+                    if not q[63]:
+                        bits += codes[16 + (k > 0), 0]
+    bits += "1" * (-len(bits) % 8)
+    out += int(bits, 2).to_bytes(len(bits) // 8).replace(b"\xff", b"\xff\x00")
+    segment = lambda mark, body: struct.pack(">BBH", 255, mark, len(body) + 2) + body
+    head = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, b"".join(bytes([q, *steps[q]]) for q in range(2)))
+    if tables:
+        head += b"".join(segment(0xC4, bytes([name, *counts]) + bytes.fromhex(symbols)) for name, (counts, symbols) in jpeg.DEFAULT.items())
+    head += segment(0xC0, struct.pack(">BHHB", 8, high, wide, len(parts)) + b"".join(bytes([k + 1, h << 4 | v, int(k > 0)]) for k, (_, h, v) in enumerate(parts)))
+    head += segment(0xDD, struct.pack(">H", restart)) if restart else b""
+    return head + segment(0xDA, bytes([len(parts)]) + b"".join(bytes([k + 1, 0x11 * (k > 0)]) for k in range(len(parts))) + b"\0\x3f\0") + out + b"\xff\xd9"
+
+
+def test_frames_of_another_coder(spark):
+    from rillflow.llm import jpeg
+
+    y, x = np.mgrid[0:37, 0:53]
+    plane = lambda a, b: (128 + 90 * np.sin(x / a) * np.cos(y / b)).astype(np.uint8)
+    grey, luma, blue, red = plane(5, 7), plane(6, 4), plane(20, 30), plane(25, 15)
+    for restart in (0, 3):
+        assert np.abs(jpeg.decode(other_jpeg([(grey, 1, 1)], restart)).astype(int) - grey).max() <= 12
+    assert np.abs(jpeg.decode(other_jpeg([(grey, 1, 1)], tables=False)).astype(int) - grey).max() <= 12
+    for h, v in ((1, 1), (2, 1), (2, 2)):
+        got = jpeg.decode(other_jpeg([(luma, h, v), (blue[::v, ::h], 1, 1), (red[::v, ::h], 1, 1)], 2)).astype(int)
+        assert got.shape == (37, 53, 3) and np.abs(got[:, :, 0] - luma).max() <= 12 and np.abs(got[:, :, 1] - blue).mean() <= 12 and np.abs(got[:, :, 2] - red).mean() <= 12
+    every = np.arange(256, dtype=np.uint8).reshape(4, 64)
+    assert (jpeg.decode(media.frame(every)) == np.kron(every, np.ones((8, 8), np.uint8))).all()
+    good = other_jpeg([(grey, 1, 1)])
+    for bad in (b"", b"\xff\xd8", good[:-40] + b"\xff\xd9", good.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises((ValueError, IndexError)):
+            jpeg.decode(bad)
+    # a film of another coder, with places counted from the file's start, in grey and colour
+    dark, light = plane(9, 9) // 4, 255 - plane(9, 9) // 4
+    film = [other_jpeg([(f, 1, 1)]) for f in (dark, dark, light, light, light)]
+    avi = media.write_avi(b"\0" * 64)
+    import struct
+
+    at = avi.index(b"LIST", avi.index(b"strf"))
+    movie, index = b"movi", b""
+    for f in film:
+        index += struct.pack("<4sIII", b"00dc", 16, at + 8 + len(movie), len(f))
+        movie += media._chunk(b"00dc", f)
+    whole = avi[:at] + media._chunk(b"LIST", movie) + media._chunk(b"idx1", index)
+    rows = spark.createDataFrame([(1, whole), (2, None), (3, b""), (4, media.write_avi(b"x" * 128))], "doc_id long, avi binary")
+    got = sorted((r.doc_id, r.clip, r.start, r.end) for r in media.shots_of(rows).collect())
+    assert got == [(1, 0, 0.0, 0.08), (1, 1, 0.08, 0.2), (4, 0, 0.0, 0.04)]
+    assert media.shots_of(rows.limit(0)).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(5, "http://a", "same"), (3, "http://b\r\nX: y", "same"), (9, None, "same"), (1, "http://c", None), (2, "http://d", ""), (7, "u", "WARC/1.1\r\n\r\nünï"), (7, "u", "WARC/1.1\r\n\r\nünï"), (None, "n", "only")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, header string")
@@ -340,6 +501,10 @@ def test_warc_round_trip(spark, tmp_path):
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert len(rest) == size + 4 and rest.endswith(b"\r\n\r\n") and b"\r\nX: y" not in head
     assert spark.read.parquet(str(tmp_path / "a" / "payloads")).count() == 4
+    from pyspark.sql import functions as F
+
+    with pytest.raises(Exception, match="isn't that of its digest"):
+        warc.describe(back.withColumn("payload", F.encode(F.lit("else"), "UTF-8")).withColumn("record", F.concat("record", "record"))).collect()
     warc.write_archive(df.limit(0), str(tmp_path / "e"))
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
 
@@ -368,6 +533,36 @@ def test_chat_read_back(spark):
     assert chat.read_back(chat.examples(df.limit(0))).count() == 0
 
 
+def test_every_example_is_its_context_and_reply(spark):
+    draw = random.Random(6)
+    said = ["x", "", "<", "\\", "</turn>\n", "a > b", "日本 🎉"]
+    turns = [(c, t, draw.choice(["user", "assistant", "system", None]), "".join(draw.choice(said) for _ in range(draw.randint(0, 4)))) for c in range(12) for t in range(draw.randint(0, 14))]
+    rows = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3))
+    escape = lambda t: t.replace("\\", "\\\\").replace("<", "\\<")
+    want = {}
+    for c in range(12):
+        text, n = "", 0
+        for _, _, role, body in sorted(t for t in turns if t[0] == c):
+            since = len(text) + len(f"<turn {role or ''}> ")
+            text += f"<turn {role or ''}> {escape(body)}</turn>\n"
+            if role == "assistant":
+                want[c, n] = (text, since, len(text) - len("</turn>\n"))
+                n += 1
+    got = {(r.conv_id, r.example): (r.text, r.trained["from"], r.trained["to"]) for r in chat.rendered(rows).collect()}
+    assert got == want and len(want) > 15
+
+
+def test_a_long_conversation_takes_linear_work(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    role = F.when(F.col("id") % 2 == 1, "assistant").otherwise("user")
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("said "), F.col("id").cast("string")).alias("text"))
+    r = chat.read_back(chat.examples(turns)).first()
+    whole = "".join(f"said {i}" for i in range(1, n, 2))
+    assert (r.n_turns, r.n_examples, r.loss_chars, r.loss_sha256) == (n, n // 2, len(whole), hashlib.sha256(whole.encode()).hexdigest())
+
+
 def test_toxicity_learns_parts_of_words(spark):
     draw = random.Random(3)
     plain = ["".join(draw.choice("abdeilnorst") for _ in range(draw.randint(2, 8))) for _ in range(300)]
