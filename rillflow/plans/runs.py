@@ -31,9 +31,9 @@ r AS (
   SELECT *, n * 1000 AS g, hi * 1000 AS e, (n - hi) * 1000 AS d, user_id % 4 <> 0 AS logged, user_id % 5 <> 0 AS timed,
          CASE WHEN hi > 0 THEN hi ELSE n END AS done FROM u)
 SELECT 'w' || (user_id % 3) || '/s' || user_id AS run, 's' || user_id AS strategy, 'w' || (user_id % 3) AS workload,
-       CASE WHEN user_id % 2 = 0 THEN 'STEP' ELSE 'CONSTANT' END AS distribution, n * 1000 AS rate, (ms // 10) / 100.0e0 AS duration_sec,
-       CASE WHEN user_id % 2 = 0 THEN 500 END AS cpu_load, hi AS parallelism, 'FINISHED' AS state, done * 1000 // ms AS throughput_processed,
-       CASE WHEN logged AND g > 0 THEN g * 1000 // ms END AS throughput_generated, CASE WHEN logged AND g > 0 THEN e * 1000 // ms END AS throughput_emitted,
+       CASE WHEN user_id % 2 = 0 THEN 'STEP' ELSE 'CONSTANT' END AS distribution, n * 1000 AS rate, (dur // 10) / 100.0e0 AS duration_sec,
+       CASE WHEN user_id % 2 = 0 THEN 500 END AS cpu_load, hi AS parallelism, 'FINISHED' AS state, done * 1000 // dur AS throughput_processed,
+       CASE WHEN logged AND g > 0 THEN g * 1000 // dur END AS throughput_generated, CASE WHEN logged AND g > 0 THEN e * 1000 // dur END AS throughput_emitted,
        done AS processed_events, CASE WHEN logged THEN g ELSE 0 END AS total_generated, CASE WHEN logged THEN d ELSE 0 END AS total_dropped,
        CASE WHEN logged AND g > 0 THEN (d * 10000 // g) / 100.0e0 END AS drop_pct,
        len(list_distinct(['n' || (n % 3), 'n' || (hi % 3), 'n0'])) AS nodes_used, 3 AS total_tms, 2 AS scheduling_decisions, hi % 2 AS strategy_switches,
