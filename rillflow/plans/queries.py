@@ -60,7 +60,7 @@ query("bids_scan", "SELECT auction_id, bidder_id, price, ts FROM bids")(lambda s
 )
 def pool_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One replayed bid for each event."""
-    return source.pool_replay(spark, spark.read.parquet(f"{sf_dir}/events.parquet").count(), 500)
+    return source.pool_replay(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id")), 500)
 
 
 RATE_SQL = {

@@ -33,13 +33,13 @@ def bid_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1
     return as_bids(events).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def pool_replay(spark: SparkSession, n: int, pool: int = 10_000) -> DataFrame:
-    """Event i is pool[i % pool]. The pool is `pool` rows of arithmetic, so it is small enough to broadcast."""
+def pool_replay(rows: DataFrame, pool: int = 10_000) -> DataFrame:
+    """The bid of each row (id): pool[id % pool]. The pool is `pool` rows of arithmetic, so it is small enough to broadcast."""
     k = F.col("k")
-    made = spark.range(pool).toDF("k").select(
+    made = rows.sparkSession.range(pool).toDF("k").select(
         "k", (k * 7919 % 1000).alias("auction_id"), (k * 104729 % 10000).alias("bidder_id"), ((k * 15485863 % 99000 + 1000) / 100).alias("price")
     )
-    return spark.range(n).withColumn("k", F.col("id") % pool).join(F.broadcast(made), "k").select("id", "auction_id", "bidder_id", "price")
+    return rows.select("id").withColumn("k", F.pmod("id", F.lit(pool))).join(F.broadcast(made), "k").select("id", "auction_id", "bidder_id", "price")
 
 
 def rate(config: PipelineConfig, t: Column) -> Column:

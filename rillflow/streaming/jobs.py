@@ -28,7 +28,7 @@ def to_files(stream: DataFrame, path: str, name: str | None = None) -> DataFrame
 
 def windows_of_files(spark: SparkSession, path: str, config: PipelineConfig) -> DataFrame:
     """Windows that the watermark has closed: append mode holds back those ending after the latest time less the lateness."""
-    return to_files(windowed_stream(bid_stream(spark, path), config), scratch(spark))
+    return to_files(windowed_stream(bid_stream(spark, path), config), scratch(spark), config.run_name())
 
 
 def running_totals(spark: SparkSession, path: str, config: PipelineConfig) -> DataFrame:

@@ -51,7 +51,7 @@ def test_profiles(spark):
     assert set(rates["constant"].values()) == {50_000}
     assert [rates["step"][t] for t in (98, 99, 197, 198)] == [12_500, 75_000, 75_000, 12_500]
     assert (rates["sine"][0], rates["sine"][15]) == (50_000, 85_000)
-    assert pool_replay(spark, 25, 10).count() == 25
+    assert pool_replay(spark.range(25), 10).count() == 25 and pool_replay(spark.range(25), 10).select("price").distinct().count() == 10
     assert [peak_rate(PipelineConfig(profile=p)) for p in ("constant", "step", "sine")] == [50_000, 75_000, 85_000]
     planned = rate_plan(rate_profile(spark, PipelineConfig(profile="step")), PipelineConfig(profile="step"), 4).where("t = 0").first()
     assert (planned.instance_rate, planned.batch_size, planned.capacity) == (3125, 62, 37500)
