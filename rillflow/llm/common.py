@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that a Python task turns into output at a time are cut at this many bytes.
@@ -46,6 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], draw: Column, how: str = "inner") -> DataFrame:
+    """rows joined with the row of their group, where groups were summed up by the same columns.
+
+    Spark would join them as the sums were dealt, a group in one task. By the salt, one of two drawn for each row, the
+    groups are dealt anew, so that a hot group's rows are a skewed partition that Spark may split.
+    """
+    salted = groups.withColumn("_salt", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.withColumn("_salt", F.pmod(draw, F.lit(2)).cast("int")).join(salted, [*by, "_salt"], how).drop("_salt")
+
+
 def chunks(batches, column: str, most: int = CHUNK_BYTES):
     """Slices of Arrow batches whose strings in column take about most bytes at once; a longer single row comes alone."""
     import numpy as np

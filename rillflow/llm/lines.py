@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, join_groups
 
 MIN_LINES, MIN_WORDS = 4, 50
 # words are runs of anything but these
@@ -108,7 +108,7 @@ def longest_previous(levels: list[DataFrame]) -> DataFrame | None:
         met = rows.withColumn("_at", F.col("pos") + F.col("width")).join(after, "_at", "left")
         met = met.select(*rows.columns, F.when(F.col("_start") == F.col("start"), F.col("_next")).alias("next"))
         parts = met.where("next is not null").groupBy("width", "first", "next").agg(F.count("*").alias("_n"), F.min("pos").alias("_part"), F.max("asks").alias("_asked"))
-        split = met.join(parts.where("_n > 1").drop("_n"), ["width", "first", "next"], "left")
+        split = join_groups(met, parts.where("_n > 1").drop("_n"), ["width", "first", "next"], F.col("pos"), "left")
         found = (F.col("_part") < F.col("pos")) & ((F.col("_part") < F.col("start")) | (F.col("pos") - F.col("_part") >= F.col("width") + step))
         moves = F.col("asks") & F.coalesce(found, F.lit(False))
         inside = F.struct((F.col("width") + step).alias("width"), F.col("_part").alias("first"), moves.alias("asks"))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut
+from .common import chunks, components, cut, join_groups
 from .shingles import MinHash, mix, set_key, shingle_sets
 
 BATCH, MISS = 24, 1e-7
@@ -168,7 +168,8 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
     sums = each.groupBy("band", "key").agg(F.count("*").alias("_of"), F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.max(F.struct("n", "s", "component")).alias("_main"))
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES))
     main, others = blocks(F.col("_main.n"), F.col("_main.s")), blocks(F.col("_n") - F.col("_main.n"), F.col("_s") - F.col("_main.s"))
-    own = cut(own.join(sums.where("_of > 1").select("band", "key", F.col("_main.component").alias("_largest"), main.alias("_main"), others.alias("_others")), ["band", "key"]))
+    mixed = sums.where("_of > 1").select("band", "key", F.col("_main.component").alias("_largest"), main.alias("_main"), others.alias("_others"))
+    own = cut(join_groups(own, mixed, ["band", "key"], F.xxhash64("class")))
     sets = full_sets(own.select("class").distinct(), docs, classes, words).select("class", F.array_sort("shingles").alias("shingles"))
     draw, largest = F.xxhash64("class"), F.col("component") == F.col("_largest")
     own = own.withColumn("_block", F.when(largest, F.col("_others") + F.pmod(draw, F.col("_main"))).otherwise(F.pmod(draw, F.col("_others"))))
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     spread = classes.select("class", F.posexplode("bands").alias("band", "key"))
     draw = F.struct(F.xxhash64("class", "band").alias("h"), F.col("class").alias("leader"))
     full = spread.groupBy("band", "key").agg(F.count("*").alias("_n"), F.min(draw)["leader"].alias("leader")).where("_n > 1")
-    buckets = cut(spread.join(full.drop("_n"), ["band", "key"]))
+    buckets = cut(join_groups(spread, full.drop("_n"), ["band", "key"], F.xxhash64("class")))
     pairs = buckets.where("leader <> class").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
     links = cut(exact(cut(likely(pairs, classes, size, percent, miss)), docs, classes, words, percent))
     labels = components(links)
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         named = named.join(classes.select("class", "first_key"), "class")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), *([F.min("first_key").alias("first_key")] if key else []))
     more_columns = ["first_key"] if key else []
-    of = named.select("component", "class").join(least, "component").select("class", "component_id", *more_columns)
+    of = join_groups(named.select("component", "class"), least, ["component"], F.xxhash64("class")).select("class", "component_id", *more_columns)
     out = every.select("doc_id", "n_shingles", "class", *([key] if key else [])).join(of, "class", "left")
     kept = F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id"))
     if key:

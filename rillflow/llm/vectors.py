@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import components, cut
+from .common import components, cut, join_groups
 
 BLOCK, FAN, DIRECTIONS, SAMPLE = 256, 16, 6, 4000
 
@@ -213,7 +213,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, block: int = BLOCK)
     labels = components(found.where("kind = 1").select("a", "b"))
     named = ordered.select("id", "label", "k1", "k2", "first_id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least_id = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_point = named.join(least_id, "component").join(links, "id", "left").select(
+    by_point = join_groups(named, least_id, ["component"], F.col("id")).join(links, "id", "left").select(
         "label", "k1", "k2", F.col("component_id").alias("_of"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_n")
     )
     per_row = points(vectors).select("vec_id", "label", "k1", "k2").join(by_point, ["label", "k1", "k2"]).select("vec_id", "_of", "_n")

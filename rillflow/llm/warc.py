@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import join_groups
+
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -32,7 +34,8 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", base32(F.sha1("payload")))
     first = rows.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
-    slim = rows.select("page_id", "url", "sha256", "bytes", "sha1").join(first, "sha256")
+    slim = rows.select("page_id", "url", "sha256", "bytes", "sha1")
+    slim = join_groups(slim, first, ["sha256"], F.xxhash64("page_id", "url"))
     again = (F.col("bytes") >= least) & (F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull()))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
 
