@@ -82,6 +82,7 @@ def number(line: Column, name: str, pattern: str = "[0-9,.]+") -> Column:
 
 def source_log(lines: DataFrame) -> DataFrame:
     """Sums of the final lines of sources and the part dropped, cut to 2 decimals."""
+    # fixed value: the word of a source's last line
     last = lines.where(F.contains("line", F.lit("FINALIZADO")))
     sums = last.groupBy("run").agg(*(F.sum(number(F.col("line"), c).cast("long")).alias(c) for c in ("generated", "emitted", "dropped")))
     return sums.withColumn("drop_pct", F.when(F.col("generated") > 0, F.floor(F.col("dropped") * 10000 / F.col("generated")) / 100).otherwise(0.0))
@@ -89,6 +90,7 @@ def source_log(lines: DataFrame) -> DataFrame:
 
 def latency_log(lines: DataFrame) -> DataFrame:
     """Plain means over subtasks of their final percentiles, halves to even, and the mean weighted by their counts."""
+    # fixed value: the word of a tracker's last line
     last = lines.where(F.contains("line", F.lit(" FINAL ")))
     of = lambda c: number(F.col("line"), c)
     return last.groupBy("run").agg(
