@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
-from ..operators import compare, metrics
+from ..operators import artifacts, compare, metrics
+from ..sources import runs as files
 from ..streaming import jobs, stats
 from .queries import AMOUNTS, HOURLY, USERS, WINDOW_SQL, _jobs, _users
 from .registry import query
@@ -63,6 +64,48 @@ def metrics_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metrics_row(own, source, processing, total, placed, log)
 
 
+GROUPS = f"{USERS}, k AS (SELECT 'w' || (user_id % 3) AS workload, 's' || (user_id % 5) AS strategy, * FROM u)"
+SCAN_LOGS_SQL = f"""
+WITH {GROUPS},
+g AS (
+  SELECT workload || '/' || strategy AS run, CAST(sum(n * 1000) AS BIGINT) AS generated, CAST(sum(hi * 1000) AS BIGINT) AS emitted,
+         CAST(sum((n - hi) * 1000) AS BIGINT) AS dropped
+  FROM k GROUP BY 1)
+SELECT *, (dropped * 10000 // generated) / 100.0e0 AS drop_pct FROM g"""
+
+
+def _in_folders(users: DataFrame) -> DataFrame:
+    return users.select(_text("w", F.col("user_id") % 3).alias("workload"), _text("s", F.col("user_id") % 5).alias("strategy"), "*")
+
+
+@query("scan_source_logs", SCAN_LOGS_SQL, "")
+def scan_source_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written to text files in a folder for each run, and scanned."""
+    root, thousands = jobs.scratch(spark, "logs"), lambda c: F.format_number(c * 1000, 0)
+    n, hi = F.col("n"), F.col("hi")
+    last = _text("[Source-1] FINALIZADO en 9.0s: generated=", thousands(n), ", emitted=", thousands(hi), ", dropped=", thousands(n - hi), " (0.0%)")
+    lines = _in_folders(_users(spark, sf_dir)).select("workload", "strategy", F.explode(F.array(F.lit("[Source-1] t=10s gen=1"), last)).alias("value"))
+    lines.write.partitionBy("workload", "strategy").text(root)
+    return artifacts.source_log(files.read_lines(spark, root, "*.txt"))
+
+
+SCAN_JOBS_SQL = f"""
+WITH {GROUPS}, g AS (SELECT workload, strategy, CAST(sum(n) AS BIGINT) AS n, max(dur) AS dur FROM k GROUP BY ALL)
+SELECT workload || '/' || strategy AS run, workload, strategy, 'FINISHED' AS state, n AS processed, n * 1000 // dur AS throughput FROM g"""
+
+
+@query("scan_job_files", SCAN_JOBS_SQL, "")
+def scan_job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON file in a folder for each run, scanned, classified and rated."""
+    root = jobs.scratch(spark, "jobs")
+    vertex = F.struct(F.lit("Source: Bid Generator").alias("name"), F.struct(F.sum("n").alias("write-records")).alias("metrics"))
+    made = _in_folders(_users(spark, sf_dir)).groupBy("workload", "strategy").agg(F.max("dur").alias("duration"), F.array(vertex).alias("vertices"))
+    made.withColumn("state", F.lit("FINISHED")).repartition("workload", "strategy").write.partitionBy("workload", "strategy").json(root)
+    found = files.read_jobs(spark, root, "*.json")
+    done = artifacts.processed(artifacts.by_class(artifacts.vertices(found.withColumn("jid", F.col("run")))))
+    return found.select("run", "workload", "strategy", "state").join(done.select(F.col("jid").alias("run"), "processed", "throughput"), "run")
+
+
 #: Three records of a run's file, one of each layout, under one heading; counters of 0 broke their lines.
 FILES_SQL = f"""
 WITH {USERS}, r AS (SELECT 'w' || (user_id % 3) || '/s' || user_id AS run, * FROM u)

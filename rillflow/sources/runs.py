@@ -1,6 +1,7 @@
 """Files that benchmark runs leave, as tables: <root>/<workload>/<strategy>/<file>, a folder a run.
 
-Every reader gives run ("workload/strategy"), workload and strategy from the path. Folders without the file give no row.
+Every reader gives run ("workload/strategy"), workload and strategy from the path; folders may also be named by Spark's own
+writers (workload=.../strategy=...). A file's name may be a pattern. Folders without the file give no row.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ def _files(spark: SparkSession, name: str):
 
 def _of_run(rows: DataFrame, *columns) -> DataFrame:
     parts = F.split(F.col("_metadata.file_path"), "/")
-    workload, strategy = F.element_at(parts, -3), F.element_at(parts, -2)
+    workload, strategy = (F.regexp_replace(F.element_at(parts, i), f"^{name}=", "") for i, name in ((-3, "workload"), (-2, "strategy")))
     return rows.select(F.concat_ws("/", workload, strategy).alias("run"), workload.alias("workload"), strategy.alias("strategy"), *columns)
 
 
-def read_jobs(spark: SparkSession, root: str) -> DataFrame:
+def read_jobs(spark: SparkSession, root: str, name: str = JOB_FILE) -> DataFrame:
     """A row per job file, which holds one JSON object."""
-    return _of_run(_files(spark, JOB_FILE).schema(JOB).option("multiLine", True).json(root), "*").drop("_metadata")
+    return _of_run(_files(spark, name).schema(JOB).option("multiLine", True).json(root), "*").drop("_metadata")
 
 
 def read_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
