@@ -229,10 +229,11 @@ def test_pieces_match_plain_viterbi_and_decode(spark, rows):
     got = pieces.encode(table(spark, rows)).collect()
     assert len(got) == len(rows)
     texts = {hashlib.sha256((t or "").encode()).hexdigest(): t or "" for _, t in rows}
+    spelled = {*(t for t in texts.values() if len(t) < 900), max(texts.values(), key=len)}
     for r in got:
         text = texts[r.text_sha256]
         assert r.decoded_sha256 == r.text_sha256 and p.decode(r.ids) == text and r.n_pieces == len(r.ids)
-        if len(text) < 900:
+        if text in spelled:
             assert list(r.ids) == (plain_viterbi(p, "▁" + text.replace(" ", "▁")) if text else [])
     again = pieces.decode(pieces.encode(table(spark, rows)).select("doc_id", "ids", "text_sha256")).collect()
     assert all(texts[r.text_sha256] == r.text for r in again)
