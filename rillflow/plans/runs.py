@@ -33,11 +33,11 @@ r AS (
          CASE WHEN hi > 0 THEN hi ELSE n END AS done FROM u)
 SELECT 'w' || (user_id % 3) || '/s' || user_id AS run, 's' || user_id AS strategy, 'w' || (user_id % 3) AS workload,
        CASE WHEN user_id % 2 = 0 THEN 'STEP' ELSE 'CONSTANT' END AS distribution, n * 1000 AS rate, (dur // 10) / 100.0e0 AS duration_sec,
-       CASE WHEN user_id % 2 = 0 THEN 500 END AS cpu_load, hi AS parallelism, 'FINISHED' AS state, done * 1000 // dur AS throughput_processed,
+       CASE WHEN user_id % 2 = 0 THEN 500::BIGINT END AS cpu_load, hi AS parallelism, 'FINISHED' AS state, done * 1000 // dur AS throughput_processed,
        CASE WHEN logged AND g > 0 THEN g * 1000 // dur END AS throughput_generated, CASE WHEN logged AND g > 0 THEN e * 1000 // dur END AS throughput_emitted,
        done AS processed_events, CASE WHEN logged THEN g ELSE 0 END AS total_generated, CASE WHEN logged THEN d ELSE 0 END AS total_dropped,
        CASE WHEN logged AND g > 0 THEN (d * 10000 // g) / 100.0e0 END AS drop_pct,
-       len(list_distinct(['n' || (n % 3), 'n' || (hi % 3), 'n0'])) AS nodes_used, 3 AS total_tms, 2 AS scheduling_decisions, hi % 2 AS strategy_switches,
+       len(list_distinct(['n' || (n % 3), 'n' || (hi % 3), 'n0'])) AS nodes_used, 3::BIGINT AS total_tms, 2::BIGINT AS scheduling_decisions, hi % 2 AS strategy_switches,
        CAST(round_even((n + n + 1) / 2.0e0, 0) AS BIGINT) AS lat_proc_p50, CAST(round_even((n + hi) / 2.0e0, 0) AS BIGINT) AS lat_proc_p95, n AS lat_proc_p99,
        round(n + 0.0e0, 1) AS lat_proc_avg, CASE WHEN timed THEN n END AS lat_total_p50, CASE WHEN timed THEN n + 5 END AS lat_total_p95,
        CASE WHEN timed THEN n + 9 END AS lat_total_p99, CASE WHEN timed THEN n + 0.0e0 END AS lat_total_avg
@@ -109,8 +109,8 @@ def scan_job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Three records of a run's file, one of each layout, under one heading; counters of 0 broke their lines.
 FILES_SQL = f"""
 WITH {USERS}, r AS (SELECT 'w' || (user_id % 3) || '/s' || user_id AS run, * FROM u)
-SELECT run, 0 AS record, 'full' AS layout, 's' AS strategy, NULL AS job_id, NULL::BIGINT AS throughput, hi AS throughput_processed, 0 AS strategy_switches,
-       5 AS scheduling_decisions, hi AS lat_proc_p50, n + 0.5e0 AS lat_total_avg, NULL::DOUBLE AS stale_pct FROM r
+SELECT run, 0 AS record, 'full' AS layout, 's' AS strategy, NULL AS job_id, NULL::BIGINT AS throughput, hi AS throughput_processed, 0::BIGINT AS strategy_switches,
+       5::BIGINT AS scheduling_decisions, hi AS lat_proc_p50, n + 0.5e0 AS lat_total_avg, NULL::DOUBLE AS stale_pct FROM r
 UNION ALL
 SELECT run, 1, 'first', 's', 'j' || user_id, n, NULL, 0, 0, NULL, NULL, NULL FROM r
 UNION ALL
