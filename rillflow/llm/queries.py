@@ -57,7 +57,7 @@ g AS (
   FROM c JOIN l AS x ON x.doc_id = c.doc_id AND x.i = c.i JOIN l AS y ON y.doc_id = c.doc_id AND y.i = c.i + c.width - 1),
 m AS (SELECT a.doc_id, a.p, a.line, g.p IS NOT NULL AS gone FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.p = g.p),
 e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM m),
-t AS (SELECT doc_id, count(*) AS n_copies, max(width) AS longest_copy FROM c GROUP BY 1)
+t AS (SELECT doc_id, count(*) AS n_copies, CAST(max(width) AS BIGINT) AS longest_copy FROM c GROUP BY 1)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
        coalesce(any_value(n_copies), 0) AS n_copies, coalesce(any_value(longest_copy), 0) AS longest_copy,
        coalesce(length(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone)), 0) AS kept_chars,
