@@ -46,11 +46,12 @@ def fewest_equal(size: int, batch: int, percent: int, miss: float) -> list[tuple
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, sets: bool = False, carry: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, class (binary, null without shingles) and signature and bands, or the set itself if sets.
+    """doc_id, n_shingles, class (binary, null without shingles) and sketch (the lowest bytes of the signature's minima) and
+    bands (a digest of each band's minima), or the set itself if sets.
 
     The binary column named carry, if any, comes along.
     """
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary, " + ("shingles array<long>" if sets else "signature binary, bands array<long>") + (f", {carry} binary" if carry else "")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary, " + ("shingles array<long>" if sets else "sketch binary, bands array<long>") + (f", {carry} binary" if carry else "")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -75,15 +76,19 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, sets: bool =
                 for j in range(rows):
                     key = mix(key ^ band[:, :, j])
                 for i, s, k in zip(full, sig, key.view(np.int64), strict=True):
-                    made[i], keys[i] = s.astype("<u4").tobytes(), k
+                    made[i], keys[i] = s.astype(np.uint8).tobytes(), k
             columns += [pa.array(made, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *([batch.column(carry)] if carry else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "signature", "bands", *([carry] if carry else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "sketch", "bands", *([carry] if carry else [])])
 
     return docs.select("doc_id", "text", *([carry] if carry else [])).mapInArrow(run, schema)
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) of classes that the posterior doesn't rule out."""
+    """Pairs (a, b) of classes that the posterior doesn't rule out.
+
+    Of the signatures, the sketches are compared: equal minima have equal lowest bytes, so no fewer are counted, and no pair
+    goes that the minima themselves would keep.
+    """
     bounds = fewest_equal(size, BATCH, percent, miss)
 
     def run(batches: Iterator) -> Iterator:
@@ -93,7 +98,7 @@ def likely(pairs: DataFrame, sigs: DataFrame, size: int, percent: int, miss: flo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, size) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, size) for c in ("sa", "sb"))
             left, equal = np.arange(len(x)), np.zeros(len(x), int)
             for n, least in bounds:
                 equal = equal + (x[left, n - BATCH : n] == y[left, n - BATCH : n]).sum(1)
@@ -101,7 +106,7 @@ def likely(pairs: DataFrame, sigs: DataFrame, size: int, percent: int, miss: flo
                 left, equal = left[keep], equal[keep]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(left)) for c in ("a", "b")], names=["a", "b"])
 
-    own = sigs.select("class", "signature")
+    own = sigs.select("class", "sketch")
     met = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return met.mapInArrow(run, "a binary, b binary")
 
@@ -124,13 +129,13 @@ def exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, per
 def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFrame, words: int, size: int, bands: int, percent: int, miss: float) -> DataFrame:
     """Links (a, b), verified on full sets, that join different components of a bucket. A pair is met in its first common band only.
 
-    A bucket's largest component is met by the others only, never by itself. Both it and the others, if of more than BLOCK
-    members or BLOCK_SHINGLES shingles, are dealt into blocks by hash, and each pair of blocks with one of the others is
-    a group of its own; so the members of the largest travel once for each block of others, of which there are few
+    A bucket of up to BLOCK members and BLOCK_SHINGLES shingles is one group. Of a larger one, the largest component is
+    met by the others only, never by itself: both it and the others are dealt into blocks by hash, and each pair of blocks
+    with one of the others is a group of its own; so the members of the largest travel once for each block of others, of which there are few
     once copies are joined. Components that a link joins count as one in the rest of the group, so a group returns fewer
     links than it has components.
     """
-    bounds, rows = fewest_equal(size, BATCH, percent, miss), size // bands
+    bounds = fewest_equal(size, BATCH, percent, miss)
 
     def run(pdf):
         import numpy as np
@@ -139,7 +144,8 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
         i, j, band = (int(pdf[c].iat[0]) for c in ("_i", "_j", "band"))
         one = pdf if i == j else pdf[pdf["_block"] == i]
         two = pdf if i == j else pdf[pdf["_block"] == j]
-        x, y = (np.frombuffer(b"".join(p["signature"]), "<u4").reshape(-1, size) for p in (one, two))
+        x, y = (np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(-1, size) for p in (one, two))
+        bx, by_ = (np.array(p["bands"].tolist(), np.int64).reshape(-1, bands) for p in (one, two))
         codes = {c: k for k, c in enumerate(dict.fromkeys([*one["component"], *two["component"]]))}
         cx, cy = (np.array([codes[c] for c in p["component"]], int) for p in (one, two))
         ax, by, xs, ys, out = one["class"].to_numpy(), two["class"].to_numpy(), one["shingles"].to_numpy(), two["shingles"].to_numpy(), []
@@ -149,8 +155,7 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
             left = left[left > r] if i == j else left
             for n, least in bounds:
                 left = left[(y[left, :n] == x[r, :n]).sum(1) >= least]
-            same = (y[left, : band * rows] == x[r, : band * rows]).reshape(len(left), band, rows).all(2).any(1)
-            left = left[~same]
+            left = left[~(by_[left, :band] == bx[r, :band]).any(1)]
             if not len(left):
                 continue
             own, met = xs[r], np.concatenate(ys[left])  # sorted, without repeats
@@ -167,15 +172,17 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
     each = own.join(classes.select("class", "n_shingles"), "class").groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     sums = each.groupBy("band", "key").agg(F.count("*").alias("_of"), F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.max(F.struct("n", "s", "component")).alias("_main"))
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES))
-    main, others = blocks(F.col("_main.n"), F.col("_main.s")), blocks(F.col("_n") - F.col("_main.n"), F.col("_s") - F.col("_main.s"))
+    fits = (F.col("_n") <= BLOCK) & (F.col("_s") <= BLOCK_SHINGLES)
+    main = F.when(fits, 0).otherwise(blocks(F.col("_main.n"), F.col("_main.s")))
+    others = F.when(fits, 1).otherwise(blocks(F.col("_n") - F.col("_main.n"), F.col("_s") - F.col("_main.s")))
     mixed = sums.where("_of > 1").select("band", "key", F.col("_main.component").alias("_largest"), main.alias("_main"), others.alias("_others"))
     own = cut(join_groups(own, mixed, ["band", "key"], F.xxhash64("class")))
     sets = full_sets(own.select("class").distinct(), docs, classes, words).select("class", F.array_sort("shingles").alias("shingles"))
-    draw, largest = F.xxhash64("class"), F.col("component") == F.col("_largest")
+    draw, largest = F.xxhash64("class"), (F.col("component") == F.col("_largest")) & (F.col("_main") > 0)
     own = own.withColumn("_block", F.when(largest, F.col("_others") + F.pmod(draw, F.col("_main"))).otherwise(F.pmod(draw, F.col("_others"))))
     own = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_others") - 1 + F.when(largest, 0).otherwise(F.col("_main")))))
-    own = own.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o")).join(classes.select("class", "signature").join(sets, "class"), "class")
-    return own.select("band", "key", "_i", "_j", "_block", "class", "component", "signature", "shingles").groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary")
+    own = own.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o")).join(classes.select("class", "sketch", "bands").join(sets, "class"), "class")
+    return own.select("band", "key", "_i", "_j", "_block", "class", "component", "sketch", "bands", "shingles").groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, miss: float = MISS, key: str | None = None) -> DataFrame:
@@ -192,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     every = cut(signatures(docs, words, bands, rows, carry=key))
     extra = [F.min(key).alias("first_key")] if key else []
     some = every.where("class is not null")
-    classes = cut(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), *extra))
+    classes = cut(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"), *extra))
     spread = classes.select("class", F.posexplode("bands").alias("band", "key"))
     draw = F.struct(F.xxhash64("class", "band").alias("h"), F.col("class").alias("leader"))
     full = spread.groupBy("band", "key").agg(F.count("*").alias("_n"), F.min(draw)["leader"].alias("leader")).where("_n > 1")
