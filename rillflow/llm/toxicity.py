@@ -17,9 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
 
-from .common import chunks
+from .common import chunks, cut
 
 BITS, DIMENSIONS, SEGMENT, SHORTEST, LONGEST = 17, 12, 6, 3, 6
 #: Labelled texts of a class that the fit may use, and the bytes of the longest of them.
@@ -163,8 +162,9 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = docs.where(F.octet_length("text") <= sample_bytes)
     able = short.select("doc_id").join(known.where("toxic in (0, 1)"), "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id", F.lit("toxicity")).alias("_draw")).distinct()
-    order = Window.partitionBy("toxic").orderBy("_draw", "doc_id")
-    chosen = able.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id", "toxic")  # 2 * sample ids: safe to broadcast
+    able = cut(able)  # ids alone
+    drawn = [able.where(F.col("toxic") == y).orderBy("_draw", "doc_id").limit(sample).select("doc_id", "toxic") for y in (0, 1)]  # each task keeps `sample` rows
+    chosen = drawn[0].union(drawn[1])  # 2 * sample ids: safe to broadcast
     rows = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = sorted(rows.collect(), key=lambda r: (r.toxic, r.doc_id))
     return fit([r.text for r in found], [int(r.toxic) for r in found])
