@@ -44,7 +44,8 @@ def numbered_lines(keyed: DataFrame, min_lines: int, min_words: int) -> DataFram
     """
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda s: _has_words(s["x"]))
-    each = F.transform(worded, lambda s: F.struct(s["line"].alias("line"), F.unhex(F.md5(s["x"])).alias("digest"), F.regexp_count(s["x"], F.lit(f"[^{GAPS}]+")).alias("words")))
+    count = lambda x: F.regexp_count(x, F.lit(f"[^{GAPS}]+"))
+    each = F.transform(worded, lambda s: F.struct(s["line"].alias("line"), F.unhex(F.md5(s["x"])).alias("digest"), count(s["x"]).alias("words")))
 
     def least(array: Column, i: Column) -> Column:
         words, enough = [F.coalesce(F.get(array, i + n)["words"], F.lit(0)) for n in range(min_lines - 1)], F.lit(min_lines)
@@ -53,7 +54,8 @@ def numbered_lines(keyed: DataFrame, min_lines: int, min_words: int) -> DataFram
         return enough
 
     # the one-member array gives the lines a name, so that they are made once for a text
-    rows = F.flatten(F.transform(F.array(each), lambda a: F.transform(a, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["digest"].alias("digest"), least(a, i).alias("least")))))
+    row = lambda a, x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["digest"].alias("digest"), least(a, i).alias("least"))
+    rows = F.flatten(F.transform(F.array(each), lambda a: F.transform(a, lambda x, i: row(a, x, i))))
     raw = cut(keyed.select("doc_id", "_doc", F.inline(rows)))
     # a document is in one range, so the numbers of its lines follow each other
     ordered = raw.repartitionByRange("doc_id", "_doc").distinct().sortWithinPartitions("doc_id", "_doc", "at")
@@ -140,8 +142,8 @@ def maximal_runs(keyed: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text, row (the whole input row), line_runs, copies and kept_text.
 
-    A run counts if it has min_lines lines with words, or min_words words. Order is by doc_id (nulls first), then text, then
-    line. Of a run's copies all but the first go, with the lines without words inside them; a copy is deleted only if an
+    A run counts if it has min_lines lines with words, or min_words words. Order is by doc_id (nulls first), then by the
+    digest of doc_id and text, then by line. Of a run's copies all but the first go, with the lines without words inside them; a copy is deleted only if an
     earlier one ends before it begins (of a line twelve times over, min_lines stay). line_runs are start and lines
     of each stretch of the text that goes; copies are the maximal runs behind them, which may overlap: line, lines
     (with words), first_doc and first_line, where the first copy begins.
@@ -156,26 +158,26 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     worded = F.filter(F.transform(lines, lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
     line = lambda at: F.get(F.col("_worded"), at)
     met = met.withColumn("_worded", F.when(F.col("_runs").isNotNull(), worded))
-    # of overlapping runs, each gives the lines from the end of the one before it, which also has the lines up to its own end
-    gone = F.flatten(
-        F.transform(
-            "_runs",
-            lambda r, i: F.sequence(
-                F.greatest(line(r["at"]), F.when(i > 0, F.when(F.get("_runs", i - 1)["at"] + F.get("_runs", i - 1)["lines"] > r["at"], line(F.get("_runs", i - 1)["at"] + F.get("_runs", i - 1)["lines"] - 1) + 1))),
-                line(r["at"] + r["lines"] - 1),
-            ),
-        )
-    )
+
+    def piece(run: Column, i: Column) -> Column:
+        """Numbers of the lines of a run, from behind the run before it where the two overlap: runs' ends rise with their starts."""
+        last = F.when(i > 0, F.get("_runs", i - 1))
+        end = last["at"] + last["lines"]
+        behind = F.when(end > run["at"], line(end - 1) + 1)
+        return F.sequence(F.greatest(line(run["at"]), behind), line(run["at"] + run["lines"] - 1))
+
+    gone = F.flatten(F.transform("_runs", piece))
     met = met.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>"))).withColumn("_split", F.when(F.size("_gone") > 0, lines))
     next_ = F.transform("_gone", lambda p: p + 1)
     stretches = F.zip_with(
         F.array_sort(F.array_except("_gone", next_)), F.array_sort(F.array_except(next_, "_gone")), lambda s, e: F.struct(s.alias("start"), (e - s).alias("lines"))
     )
-    copies = F.transform("_runs", lambda r: F.struct(line(r["at"]).alias("line"), r["lines"].alias("lines"), r["first_doc"].alias("first_doc"), r["first_line"].alias("first_line")))
+    copies = F.transform("_runs", lambda r: F.struct(line(r["at"]).alias("line"), *(r[c].alias(c) for c in ("lines", "first_doc", "first_line"))))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_gone"), lambda i: F.get(F.col("_split"), i)), "\n")
     result = F.struct(
-        stretches.alias("line_runs"), F.coalesce(copies, F.array().cast(copies_type(docs))).alias("copies"), F.when(F.size("_gone") == 0, F.col("text")).otherwise(kept).alias("kept_text")
-    )
+        stretches.alias("line_runs"), F.coalesce(copies, F.array().cast(copies_type(docs))).alias("copies"),
+        F.when(F.size("_gone") == 0, F.col("text")).otherwise(kept).alias("kept_text"),
+    )
     # generated, so that a caller's filter is not moved below and the result not made once for each use of it
     return met.select("doc_id", "text", "row", F.inline(F.array(result)))
 
