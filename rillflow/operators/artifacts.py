@@ -117,26 +117,33 @@ def _after(name: str, pattern: str = "[^\\n]*") -> Column:
 def decisions(texts: DataFrame) -> DataFrame:
     node = F.regexp_extract("block", "SCHEDULED to (\\S+)", 1)
     return blocks(texts, "[SCHEDULING]").select(
-        "run", F.col("seq").cast("long").alias("seq"), _after(" Pod", "\\S+").alias("pod"), _after("Strategy", "\\S+").alias("strategy"), F.when(node != "", node).alias("node"), _after("Node CPU", "[0-9.]+").try_cast("double").alias("cpu")
-    )
+        "run", F.col("seq").cast("long").alias("seq"), _after(" Pod", "\\S+").alias("pod"), _after("Strategy", "\\S+").alias("strategy"),
+        F.when(node != "", node).alias("node"), _after("Node CPU", "[0-9.]+").try_cast("double").alias("cpu"),
+    )
 
 
 def switches(texts: DataFrame) -> DataFrame:
+    cpu = F.regexp_extract("block", "CPU = ([0-9.]+)", 1)
     return blocks(texts, "[STRATEGY SWITCH]").select(
-        "run", F.col("seq").cast("long").alias("seq"), _after("From", "\\S+").alias("from_strategy"), _after("To", "\\S+").alias("to_strategy"), F.regexp_extract("block", "CPU = ([0-9.]+)", 1).try_cast("double").alias("cpu"), _after("Time").try_cast("timestamp_ntz").alias("at")
-    )
+        "run", F.col("seq").cast("long").alias("seq"), _after("From", "\\S+").alias("from_strategy"), _after("To", "\\S+").alias("to_strategy"),
+        cpu.try_cast("double").alias("cpu"), _after("Time").try_cast("timestamp_ntz").alias("at"),
+    )
 
 
 def selection_log(lines: DataFrame) -> DataFrame:
     of = lambda name, p: F.regexp_extract("line", f"{name}: ({p})", 1)
-    return lines.where(F.contains("line", F.lit("[SELECTION]"))).select("run", of("Node", "\\S+").alias("node"), of("CPU", "[0-9.]+").try_cast("double").alias("cpu"), of("Reward", "[0-9.]+").try_cast("double").alias("reward"), of("Total", "[0-9]+").try_cast("long").alias("total"))
+    number_of = lambda name: of(name, "[0-9.]+").try_cast("double")
+    return lines.where(F.contains("line", F.lit("[SELECTION]"))).select(
+        "run", of("Node", "\\S+").alias("node"), number_of("CPU").alias("cpu"), number_of("Reward").alias("reward"), of("Total", "[0-9]+").try_cast("long").alias("total")
+    )
 
 
 def td_log(lines: DataFrame) -> DataFrame:
-    of = lambda p, i=1: F.regexp_extract("line", p, i)
+    of = lambda p: F.regexp_extract("line", p, 1)
     return lines.where(F.contains("line", F.lit("[UPDATE]"))).select(
-        "run", of(" s=(\\S+)").alias("state"), of(" a=(\\d+)").try_cast("long").alias("action"), of(" r=([0-9.]+)").try_cast("double").alias("reward"), of("Q: ([0-9.]+)").try_cast("double").alias("q"), of("-> ([0-9.]+)").try_cast("double").alias("q_new")
-    )
+        "run", of(" s=(\\S+)").alias("state"), of(" a=(\\d+)").try_cast("long").alias("action"), of(" r=([0-9.]+)").try_cast("double").alias("reward"),
+        of("Q: ([0-9.]+)").try_cast("double").alias("q"), of("-> ([0-9.]+)").try_cast("double").alias("q_new"),
+    )
 
 
 def placement(lines: DataFrame) -> DataFrame:

@@ -42,9 +42,12 @@ def choose(rule: str, load: DataFrame) -> DataFrame:
 
 
 def arm_stats(selections: DataFrame) -> DataFrame:
-    found = selections.groupBy("run", "node").agg(F.count("*").alias("selections"), F.sum(F.col("reward").cast("decimal(20,8)")).cast("double").alias("total_reward"))
+    total = F.sum(F.col("reward").cast("decimal(20,8)")).cast("double")
+    found = selections.groupBy("run", "node").agg(F.count("*").alias("selections"), total.alias("total_reward"))
     every = F.sum("selections").over(Window.partitionBy("run"))
-    return found.withColumn("share_pct", F.round(100.0 * F.col("selections") / every, 6)).withColumn("mean_reward", F.round(F.col("total_reward") / F.col("selections"), 6)).withColumn("total_reward", F.round("total_reward", 6))
+    found = found.withColumn("share_pct", F.round(100.0 * F.col("selections") / every, 6))
+    found = found.withColumn("mean_reward", F.round(F.col("total_reward") / F.col("selections"), 6))
+    return found.withColumn("total_reward", F.round("total_reward", 6))
 
 
 def ucb_scores(selections: DataFrame, least: int = 2) -> DataFrame:

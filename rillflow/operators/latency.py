@@ -71,9 +71,13 @@ def counters(rows: DataFrame, interval: str, seconds: int, capacity: int) -> Dat
 
 def snapshots(rows: DataFrame, interval: str, group: str, value: str) -> DataFrame:
     """Figures of a group so far, at the end of each interval in which it has rows."""
-    sums = rows.groupBy(group, F.window("ts", interval).alias("w")).agg(F.count("*").alias("c"), F.sum(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    figures = F.count("*").alias("c"), F.sum(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi")
+    sums = rows.groupBy(group, F.window("ts", interval).alias("w")).agg(*figures)
     so_far = Window.partitionBy(group).orderBy("w.start").rowsBetween(Window.unboundedPreceding, 0)
-    return sums.select(group, F.col("w.end").alias("snapshot_at"), F.sum("c").over(so_far).alias("n_rows"), F.sum("s").over(so_far).alias("sum_ms"), F.min("lo").over(so_far).alias("min_ms"), F.max("hi").over(so_far).alias("max_ms"))
+    return sums.select(
+        group, F.col("w.end").alias("snapshot_at"), F.sum("c").over(so_far).alias("n_rows"), F.sum("s").over(so_far).alias("sum_ms"),
+        F.min("lo").over(so_far).alias("min_ms"), F.max("hi").over(so_far).alias("max_ms"),
+    )
 
 
 def interval_rates(rows: DataFrame, interval: str, seconds: int, group: str) -> DataFrame:
