@@ -39,6 +39,7 @@ class Pieces:
         self.byte = {int(self.text[i][3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.control = {i for i in range(n) if sp.is_control(i)}
+        self.odd = self.control | self.of_byte.keys()
         self.unknown = sp.unk_id()
         self.least = min(sp.get_score(i) for i in plain) - UNKNOWN_PENALTY
         self.single = {self.text[i] for i in plain if len(self.text[i]) == 1}
@@ -60,19 +61,21 @@ class Pieces:
             nonlocal done
             while done < upto:
                 if text[done] not in self.single and best[done] + self.least > best[done + 1]:
-                    best[done + 1], back[done + 1] = best[done] + self.least, (1, -1)
+                    best[done + 1], back[done + 1] = best[done] + self.least, (1, 0.0, -1)
                 done += 1
 
-        for end, (size, score, piece) in self.automaton.iter(text):
-            if done < end:
+        every = self.single.issuperset(text)  # then each position is reached by a match, and nothing is left to settle
+        for end, found in self.automaton.iter(text):
+            if not every and done < end:
                 settle(end)
-            value = best[end + 1 - size] + score
+            value = best[end + 1 - found[0]] + found[1]
             if value > best[end + 1]:
-                best[end + 1], back[end + 1] = value, (size, piece)
-        settle(n)
+                best[end + 1], back[end + 1] = value, found
+        if not every:
+            settle(n)
         out, at = [], n
         while at:
-            size, piece = back[at]
+            size, _, piece = back[at]
             if piece >= 0:
                 out.append(piece)
             else:
@@ -101,8 +104,8 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         """The text: bytes of byte pieces, control pieces left out, marks as spaces, without the first space."""
         of_byte, text, control = self.of_byte, self.text, self.control
-        if not (of_byte.keys() & set(ids)):
-            out = "".join([text[i] for i in ids if i not in control])
+        if self.odd.isdisjoint(ids):
+            out = "".join(map(text.__getitem__, ids))
         else:
             raw = b"".join(bytes((of_byte[i],)) if i in of_byte else b"" if i in control else text[i].encode() for i in ids)
             out = raw.decode("utf-8", "replace")
