@@ -57,18 +57,16 @@ def ucb_scores(selections: DataFrame, least: int = 2) -> DataFrame:
     sqrt(2) * sqrt(ln(N + 1) / n), for an arm not tried yet the largest double. The phase is EXPLORATION as long as an
     arm has fewer than `least` selections. Rewards are summed to 8 decimals. A run has few arms.
     """
-    rows = selections.select("run", "seq", "node", F.col("reward").cast("decimal(20,8)").alias("reward"))
-    arms = rows.groupBy("run").agg(F.collect_set("node").alias("_arms"))
-    every = rows.join(F.broadcast(arms), "run").select("run", "seq", F.explode("_arms").alias("_arm"), "node", "reward")
+    rows = running(selections.select("run", "seq", "node", F.col("reward").cast("decimal(20,8)").alias("reward")), ["run"], "seq", {"_steps": F.lit(1)})
+    arms = selections.groupBy("run").agg(F.collect_set("node").alias("_arms"))
+    every = rows.join(F.broadcast(arms), "run").select("run", "seq", "_steps", F.explode("_arms").alias("_arm"), "node", "reward")
     own = F.col("_arm") == F.col("node")
-    steps = every.select("run", "seq", F.col("_arm").alias("node"), own.alias("chosen"), F.when(own, F.col("reward")).otherwise(F.lit(0).cast("decimal(20,8)")).alias("_reward"))
+    reward = F.when(own, F.col("reward")).otherwise(F.lit(0).cast("decimal(20,8)"))
+    steps = every.select("run", "seq", "_steps", F.col("_arm").alias("node"), own.alias("chosen"), reward.alias("_reward"))
     seen = running(steps, ["run", "node"], "seq", {"tried": F.col("chosen").cast("long"), "_total": F.col("_reward")})
-    seen = running(seen.withColumn("_step", F.struct("seq", "node")), ["run"], "_step", {"_rows": F.lit(1)})
     few = F.min("tried").over(Window.partitionBy("run", "seq")) < least
-    n_arms = F.count("*").over(Window.partitionBy("run", "seq"))
-    steps_before = F.floor(F.col("_rows") / n_arms)  # each step before has a row per arm
     mean = F.col("_total").cast("double") / F.col("tried")
-    bound = F.round(mean + F.sqrt(F.lit(2.0)) * F.sqrt(F.log((steps_before + 1).cast("double")) / F.col("tried")), 6)
+    bound = F.round(mean + F.sqrt(F.lit(2.0)) * F.sqrt(F.log((F.col("_steps") + 1).cast("double")) / F.col("tried")), 6)
     return seen.select(
         "run", "seq", "node", "chosen", "tried", F.when(F.col("tried") > 0, bound).otherwise(F.lit(1.7976931348623157e308)).alias("bound"),
         F.when(few, "EXPLORATION").otherwise("EXPLOITATION").alias("phase"),
