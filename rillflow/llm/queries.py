@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, lines, media, minhash, packing, pieces, toxicity, vectors, warc
+from . import chat, licenses, lines, media, minhash, negatives, packing, pieces, sharding, toxicity, trie, vectors, warc
 from .common import shared_folder, table
 
 
@@ -179,8 +179,81 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), escape=False)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.branched(trie.paths(table(spark, sf_dir, "conversations"))))
+
+
+#: Totals of a node are those of all nodes on its members' paths from it on, each counted for the conversation that names it.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*) AS own, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda r, b: list_reduce(list_concat([xor(r, b)], range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 9 AS h
+  FROM t GROUP BY conv_id),
+d AS (SELECT c.*, least(coalesce(b.own, 0), c.h) AS head FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (
+  SELECT d.conv_id, t.i + 1 AS depth, role, text FROM d JOIN t ON t.conv_id = d.base AND t.i < d.h
+  UNION ALL
+  SELECT d.conv_id, d.head + t.i - d.h + 1, role, text FROM d JOIN t ON t.conv_id = d.conv_id AND t.i >= d.h),
+p AS (
+  SELECT conv_id, depth, octet_length(encode(text)) AS n_bytes, string_agg(md5(role || chr(10) || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS k FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM d),
+n AS (SELECT depth, k, min(conv_id) AS node, count(*) AS n_convs, any_value(n_bytes) AS n_bytes FROM p GROUP BY ALL),
+m AS (SELECT p.conv_id, p.depth, n.node, n.n_convs, n.n_bytes FROM p JOIN n USING (depth, k)),
+u AS (SELECT o.node, o.depth, (o.n_convs - 1) * o.n_bytes AS saved, l.node AS parent_node FROM m o LEFT JOIN m l ON l.conv_id = o.conv_id AND l.depth = o.depth - 1 WHERE o.conv_id = o.node),
+kids AS (SELECT parent_node AS node, depth - 1 AS depth, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN kids USING (node, depth)),
+ends AS (
+  SELECT node, depth, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+  FROM m JOIN (SELECT conv_id, max(depth) AS depth FROM p GROUP BY 1) USING (conv_id, depth) GROUP BY ALL),
+totals AS (
+  SELECT m.node, m.depth, count(*) FILTER (own.n_children = 0) AS n_leaves, CAST(sum(own.saved) AS BIGINT) AS saved
+  FROM m JOIN own ON own.node = m.conv_id AND own.depth >= m.depth GROUP BY ALL)
+SELECT own.node AS conv_id, own.depth, own.parent_node AS parent_conv_id, n.n_convs, own.n_children, n_leaves, totals.saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM own JOIN n ON n.node = own.node AND n.depth = own.depth JOIN totals ON totals.node = own.node AND totals.depth = own.depth
+LEFT JOIN ends ON ends.node = own.node AND ends.depth = own.depth"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM v a JOIN v r ON len(a.q) = len(r.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    text = F.coalesce("row.text", F.lit(""))
+    return rows.select(
+        "row.doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_chat, op3_toxicity, op4_licenses, op5_sentencepiece, op6_minhash, op7_vectors, op8_warc, op9_media, op10_packing)
-}
-SQL = {"op1_line_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op6_minhash": OP6_SQL, "op7_vectors": OP7_SQL, "op8_warc": OP8_SQL}
+    for f in (
+        op1_line_dedup, op2_chat, op3_toxicity, op4_licenses, op5_sentencepiece, op6_minhash, op7_vectors, op8_warc, op9_media, op10_packing, op11_prefix_trie, op12_hard_negatives,
+        op13_sharding,
+    )
+}
+SQL = {"op1_line_dedup": OP1_SQL, "op2_chat": OP2_SQL, "op6_minhash": OP6_SQL, "op7_vectors": OP7_SQL, "op8_warc": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL}
