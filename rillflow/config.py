@@ -9,7 +9,7 @@ WINDOWS, AGGREGATES, PROFILES = ("tumbling", "sliding", "session"), ("sum", "avg
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """Unknown names of a window, aggregate or profile raise ValueError."""
+    """Unknown names of a window, aggregate or profile raise ValueError. With hot_keys, sessions of static rows are found in parts."""
 
     high_value: bool = True
     min_price: float = 100.0
@@ -25,6 +25,7 @@ class PipelineConfig:
     slide: str = "5 seconds"
     gap: str = "30 seconds"
     lateness: str = "5 seconds"
+    hot_keys: bool = False
     console_sink: bool = True
     file_sink: bool = False
     output_path: str = ""

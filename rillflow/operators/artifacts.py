@@ -89,13 +89,13 @@ def source_log(lines: DataFrame) -> DataFrame:
 
 
 def latency_log(lines: DataFrame) -> DataFrame:
-    """Plain means over subtasks of their final percentiles, halves to even, and the mean weighted by their counts."""
+    """Plain means over subtasks of their final percentiles and averages, and the mean weighted by their counts; halves go to even."""
     # fixed value: the word of a tracker's last line
     last = lines.where(F.contains("line", F.lit(" FINAL ")))
     of = lambda c: number(F.col("line"), c)
     return last.groupBy("run").agg(
-        *(F.bround(F.avg(of(c)), 0).cast("long").alias(c) for c in ("p50", "p95", "p99")), F.round(F.avg(of("avg")), 1).alias("avg"),
-        F.round(F.sum(of("avg") * of("count")) / F.sum(of("count")), 1).alias("weighted_avg"),
+        *(F.bround(F.avg(of(c)), 0).cast("long").alias(c) for c in ("p50", "p95", "p99")), F.bround(F.avg(of("avg")), 1).alias("avg"),
+        F.bround(F.sum(of("avg") * of("count")) / F.sum(of("count")), 1).alias("weighted_avg"),
     )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scores import bucket, regime
+from ..scratch import stored
+from .cooldown import accepted_changes
 from .ordered import previous, running
 
 
@@ -55,21 +57,27 @@ def ucb_scores(selections: DataFrame, least: int = 2) -> DataFrame:
 
     run, seq, node, chosen, tried, bound, phase: a row per step and arm of the run. bound is the mean reward so far and
     sqrt(2) * sqrt(ln(N + 1) / n), for an arm not tried yet the largest double. The phase is EXPLORATION as long as an
-    arm has fewer than `least` selections. Rewards are summed to 8 decimals. A run has few arms.
+    arm has fewer than `least` selections. Rewards are summed to 8 decimals; a null run is a run like any other, a step without a
+    node chooses no arm. A run has few arms: all of them are summed up side by side in one pass over the steps, and a step is
+    spread to its arms afterwards.
     """
-    rows = running(selections.select("run", "seq", "node", F.col("reward").cast("decimal(20,8)").alias("reward")), ["run"], "seq", {"_steps": F.lit(1)})
-    arms = selections.groupBy("run").agg(F.collect_set("node").alias("_arms"))
-    every = rows.join(F.broadcast(arms), "run").select("run", "seq", "_steps", F.explode("_arms").alias("_arm"), "node", "reward")
-    own = F.col("_arm") == F.col("node")
-    reward = F.when(own, F.col("reward")).otherwise(F.lit(0).cast("decimal(20,8)"))
-    steps = every.select("run", "seq", "_steps", F.col("_arm").alias("node"), own.alias("chosen"), reward.alias("_reward"))
-    seen = running(steps, ["run", "node"], "seq", {"tried": F.col("chosen").cast("long"), "_total": F.col("_reward")})
-    few = F.min("tried").over(Window.partitionBy("run", "seq")) < least
-    mean = F.col("_total").cast("double") / F.col("tried")
-    bound = F.round(mean + F.sqrt(F.lit(2.0)) * F.sqrt(F.log((F.col("_steps") + 1).cast("double")) / F.col("tried")), 6)
-    return seen.select(
-        "run", "seq", "node", "chosen", "tried", F.when(F.col("tried") > 0, bound).otherwise(F.lit(1.7976931348623157e308)).alias("bound"),
-        F.when(few, "EXPLORATION").otherwise("EXPLOITATION").alias("phase"),
+    arms = selections.groupBy(F.col("run").alias("_run")).agg(F.array_sort(F.collect_set("node")).alias("_arms"))
+    arms = stored(arms)
+    most = arms.agg(F.max(F.size("_arms"))).first()[0] or 0
+    rows = selections.join(arms, F.col("run").eqNullSafe(F.col("_run"))).select(
+        "run", "seq", "_arms", (F.array_position("_arms", F.col("node")) - 1).cast("int").alias("_own"), F.coalesce(F.col("reward").cast("decimal(20,8)"), F.lit(0)).cast("decimal(20,8)").alias("_reward")
+    )
+    own = lambda k: F.coalesce(F.col("_own") == k, F.lit(False))
+    sums = {f"_n{k}": own(k).cast("long") for k in range(most)} | {f"_r{k}": F.when(own(k), F.col("_reward")).otherwise(F.lit(0).cast("decimal(20,8)")) for k in range(most)}
+    seen = running(rows, ["run"], "seq", sums | {"_steps": F.lit(1)})
+    tried, total = F.array(*(f"_n{k}" for k in range(most))), F.array(*(F.col(f"_r{k}").cast("double") for k in range(most)))
+    few = F.array_min(F.slice(tried, 1, F.size("_arms"))) < least
+    each = seen.select("run", "seq", "_own", "_steps", tried.alias("_n"), total.alias("_r"), few.alias("_few"), F.posexplode("_arms").alias("_k", "node"))
+    n, mean = F.get("_n", F.col("_k")), F.get("_r", F.col("_k")) / F.get("_n", F.col("_k"))
+    bound = F.round(mean + F.sqrt(F.lit(2.0)) * F.sqrt(F.log((F.col("_steps") + 1).cast("double")) / n), 6)
+    return each.select(
+        "run", "seq", "node", F.coalesce(F.col("_own") == F.col("_k"), F.lit(False)).alias("chosen"), n.alias("tried"),
+        F.when(n > 0, bound).otherwise(F.lit(1.7976931348623157e308)).alias("bound"), F.when(F.col("_few"), "EXPLORATION").otherwise("EXPLOITATION").alias("phase"),
     )
 
 
@@ -98,42 +106,11 @@ def regime_changes(ticks: DataFrame) -> DataFrame:
 
 
 def regime_cooldown(ticks: DataFrame, seconds: int) -> DataFrame:
-    """Changes that come at least `seconds` after the last one that was let through.
+    """Changes that come at least `seconds` after the last one that was let through; the run's first change needs no wait.
 
-    ticks: run, seq, ts, cpu. Each change depends on the one before it, so a run is read in order by one task, which
-    holds a batch of rows and looks for the next change in arrays; runs are read side by side.
+    ticks: run (of any type that sorts; null is a run too), seq, ts, cpu. Rows without a seq or a time take no part. A run may hold
+    most of the rows: see cooldown.
     """
-
-    def accept(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        run, current, changed = None, None, None
-        for batch in batches:
-            runs, regimes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("run", "regime"))
-            at = batch.column("ts").cast(pa.int64()).to_numpy()
-            found, before = [], []
-            edges = np.concatenate([[0], np.flatnonzero(runs[1:] != runs[:-1]) + 1, [len(runs)]])
-            for i, stop in zip(edges[:-1], edges[1:], strict=True):
-                if stop == i:
-                    continue
-                if runs[i] != run:
-                    run, current, changed, i = runs[i], regimes[i], None, i + 1
-                size = 64
-                while i < stop:
-                    end = min(stop, i + size)
-                    hit = regimes[i:end] != current
-                    if changed is not None:
-                        hit &= at[i:end] - changed >= seconds * 1_000_000
-                    if hit.any():
-                        i += int(hit.argmax())
-                        found.append(i)
-                        before.append(current)
-                        current, changed, i, size = regimes[i], at[i], i + 1, 64
-                    else:
-                        i, size = end, 2 * size
-            take = pa.array(found, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("run").take(take), batch.column("seq").take(take), pa.array(before, pa.string()), batch.column("regime").take(take)], names=["run", "seq", "from_regime", "to_regime"])
-
-    rows = ticks.select("run", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), regime(F.col("cpu")).alias("regime")).repartition("run").sortWithinPartitions("run", "seq")
-    return rows.mapInArrow(accept, "run string, seq long, from_regime string, to_regime string")
+    rows = ticks.select("run", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), regime(F.col("cpu")).alias("kind"))
+    found = accepted_changes(rows, seconds * 1_000_000)
+    return found.select("run", "seq", F.col("from_kind").alias("from_regime"), F.col("to_kind").alias("to_regime"))

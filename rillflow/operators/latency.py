@@ -6,26 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import dealt
+
+SHARES = (0.5, 0.95, 0.99)
+
 
 def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
     """count, min, p50, p95, p99, max, sum and avg of values of 0 or more; p is sorted[min(n - 1, int(n * p))].
 
-    Exact without a group's values in one place: counts by (group, value) combine before the shuffle, and the place of
-    each distinct value is a running sum over them.
+    Exact without a group's values in one task, however many are distinct. Counts by (group, value) combine before the
+    shuffle and are sorted by range over all partitions. Counts of parts tell in which part a rank lies, and only that part is
+    searched. A null group is a group like any other.
     """
     counts = rows.where(f"{value} >= 0").groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("c").over(Window.partitionBy(group))
-    placed = counts.withColumn("upto", upto).withColumn("n", n)
-
-    def at(p: float):
-        rank = F.least(F.col("n") - 1, (F.col("n") * F.lit(p)).cast("long"))
-        return F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"p{round(p * 100)}")
-
-    total = F.sum(F.col("v") * F.col("c"))
-    return placed.groupBy(group).agg(
-        F.max("n").alias("n_rows"), F.min("v").alias("min_ms"), at(0.5), at(0.95), at(0.99), F.max("v").alias("max_ms"), total.alias("sum_ms"), (total / F.max("n")).alias("avg_ms")
-    )
+    placed = dealt(counts, [group], "v")
+    own = placed.groupBy(group, "_part").agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.col("v") * F.col("c")).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = own.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy(group)))
+    ranks = [F.least(F.col("all") - 1, (F.col("all") * F.lit(p)).cast("long")) for p in SHARES]
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), r.alias("rank")) for k, r in enumerate(ranks))))
+    wanted = parts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), (F.col("upto") - F.col("n")).alias("before"), "upto", asked.alias("ask"))
+    wanted = wanted.where("ask.rank >= before and ask.rank < upto")  # three rows a group
+    searched = placed.join(wanted, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    passed = F.col("before") + F.sum("c").over(Window.partitionBy("_g", "_p", "ask.k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = searched.withColumn("passed", passed).where("passed > ask.rank").groupBy("_g")
+    picked = found.agg(*(F.min(F.when(F.col("ask.k") == k, F.col("v"))).alias(f"p{round(p * 100)}") for k, p in enumerate(SHARES)))
+    sums = parts.groupBy(group).agg(F.sum("n").alias("n_rows"), F.min("low").alias("min_ms"), F.max("high").alias("max_ms"), F.sum("total").alias("sum_ms"))
+    met = sums.join(picked, F.col(group).eqNullSafe(F.col("_g")))
+    return met.select(group, "n_rows", "min_ms", "p50", "p95", "p99", "max_ms", "sum_ms", (F.col("sum_ms") / F.col("n_rows")).alias("avg_ms"))
 
 
 def approximate_percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:

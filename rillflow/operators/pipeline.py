@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import PipelineConfig
+from . import windows
+from .ordered import running
 
 
 def high_value(bids: DataFrame, price: float = 100.0) -> DataFrame:
@@ -46,7 +48,13 @@ def window(config: PipelineConfig, ts: str = "ts") -> Column:
 
 
 def windowed(rows: DataFrame, config: PipelineConfig) -> DataFrame:
-    """auction_id, window_start, window_end, value: one shuffle, with partial sums before it."""
+    """auction_id, window_start, window_end, value: one shuffle, with partial sums before it.
+
+    Static rows make sliding windows by panes, and sessions, if keys may hold most of the rows, by parts.
+    """
+    if not rows.isStreaming and (config.window == "sliding" or config.window == "session" and config.hot_keys):
+        found = windows.sliding(rows, config.size, config.slide) if config.window == "sliding" else windows.sessions(rows, config.gap)
+        return found.select("auction_id", "window_start", "window_end", windows.value(config.aggregate))
     found = rows.groupBy("auction_id", window(config).alias("w")).agg(aggregate(config.aggregate))
     return found.select("auction_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "value")
 
@@ -56,9 +64,10 @@ def pipeline(bids: DataFrame, config: PipelineConfig) -> DataFrame:
 
 
 def running_sum(rows: DataFrame) -> DataFrame:
-    """The total of a key so far, after each of its rows."""
-    order = Window.partitionBy("auction_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("auction_id", "event_id", F.sum(F.col("amount").cast("decimal(20,5)")).over(order).cast("double").alias("total"))
+    """The total of a key so far, after each of its rows, by ts and event_id. A key may hold most of the rows."""
+    own = rows.select("auction_id", "event_id", F.struct("ts", "event_id").alias("_at"), F.col("amount").cast("decimal(20,5)").alias("_amount"))
+    before = running(own, ["auction_id"], "_at", {"_sum": F.col("_amount")})
+    return before.select("auction_id", "event_id", (F.col("_sum") + F.coalesce("_amount", F.lit(0))).cast("double").alias("total"))
 
 
 def totals(rows: DataFrame) -> DataFrame:

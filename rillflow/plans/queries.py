@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ..config import AGGREGATES, PROFILES, WINDOWS, PipelineConfig
 from ..functions import quantities, scores
-from ..operators import artifacts, compare, decisions, latency, nodes
+from ..operators import artifacts, compare, decisions, latency, nodes, sketches
 from ..operators import pipeline as core
 from ..sources import bids as source
 from ..streaming import jobs
 from .registry import BIDS, query
 from .registry import bids as _bids
 
+# fixed value: the head of the benchmark's run names
+NAME_HEAD = "Nexmark-Config"
 HOURLY = dict(size="1 hour", slide="30 minutes", gap="6 hours")
 AMOUNTS = BIDS + ", amounts AS (SELECT auction_id, CAST(price * 0.908e0 AS DOUBLE) AS amount, ts, event_id FROM bids WHERE price > 100)"
 AGG_SQL = {
@@ -128,6 +130,18 @@ for _w in WINDOWS:
     for _a in AGGREGATES:
         _config = PipelineConfig(window=_w, aggregate=_a, **HOURLY)
         query(f"{_w}_{_a}", WINDOW_SQL[_w].format(agg=AGG_SQL[_a]), AMOUNTS)(lambda s, d, c=_config: core.pipeline(_bids(s, d), c))
+for _a in AGGREGATES:
+    _config = PipelineConfig(window="session", aggregate=_a, hot_keys=True, **HOURLY)
+    query(f"session_{_a}_by_parts", WINDOW_SQL["session"].format(agg=AGG_SQL[_a]), AMOUNTS)(lambda s, d, c=_config: core.pipeline(_bids(s, d), c))
+query(
+    "sliding_many",
+    """
+        SELECT auction_id, time_bucket(INTERVAL '12 minutes', ts) - k * INTERVAL '12 minutes' AS window_start,
+          time_bucket(INTERVAL '12 minutes', ts) - k * INTERVAL '12 minutes' + INTERVAL '12 hours' AS window_end, """ + AGG_SQL["avg"] + """ AS value
+        FROM amounts, range(60) r(k)
+        GROUP BY ALL""",
+    AMOUNTS,
+)(lambda s, d: core.pipeline(_bids(s, d), PipelineConfig(window="sliding", aggregate="avg", size="12 hours", slide="12 minutes")))
 query("flagship", WINDOW_SQL["tumbling"].format(agg=AGG_SQL["sum"]), AMOUNTS)(lambda s, d: core.pipeline(_bids(s, d), PipelineConfig(**HOURLY)))
 
 
@@ -254,6 +268,7 @@ query(
         WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING)""",
     MS,
 )(lambda s, d: latency.snapshots(_latencies(s, d), "1 day", "event_type", "ms"))
+query("latency_snapshots_p")(lambda s, d: sketches.snapshots(_latencies(s, d), "1 day", "event_type", "ms"))
 RATES = f"""
   SELECT event_type, {DAY} AS interval_start, count(*) AS n_rows, count(*) / 86400.0e0 AS per_second,
     count(*) - lag(count(*)) OVER (PARTITION BY event_type ORDER BY {DAY}) AS change, min(ts) AS first_ts, max(ts) AS last_ts
@@ -342,13 +357,14 @@ def cpu_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLUSTER_SQL = """
 SELECT t.tick, coalesce(CAST(sum(CAST(pct AS DECIMAL(20,4))) AS DOUBLE) / count(pct), 50.0e0) AS pct
-FROM (SELECT DISTINCT tick FROM load) t LEFT JOIN (SELECT * FROM cpu WHERE node = 1) c ON c.tick = t.tick GROUP BY 1"""
+FROM (SELECT tick FROM load UNION SELECT tick + INTERVAL '30 minutes' FROM load) t LEFT JOIN cpu c ON c.tick = t.tick GROUP BY 1"""
 
 
 @query("cluster_avg_cpu", CLUSTER_SQL, USED)
 def cluster_avg_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over one node, which some ticks lack."""
-    return nodes.cluster_average(_load(spark, sf_dir).select("tick").distinct(), _node_cpu(spark, sf_dir).where("node = 1"))
+    """Over all nodes; the half hours between have none."""
+    ticks = _load(spark, sf_dir).select(F.explode(F.array("tick", F.expr("tick + interval 30 minutes"))).alias("tick")).distinct()
+    return nodes.cluster_average(ticks, _node_cpu(spark, sf_dir))
 
 
 query(
@@ -364,6 +380,10 @@ query(
 )
 
 
+def _events(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/events.parquet")
+
+
 def _cpu_text():
     """Millicores, cores, nanocores and what is none, by turns."""
     n = F.col("event_id")
@@ -377,7 +397,7 @@ query(
         SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN event_id * 1000.0e0 WHEN 2 THEN event_id::DOUBLE ELSE 0.0e0 END AS millicores
         FROM events""",
     "",
-)(lambda s, d: _bids(s, d).select("event_id", quantities.millicores(_cpu_text()).alias("millicores")))
+)(lambda s, d: _events(s, d).select("event_id", quantities.millicores(_cpu_text()).alias("millicores")))
 _mem_text = lambda: F.concat(F.col("event_id").cast("string"), F.element_at(F.array(*map(F.lit, ("Ki", "Mi", "Gi", "x"))), (F.col("event_id") % 4 + 1).cast("int")))
 query(
     "quantity_mem",
@@ -385,7 +405,7 @@ query(
         SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id * 1024 WHEN 1 THEN event_id * 1048576 WHEN 2 THEN event_id * 1073741824 ELSE 0 END AS bytes
         FROM events""",
     "",
-)(lambda s, d: _bids(s, d).select("event_id", quantities.memory_bytes(_mem_text()).alias("bytes")))
+)(lambda s, d: _events(s, d).select("event_id", quantities.memory_bytes(_mem_text()).alias("bytes")))
 query(
     "pods_pending",
     "SELECT event_id AS pod FROM bids WHERE event_type IN ('click', 'view') AND auction_id % 3 < 2",
@@ -478,7 +498,7 @@ UCB_SQL = """
 e AS (
   SELECT s.run, s.seq, a.node, a.node = s.node AS chosen, CASE WHEN a.node = s.node THEN CAST(reward AS DECIMAL(20,8)) ELSE 0 END AS r,
          row_number() OVER (PARTITION BY s.run, a.node ORDER BY s.seq) - 1 AS n_before
-  FROM rewarded s JOIN arms a ON a.run = s.run),
+  FROM rewarded s JOIN arms a ON a.run IS NOT DISTINCT FROM s.run),
 t AS (
   SELECT *, coalesce(CAST(sum(chosen::INT) OVER o AS BIGINT), 0) AS tried, coalesce(CAST(sum(r) OVER o AS DOUBLE), 0) AS total
   FROM e WINDOW o AS (PARTITION BY run, node ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -486,7 +506,10 @@ SELECT run, seq, node, chosen, tried,
        CASE WHEN tried > 0 THEN round(total / tried + sqrt(2.0e0) * sqrt(ln(CAST(n_before + 1 AS DOUBLE)) / tried), 6) ELSE 1.7976931348623157e308 END AS bound,
        CASE WHEN min(tried) OVER (PARTITION BY run, seq) < 2 THEN 'EXPLORATION' ELSE 'EXPLOITATION' END AS phase
 FROM t"""
-query("ucb_scores", UCB_SQL, STEPS)(lambda s, d: decisions.ucb_scores(_steps(s, d)))
+#: The run of errors has no name.
+NAMELESS = STEPS.replace("event_type AS run", "nullif(event_type, 'error') AS run")
+_nameless = lambda s, d: _steps(s, d).withColumn("run", F.nullif("run", F.lit("error")))
+query("ucb_scores", UCB_SQL, NAMELESS)(lambda s, d: decisions.ucb_scores(_nameless(s, d)))
 BUCKET = "CASE WHEN {c} < 30 THEN 'LOW' WHEN {c} <= 70 THEN 'MED' ELSE 'HIGH' END"
 query(
     "state_bucket",
@@ -509,12 +532,12 @@ query(
 query(
     "td_audit",
     """
-        SELECT run, seq, round(q + 0.2e0 * (reward + 0.8e0 * q - q), 6) AS q_due, round(abs(reward - (q + 0.2e0 * (reward + 0.8e0 * q - q))), 6) AS off
-        FROM (SELECT *, cpu / 100.0e0 AS q
+        SELECT run, seq, round(q + 0.2e0 * (reward + 0.8e0 * q_next - q), 6) AS q_due, round(abs(reward - (q + 0.2e0 * (reward + 0.8e0 * q_next - q))), 6) AS off
+        FROM (SELECT *, cpu / 100.0e0 AS q, seq % 7 / 7.0e0 AS q_next
         FROM rewarded)""",
     STEPS,
 )(
-    lambda s, d: decisions.td_audit(_steps(s, d).select("run", "seq", "reward", (F.col("cpu") / 100.0).alias("q"), (F.col("cpu") / 100.0).alias("q_next"), F.col("reward").alias("q_new"))).select(
+    lambda s, d: decisions.td_audit(_steps(s, d).select("run", "seq", "reward", (F.col("cpu") / 100.0).alias("q"), (F.col("seq") % 7 / 7.0).alias("q_next"), F.col("reward").alias("q_new"))).select(
         "run",
         "seq",
         "q_due",
@@ -548,14 +571,14 @@ query(
 COOLDOWN_SQL = f"""
 , r AS (SELECT run, seq, ts, {REGIME} AS regime FROM steps),
 c(run, seq, ts, from_regime, to_regime) AS (
-  SELECT run, seq, NULL::TIMESTAMP, NULL::VARCHAR, regime FROM r WHERE (run, seq) IN (SELECT run, min(seq) FROM r GROUP BY 1)
+  SELECT run, seq, NULL::TIMESTAMP, NULL::VARCHAR, regime FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) AS nth FROM r) WHERE nth = 1
   UNION ALL
   SELECT n.run, n.seq, n.ts, n.was, n.regime FROM (
     SELECT r.*, c.to_regime AS was, row_number() OVER (PARTITION BY r.run ORDER BY r.seq) AS k
-    FROM c JOIN r ON r.run = c.run AND r.seq > c.seq AND r.regime <> c.to_regime AND (c.ts IS NULL OR r.ts - c.ts >= INTERVAL '3600 seconds')) n
+    FROM c JOIN r ON r.run IS NOT DISTINCT FROM c.run AND r.seq > c.seq AND r.regime <> c.to_regime AND (c.ts IS NULL OR r.ts - c.ts >= INTERVAL '3600 seconds')) n
   WHERE k = 1)
 SELECT run, seq, from_regime, to_regime FROM c WHERE from_regime IS NOT NULL"""
-query("regime_cooldown", COOLDOWN_SQL, "RECURSIVE " + STEPS)(lambda s, d: decisions.regime_cooldown(_steps(s, d), 3600))
+query("regime_cooldown", COOLDOWN_SQL, "RECURSIVE " + NAMELESS)(lambda s, d: decisions.regime_cooldown(_nameless(s, d), 3600))
 query(
     "decision_stats",
     """
@@ -687,7 +710,7 @@ query(
     "parse_latency_log",
     f"""
         WITH {USERS} SELECT run, CAST(round_even(avg(n), 0) AS BIGINT) AS p50, CAST(round_even(avg(n + 5), 0) AS BIGINT) AS p95,
-          CAST(round_even(avg(n + 9), 0) AS BIGINT) AS p99, round(avg(n + 0.0e0), 1) AS avg, round(sum(n * n) / sum(n + 0.0e0), 1) AS weighted_avg
+          CAST(round_even(avg(n + 9), 0) AS BIGINT) AS p99, round_even(avg(n + 0.0e0), 1) AS avg, round_even(sum(n * n) / sum(n + 0.0e0), 1) AS weighted_avg
         FROM (SELECT user_id % 10 AS run, n
         FROM u)
         GROUP BY 1""",
@@ -787,7 +810,7 @@ query(
     f"WITH {USERS} SELECT user_id, n || 'k' AS rate, CAST(hi AS VARCHAR) AS par FROM u",
     "",
 )(
-    lambda s, d: _users(s, d).select("user_id", artifacts.job_name(F.concat(F.lit("Nexmark-Config[rate="), F.col("n"), F.lit("k,par="), F.col("hi"), F.lit(",win=TUM-10s]"))).alias("m")).select(
+    lambda s, d: _users(s, d).select("user_id", artifacts.job_name(F.concat(F.lit(NAME_HEAD), F.lit("[rate="), F.col("n"), F.lit("k,par="), F.col("hi"), F.lit(",win=TUM-10s]"))).alias("m")).select(
         "user_id",
         F.col("m")["rate"].alias("rate"),
         F.col("m")["par"].alias("par"),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..operators import artifacts, compare, metrics
+from ..operators import pipeline as core
 from ..sources import runs as files
-from ..streaming import jobs, stats
-from .queries import AMOUNTS, HOURLY, USERS, WINDOW_SQL, _jobs, _users
+from ..streaming import jobs, state, stats
+from .queries import AMOUNTS, COOLDOWN_SQL, HOURLY, NAMELESS, NAME_HEAD, USERS, WINDOW_SQL, _jobs, _users
 from .registry import query
 
 
@@ -39,7 +40,7 @@ SELECT 'w' || (user_id % 3) || '/s' || user_id AS run, 's' || user_id AS strateg
        CASE WHEN logged AND g > 0 THEN (d * 10000 // g) / 100.0e0 END AS drop_pct,
        len(list_distinct(['n' || (n % 3), 'n' || (hi % 3), 'n0'])) AS nodes_used, 3::BIGINT AS total_tms, 2::BIGINT AS scheduling_decisions, hi % 2 AS strategy_switches,
        CAST(round_even((n + n + 1) / 2.0e0, 0) AS BIGINT) AS lat_proc_p50, CAST(round_even((n + hi) / 2.0e0, 0) AS BIGINT) AS lat_proc_p95, n AS lat_proc_p99,
-       round(n + 0.0e0, 1) AS lat_proc_avg, CASE WHEN timed THEN n END AS lat_total_p50, CASE WHEN timed THEN n + 5 END AS lat_total_p95,
+       round_even(n + 0.25e0, 1) AS lat_proc_avg, CASE WHEN timed THEN n END AS lat_total_p50, CASE WHEN timed THEN n + 5 END AS lat_total_p95,
        CASE WHEN timed THEN n + 9 END AS lat_total_p99, CASE WHEN timed THEN n + 0.0e0 END AS lat_total_avg
 FROM r"""
 
@@ -48,15 +49,15 @@ FROM r"""
 def metrics_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _users(spark, sf_dir)
     made = _jobs(spark, sf_dir).withColumn("user_id", F.col("jid").cast("long")).join(users.select("user_id", "n", "hi"), "user_id")
-    name = _text("Nexmark-Config[rate=", F.col("n"), "k,par=", F.col("hi"), ",win=TUM-10s", F.when(F.col("user_id") % 2 == 0, ",cpu=500,dist=STEP").otherwise(""), "]")
+    name = _text(f"{NAME_HEAD}[rate=", F.col("n"), "k,par=", F.col("hi"), ",win=TUM-10s", F.when(F.col("user_id") % 2 == 0, ",cpu=500,dist=STEP").otherwise(""), "]")
     own = made.withColumn("name", name).withColumn("run", _run()).withColumn("workload", _text("w", F.col("user_id") % 3)).withColumn("strategy", _text("s", F.col("user_id")))
     thousands = lambda c: F.format_number(c * 1000, 0)
     source = _lines(
         users.where("user_id % 4 <> 0"), _text("[Source-1] t=10s target=1k/s gen=", thousands(F.col("n"))),
         _text("[Source-1] FINALIZADO en 90.1s: generated=", thousands(F.col("n")), ", emitted=", thousands(F.col("hi")), ", dropped=", thousands(F.col("n") - F.col("hi")), " (0.0%)"),
     )
-    last = lambda p50, p95, p99, avg: _text("[Latency-0] FINAL count=1 min=1ms p50=", p50, "ms p95=", p95, "ms p99=", p99, "ms max=9ms avg=", avg, ".0ms")
-    processing = _lines(users, last(F.col("n"), F.col("n"), F.col("n"), F.col("n")), last(F.col("n") + 1, F.col("hi"), F.col("n"), F.col("n")), F.lit("[Latency-0] count=1 p50=7ms p95=7ms p99=7ms avg=7.0ms"))
+    last = lambda p50, p95, p99, avg, part="0": _text("[Latency-0] FINAL count=1 min=1ms p50=", p50, "ms p95=", p95, "ms p99=", p99, "ms max=9ms avg=", avg, f".{part}ms")
+    processing = _lines(users, last(F.col("n"), F.col("n"), F.col("n"), F.col("n")), last(F.col("n") + 1, F.col("hi"), F.col("n"), F.col("n"), "5"), F.lit("[Latency-0] count=1 p50=7ms p95=7ms p99=7ms avg=7.0ms"))
     total = _lines(users.where("user_id % 5 <> 0"), last(F.col("n"), F.col("n") + 5, F.col("n") + 9, F.col("n")))
     pod = lambda k, node: _text(f"pod-{k}  1/1  Running  0  5m  10.0.0.1  n", node, "  <none>")
     placed = _lines(users, F.lit("NAME READY STATUS RESTARTS AGE IP NODE NOMINATED"), pod(1, F.col("n") % 3), pod(2, F.col("hi") % 3), pod(3, F.lit(0)))
@@ -178,13 +179,16 @@ FROM f JOIN k USING (part) GROUP BY ALL"""
 @query("late_rows", LATE_SQL)
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arrive in four batches by time; every seventh comes two days later."""
+    found = stats.late_counts(spark, _arrived(spark, sf_dir), PipelineConfig(**HOURLY))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def _arrived(spark: SparkSession, sf_dir: str, days: int = 2) -> list[DataFrame]:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and value is not null and ts is not null")
-    came = F.unix_micros((F.col("ts") + F.when(F.col("event_id") % 7 == 0, F.expr("interval 2 days")).otherwise(F.expr("interval 0 days"))).cast("timestamp"))
+    came = F.unix_micros((F.col("ts") + F.when(F.col("event_id") % 7 == 0, F.expr(f"interval {days} days")).otherwise(F.expr("interval 0 days"))).cast("timestamp"))
     lo, hi = events.agg(F.min(came), F.max(came)).first()
     part = F.least(F.lit(3), F.floor((came - F.lit(lo)) * 4 / F.lit(max(1, (hi or 0) - (lo or 0)))).cast("int"))
-    parts = [events.where(part == k) for k in range(4)]
-    found = stats.late_counts(spark, parts, PipelineConfig(**HOURLY))
-    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    return [events.where(part == k) for k in range(4)]
 
 
 CLOSED = "(SELECT * FROM (" + WINDOW_SQL["tumbling"].format(agg="count(*)") + ") WHERE window_end <= (SELECT max(ts) - INTERVAL '5 seconds' FROM amounts))"
@@ -204,5 +208,57 @@ def stream_sink_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the rows that pass an operator of a running stream, a line a batch, summed up."""
     measures = {"n": F.count("*"), "sum_ms": F.sum(F.round(F.col("price") * 100).cast("bigint"))}
-    seen = stats.observed(jobs.bid_stream(spark, f"{sf_dir}/events.parquet"), "passed", measures, jobs.scratch(spark))
-    return spark.createDataFrame([(r["n"], r["sum_ms"]) for r in seen], "n long, sum_ms long").agg(F.sum("n").alias("n"), F.sum("sum_ms").alias("sum_ms"))
+    seen = stats.observed_batches(jobs.bid_stream(spark, f"{sf_dir}/events.parquet"), "passed", measures, jobs.scratch(spark))
+    return seen.agg(F.sum("n").alias("n"), F.sum("sum_ms").alias("sum_ms"))
+
+
+#: Within one stream, a batch's rows are late by the mark that the batch before was run with.
+COUNTED_SQL = LATE_SQL[: LATE_SQL.rindex("SELECT auction_id, w AS")].replace("'2 days'", "'12 days'").replace("m.part < p.part", "m.part < p.part - 1") + """
+SELECT CAST(q.part AS BIGINT) AS batch, count(*) AS generated, count(*) FILTER (price > 100) AS emitted,
+       count(DISTINCT struct_pack(a := q.auction_id, w := time_bucket(INTERVAL '1 hour', q.ts))) FILTER (price > 100 AND mark IS NOT NULL
+         AND time_bucket(INTERVAL '1 hour', q.ts) + INTERVAL '1 hour' <= time_bucket(INTERVAL '1 millisecond', mark)) AS late_groups
+FROM q JOIN k USING (part) GROUP BY ALL"""
+
+
+@query("stream_counters", COUNTED_SQL)
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive in four files by time, every seventh twelve days later; what the running source counted of each."""
+    folder = jobs.scratch(spark, "arrived")
+    for part in _arrived(spark, sf_dir, 12):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return stats.counted(jobs.bid_stream(spark, folder), PipelineConfig(**HOURLY), jobs.scratch(spark))
+
+
+def _in_turns(spark: SparkSession, sf_dir: str, by: str, parts: int = 5) -> str:
+    """A folder of events in files that come one after the other, by ranges of a column."""
+    folder = jobs.scratch(spark, "turns")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_micros(F.col(by).cast("timestamp")) if by == "ts" else F.col(by)
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.lit(parts - 1), F.floor((at - F.lit(lo or 0)) * parts / F.lit(max(1, (hi or 0) - (lo or 0)))))
+    for k in range(parts):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+@query(
+    "stream_running_rows",
+    """
+        SELECT auction_id, event_id,
+          CAST(sum(CAST(amount AS DECIMAL(20,5))) OVER (PARTITION BY auction_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total
+        FROM amounts""",
+    AMOUNTS,
+)
+def stream_running_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An updated sum for every bid of a stream of five files."""
+    bids = jobs.bid_stream(spark, _in_turns(spark, sf_dir, "ts"))
+    config = PipelineConfig()
+    return state.to_files(state.running_rows(core.amounts(core.filters(bids, config), config)), jobs.scratch(spark))
+
+
+@query("stream_cooldown", COOLDOWN_SQL, "RECURSIVE " + NAMELESS)
+def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted changes of regime in a stream of five files."""
+    bids = jobs.bid_stream(spark, _in_turns(spark, sf_dir, "event_id"))
+    ticks = bids.select(F.nullif("event_type", F.lit("error")).alias("run"), F.col("event_id").alias("seq"), "ts", F.least(F.lit(100.0), "price").alias("cpu"))
+    return state.to_files(state.cooldown_changes(ticks, 3600), jobs.scratch(spark))

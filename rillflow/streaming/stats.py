@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
+from ..operators import sketches
 from ..operators.pipeline import amounts, filters, window
 from ..scratch import scratch
 from ..sources.bids import EVENTS, as_bids, bid_stream
+from . import progress
 
 
 def to_console(stream: DataFrame, mode: str = "append", rows: int = 20):
@@ -18,6 +20,22 @@ def to_console(stream: DataFrame, mode: str = "append", rows: int = 20):
     return query
 
 
+def to_snapshots(stream: DataFrame, latency_ms: Column, path: str, mode: str = "append", group: str | None = None, k: int = sketches.K) -> DataFrame:
+    """A sink that measures and keeps no row: group, batch, n_rows, sum_ms, min_ms, max_ms, p50, p95, p99 of all measured up to a batch.
+
+    Each batch leaves a sketch a group; they are merged along the batches when they are read. A batch that is done again replaces its
+    sketches.
+    """
+    label = (F.col(group).cast("string") if group else F.lit("all")).alias("group")
+
+    def measure(batch: DataFrame, number: int) -> None:
+        sketches.sketched(batch.select(label, latency_ms.alias("_ms")), ["group"], "_ms", k).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(measure).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema("group string, sketch binary, n_rows long, sum_ms long, min_ms long, max_ms long, batch int").parquet(f"{path}/rows")
+    return sketches.along(rows, "group", "batch").select("group", "batch", *sketches.FIGURES, *sketches.percentiles("sketch"))
+
+
 def to_statistics(stream: DataFrame, latency_ms: Column, path: str, mode: str = "append", group: str | None = None) -> DataFrame:
     """A sink that measures and keeps no row: batch, group, n_rows, n_measured, min_ms, max_ms, sum_ms, a row per batch and group.
 
@@ -38,12 +56,34 @@ def to_statistics(stream: DataFrame, latency_ms: Column, path: str, mode: str =
     return stream.sparkSession.read.schema(schema).parquet(f"{path}/rows")
 
 
-def observed(stream: DataFrame, name: str, measures: dict[str, Column], path: str) -> list[dict]:
-    """Runs the stream into Parquet files, and gives what its operators saw pass in each batch with rows."""
+def _files(stream: DataFrame, path: str):
+    """Starts a stream into Parquet files, under the name it is given."""
+    return lambda name: stream.writeStream.queryName(name).format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
+
+
+def observed_batches(stream: DataFrame, name: str, measures: dict[str, Column], path: str) -> DataFrame:
+    """batch and measures: runs the stream into Parquet files, and gives what its operators saw pass in each batch with rows."""
     watched = stream.observe(name, *(c.alias(n) for n, c in measures.items()))
-    query = watched.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
-    query.awaitTermination()
-    return [p["observedMetrics"][name].asDict() for p in query.recentProgress if p["numInputRows"] and name in p["observedMetrics"]]
+    rows = progress.followed(stream.sparkSession, _files(watched, path), f"{path}/reports")
+    return progress.metrics_of(rows.where("input_rows > 0"), name, progress.kinds_of(stream, measures))
+
+
+def observed(stream: DataFrame, name: str, measures: dict[str, Column], path: str) -> list[dict]:
+    """observed_batches() as a list in order, a dict a batch."""
+    return [{n: r[n] for n in measures} for r in observed_batches(stream, name, measures, path).orderBy("batch").collect()]
+
+
+def counted(bids: DataFrame, config: PipelineConfig, path: str) -> DataFrame:
+    """batch, generated, emitted, late_groups: what a running pipeline's source gave, what its filters let through, and the sums of a
+    window and key that came too late. bids is a stream; its windows go to Parquet files.
+    """
+    n = {"n": F.count("*")}
+    source = bids.observe("generated", n["n"].alias("n"))
+    rows = amounts(filters(source, config), config).observe("emitted", n["n"].alias("n")).withWatermark("ts", config.lateness)
+    windows = rows.groupBy("auction_id", window(config).alias("w")).agg(F.count("*").alias("n"))
+    found = progress.followed(bids.sparkSession, _files(windows, path), f"{path}/reports").where("input_rows > 0")
+    sides = [progress.metrics_of(found, name, {"n": "long"}).withColumnRenamed("n", name) for name in ("generated", "emitted")]
+    return found.select("batch", F.col("rows_dropped_late").alias("late_groups")).join(sides[0], "batch").join(sides[1], "batch").select("batch", "generated", "emitted", "late_groups")
 
 
 def late_counts(spark: SparkSession, parts: list[DataFrame], config: PipelineConfig) -> DataFrame:
