@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 # fixed values: the job record's fields
 METRICS = "struct<`read-records`:bigint,`write-records`:bigint,`accumulated-backpressured-time`:bigint,`accumulated-idle-time`:bigint>"
 JOB = f"jid string, name string, state string, `start-time` bigint, `end-time` bigint, duration bigint, vertices array<struct<name:string,parallelism:int,metrics:{METRICS}>>"
@@ -80,21 +82,36 @@ def number(line: Column, name: str, pattern: str = "[0-9,.]+") -> Column:
     return F.when(found != "", F.rtrim(F.replace(found, F.lit(",")), F.lit(".")).try_cast("double"))
 
 
+# fixed values: the words of a source's and a tracker's last line
+SOURCE_END, TRACKER_END = "FINALIZADO", " FINAL "
+
+
+def source_sums(line: Column) -> list[Column]:
+    """Sums over the last lines of sources; null lines don't count."""
+    return [F.sum(number(line, c).cast("long")).alias(c) for c in ("generated", "emitted", "dropped")]
+
+
+def drop_share(generated: Column, dropped: Column) -> Column:
+    """The part dropped in percent, cut to 2 decimals."""
+    return F.when(generated > 0, F.floor(dropped * 10000 / generated) / 100).otherwise(0.0)
+
+
 def source_log(lines: DataFrame) -> DataFrame:
     """Sums of the final lines of sources and the part dropped, cut to 2 decimals."""
-    # fixed value: the word of a source's last line
-    last = lines.where(F.contains("line", F.lit("FINALIZADO")))
-    sums = last.groupBy("run").agg(*(F.sum(number(F.col("line"), c).cast("long")).alias(c) for c in ("generated", "emitted", "dropped")))
-    return sums.withColumn("drop_pct", F.when(F.col("generated") > 0, F.floor(F.col("dropped") * 10000 / F.col("generated")) / 100).otherwise(0.0))
+    sums = lines.where(F.contains("line", F.lit(SOURCE_END))).groupBy("run").agg(*source_sums(F.col("line")))
+    return sums.withColumn("drop_pct", drop_share(F.col("generated"), F.col("dropped")))
+
+
+def latency_means(line: Column) -> dict[str, Column]:
+    """Means over subtasks of their percentiles and averages; null lines don't count."""
+    return {**{c: F.bround(F.avg(number(line, c)), 0).cast("long") for c in ("p50", "p95", "p99")}, "avg": F.bround(F.avg(number(line, "avg")), 1)}
 
 
 def latency_log(lines: DataFrame) -> DataFrame:
     """Plain means over subtasks of their final percentiles and averages, and the mean weighted by their counts; halves go to even."""
-    # fixed value: the word of a tracker's last line
-    last = lines.where(F.contains("line", F.lit(" FINAL ")))
     of = lambda c: number(F.col("line"), c)
-    return last.groupBy("run").agg(
-        *(F.bround(F.avg(of(c)), 0).cast("long").alias(c) for c in ("p50", "p95", "p99")), F.bround(F.avg(of("avg")), 1).alias("avg"),
+    return lines.where(F.contains("line", F.lit(TRACKER_END))).groupBy("run").agg(
+        *(c.alias(n) for n, c in latency_means(F.col("line")).items()),
         F.bround(F.sum(of("avg") * of("count")) / F.sum(of("count")), 1).alias("weighted_avg"),
     )
 
@@ -130,6 +147,38 @@ def switches(texts: DataFrame) -> DataFrame:
     )
 
 
+def numbered(lines: DataFrame, mark: str) -> DataFrame:
+    """run, seq, at, line of lines (run, at, line) that belong to a block: one begins with each line that holds the mark.
+
+    A run's lines may be many and lie in many tasks; a block goes on over the end of a task's part. Lines before a run's first
+    mark are the rest of a block that was cut off, and are left out.
+    """
+    begins = F.contains("line", F.lit(mark)).cast("int")
+    rows = running(lines.select("run", "at", "line"), ["run"], "at", {"_marks": begins})
+    return rows.withColumn("seq", (F.col("_marks") + begins).cast("long")).where("seq > 0").select("run", "seq", "at", "line")
+
+
+def _first(pattern: str) -> Column:
+    """What the pattern's group takes from the first line of a block that has it."""
+    found = F.regexp_extract("line", pattern, 1)
+    return F.min_by(F.when(found != "", found), F.when(found != "", F.col("at")))
+
+
+def decision_lines(lines: DataFrame) -> DataFrame:
+    """decisions() of lines (run, at, line) in any number of splits; a block's fields are picked line by line, so it may have any length."""
+    return numbered(lines, "[SCHEDULING]").groupBy("run", "seq").agg(
+        _first(" Pod: (\\S+)").alias("pod"), _first("Strategy: (\\S+)").alias("strategy"), _first("SCHEDULED to (\\S+)").alias("node"), _first("Node CPU: ([0-9.]+)").try_cast("double").alias("cpu")
+    )
+
+
+def switch_lines(lines: DataFrame) -> DataFrame:
+    """switches() of lines (run, at, line) in any number of splits."""
+    return numbered(lines, "[STRATEGY SWITCH]").groupBy("run", "seq").agg(
+        _first("From: (\\S+)").alias("from_strategy"), _first("To: (\\S+)").alias("to_strategy"), _first("CPU = ([0-9.]+)").try_cast("double").alias("cpu"),
+        _first("Time: (.*)").try_cast("timestamp_ntz").alias("at_time"),
+    ).withColumnRenamed("at_time", "at")
+
+
 def selection_log(lines: DataFrame) -> DataFrame:
     of = lambda name, p: F.regexp_extract("line", f"{name}: ({p})", 1)
     number_of = lambda name: of(name, "[0-9.]+").try_cast("double")
@@ -146,10 +195,14 @@ def td_log(lines: DataFrame) -> DataFrame:
     )
 
 
+def node_of(line: Column) -> Column:
+    """The seventh column of a placement table's line."""
+    return F.get(F.split(F.trim(line), "\\s+"), F.lit(6))
+
+
 def placement(lines: DataFrame) -> DataFrame:
     """Pods of each node, from the seventh column of a placement table without its heading."""
-    node = F.get(F.split(F.trim("line"), "\\s+"), F.lit(6))
-    return lines.where(~F.startswith(F.trim("line"), F.lit("NAME"))).select("run", node.alias("node")).where("node is not null").groupBy("run", "node").agg(F.count("*").alias("pods"))
+    return lines.where(~F.startswith(F.trim("line"), F.lit("NAME"))).select("run", node_of(F.col("line")).alias("node")).where("node is not null").groupBy("run", "node").agg(F.count("*").alias("pods"))
 
 
 def balance(pods: DataFrame) -> DataFrame:

@@ -32,17 +32,42 @@ def round_robin(requests: DataFrame, nodes: int) -> DataFrame:
     return running(requests.select("run", "seq"), ["run"], "seq", {"_n": F.lit(1)}).select("run", "seq", (F.col("_n") % nodes).cast("long").alias("node"))
 
 
-#: The registry of choice rules: each takes node loads (tick, node, ord, cpu_pct) and gives a node a tick.
+def by_turns(load: DataFrame, requests: DataFrame) -> DataFrame:
+    """seq, node: the i-th request of a run (from 0), by seq, takes the node of place i % n among the n nodes of its tick, by ord."""
+    place = F.row_number().over(Window.partitionBy("tick").orderBy("ord")) - 1
+    places = load.select("tick", "node", place.alias("place"), F.count("*").over(Window.partitionBy("tick")).alias("n"))
+    first = places.where("place = 0").select("tick", "n")
+    nth = running(requests.select("run", "seq", "tick"), ["run"], "seq", {"_i": F.lit(1)}).join(first, "tick")
+    return nth.withColumn("place", F.col("_i") % F.col("n")).join(places.drop("n"), ["tick", "place"]).select("seq", "node")
+
+
+def _for_all(pick):
+    return lambda load, requests: requests.join(pick(load), "tick").select("seq", "node")
+
+
+#: Rules that look at loads only: node loads (tick, node, ord, cpu_pct) to a node a tick.
 RULES = {"FCFS": pick_first, "LEAST_LOADED": pick_least_loaded}
+#: The registry of all rules: loads and requests (run, seq, tick, priority) to seq and node. Others may be added.
+STRATEGIES = {
+    **{name: _for_all(pick) for name, pick in RULES.items()}, "BALANCED": by_turns, "PRIORITY": lambda load, requests: pick_by_priority(load, requests).select("seq", "node")
+}
 
 
 def choose(rule: str, load: DataFrame) -> DataFrame:
-    """tick and node by the named rule; an unknown name raises ValueError. Round robin and priorities look at requests."""
+    """tick and node by the named rule; an unknown name raises ValueError. Rules that look at requests are place()'s."""
     if rule not in RULES:
         raise ValueError(f"{rule!r} is none of {', '.join(RULES)}")
     return RULES[rule](load)
 
 
+def place(strategy: str, load: DataFrame, requests: DataFrame) -> DataFrame:
+    """seq and node of each request by the named strategy; an unknown name raises ValueError. A request whose tick has no nodes gets none
+    and no row."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"{strategy!r} is none of {', '.join(STRATEGIES)}")
+    return STRATEGIES[strategy](load, requests)
+
+
 def arm_stats(selections: DataFrame) -> DataFrame:
     total = F.sum(F.col("reward").cast("decimal(20,8)")).cast("double")
     found = selections.groupBy("run", "node").agg(F.count("*").alias("selections"), total.alias("total_reward"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,43 +53,44 @@ def consolidate_files(texts: DataFrame) -> DataFrame:
     return csv_records(texts).select("run", "record", "layout", *map(typed, names))
 
 
-def settings(jobs: DataFrame) -> DataFrame:
-    """run, rate, parallelism, cpu_load and distribution from the job's name; constant arrival isn't written there."""
-    named = jobs.select("run", F.coalesce(artifacts.job_name(F.col("name")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("m"))
-    rate = F.regexp_extract(F.col("m")["rate"], "^(\\d+)k$", 1).try_cast("long") * 1000
-    return named.select(
-        "run", rate.alias("rate"), F.col("m")["par"].try_cast("long").alias("parallelism"), F.col("m")["cpu"].try_cast("long").alias("cpu_load"),
-        F.coalesce(F.col("m")["dist"], F.lit("CONSTANT")).alias("distribution"),
-    )
+def settings(name: Column) -> dict[str, Column]:
+    """rate, parallelism, cpu_load and distribution from a job's name; constant arrival isn't written there."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    of = F.coalesce(artifacts.job_name(name), none)
+    rate = F.regexp_extract(of["rate"], "^(\\d+)k$", 1).try_cast("long") * 1000
+    return {"rate": rate, "parallelism": of["par"].try_cast("long"), "cpu_load": of["cpu"].try_cast("long"), "distribution": F.coalesce(of["dist"], F.lit("CONSTANT"))}
 
 
 def metrics_row(jobs: DataFrame, source: DataFrame, processing: DataFrame, total: DataFrame, placements: DataFrame, scheduler: DataFrame) -> DataFrame:
     """run and the columns of FULL: a row per job. jobs as read_jobs gives them; the others are lines (run, line).
 
     A figure whose file or line is missing is null; counts of pods, decisions and switches are then 0, as are source
-    totals without final lines. Small tables, a row a run, are joined.
+    totals without final lines. Lines of all kinds are marked, put together and summed up by run in one shuffle; sums, a row a
+    run, are joined to the jobs. A run has few nodes.
     """
     own = jobs.withColumn("jid", F.col("run"))
     duration = F.col("duration")
-    head = own.select("run", "workload", "strategy", "state", "duration", F.when(duration != 0, F.floor(duration / 10) / 100).alias("duration_sec"))
-    done = artifacts.processed(artifacts.by_class(artifacts.vertices(own))).withColumnRenamed("jid", "run").drop("stage")
-    logs = artifacts.source_log(source)
-    pods = artifacts.placement(placements).groupBy("run").agg(F.count("*").alias("nodes_used"), F.sum("pods").alias("total_tms"))
-    decided = scheduler.groupBy("run").agg(
-        F.count_if(F.contains("line", F.lit("[SCHEDULING]"))).alias("scheduling_decisions"), F.count_if(F.contains("line", F.lit("STRATEGY SWITCH"))).alias("strategy_switches")
+    head = own.select(
+        "run", "workload", "strategy", "state", "duration", F.when(duration != 0, F.floor(duration / 10) / 100).alias("duration_sec"), *(c.alias(n) for n, c in settings(F.col("name")).items())
     )
-    figures = ("p50", "p95", "p99", "avg")
-    late = [artifacts.latency_log(lines).select("run", *(F.col(c).alias(f"lat_{kind}_{c}") for c in figures)) for kind, lines in (("proc", processing), ("total", total))]
-    met = head
-    for other in (settings(jobs), done, logs, pods, decided, *late):
-        met = met.join(other, "run", "left")
+    done = artifacts.processed(artifacts.by_class(artifacts.vertices(own))).withColumnRenamed("jid", "run").drop("stage")
+    kinds = {"source": source, "proc": processing, "total": total, "placed": placements, "scheduler": scheduler}
+    lines = reduce(DataFrame.unionByName, (df.select("run", "line", F.lit(kind).alias("kind")) for kind, df in kinds.items()))
+    of = lambda kind, word="": F.when((F.col("kind") == kind) & F.contains("line", F.lit(word)), F.col("line"))
+    node = F.when(~F.startswith(F.trim("line"), F.lit("NAME")), artifacts.node_of(of("placed")))
+    late = [m.alias(f"lat_{kind}_{c}") for kind in ("proc", "total") for c, m in artifacts.latency_means(of(kind, artifacts.TRACKER_END)).items()]
+    sums = lines.groupBy("run").agg(
+        *artifacts.source_sums(of("source", artifacts.SOURCE_END)), *late, F.size(F.collect_set(node)).alias("nodes_used"), F.count(node).alias("total_tms"),
+        F.count(of("scheduler", "[SCHEDULING]")).alias("scheduling_decisions"), F.count(of("scheduler", "STRATEGY SWITCH")).alias("strategy_switches"),
+    )
+    met = head.join(done, "run", "left").join(sums, "run", "left")
     counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("nodes_used", "total_tms", "scheduling_decisions", "strategy_switches")}
     generated, emitted, dropped = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("generated", "emitted", "dropped"))
     rate = lambda n: F.when(generated > 0, artifacts.per_second(n, duration))
     values = {
         **counts, "throughput_processed": F.col("throughput"), "throughput_generated": rate(generated), "throughput_emitted": rate(emitted),
         "processed_events": F.coalesce("processed", F.lit(0)).cast("long"), "total_generated": generated, "total_dropped": dropped,
-        "drop_pct": F.when(generated > 0, F.col("drop_pct")),
+        "drop_pct": F.when(generated > 0, artifacts.drop_share(generated, dropped)),
     }
     return met.select("run", *(values.get(c, F.col(c)).alias(c) for c in FULL))
 

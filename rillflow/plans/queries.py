@@ -6,6 +6,8 @@ Records of runs are built from events by Spark and parsed back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -465,6 +467,28 @@ def pick_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.pick_by_priority(_load(spark, sf_dir), requests)
 
 
+PLACE_SQL = """
+, q AS (SELECT event_type AS run, event_id AS seq, time_bucket(INTERVAL '1 hour', ts) AS tick, event_id % 10 AS priority FROM bids),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY tick ORDER BY ord) - 1 AS place, row_number() OVER (PARTITION BY tick ORDER BY cpu_pct, ord) AS by_load, count(*) OVER (PARTITION BY tick) AS n
+  FROM load),
+i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) - 1 AS i FROM q)
+SELECT 'FCFS' AS strategy, seq, node FROM q JOIN o USING (tick) WHERE place = 0
+UNION ALL SELECT 'LEAST_LOADED', seq, node FROM q JOIN o USING (tick) WHERE by_load = 1
+UNION ALL SELECT 'BALANCED', seq, node FROM i JOIN o USING (tick) WHERE place = i % n
+UNION ALL SELECT 'PRIORITY', seq, node FROM q JOIN o USING (tick) WHERE CASE WHEN priority >= 5 THEN by_load = 1 ELSE place = 0 END"""
+
+
+@query("place_by_strategy", PLACE_SQL, LOAD)
+def place_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request by each strategy of the registry."""
+    tick = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("tick")
+    requests = _bids(spark, sf_dir).select(F.col("event_type").alias("run"), F.col("event_id").alias("seq"), tick, (F.col("event_id") % 10).cast("string").alias("priority"))
+    load = _load(spark, sf_dir)
+    every = [decisions.place(name, load, requests).select(F.lit(name).alias("strategy"), "seq", "node") for name in decisions.STRATEGIES]
+    return reduce(DataFrame.unionByName, every)
+
+
 REWARD = """
   CASE WHEN cpu < 30 THEN 0.5e0 + 0.3e0 * cpu / 30.0e0 WHEN cpu <= 70 THEN 1.0e0 WHEN cpu <= 90 THEN 1.0e0 - 0.5e0 * (cpu - 70.0e0) / 20.0e0 ELSE 0.2e0 END"""
 STEPS = BIDS + f""",
@@ -601,7 +625,7 @@ def _users(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), high.alias("hi"), (last * 7 + 1).alias("ms"), (last % 977 + 1).alias("dur"))
 
 
-def _jobs(s: SparkSession, d: str) -> DataFrame:
+def _jobs(s: SparkSession, d: str, users: DataFrame | None = None) -> DataFrame:
     def vertex(name: str, came, went):
         metrics = F.struct(came.alias("read-records"), went.alias("write-records"), F.col("ms").alias("accumulated-backpressured-time"), F.col("hi").alias("accumulated-idle-time"))
         return F.struct(F.lit(name).alias("name"), F.lit(4).alias("parallelism"), metrics.alias("metrics"))
@@ -614,7 +638,7 @@ def _jobs(s: SparkSession, d: str) -> DataFrame:
     ms = F.col("ms")
     times = ms.alias("start-time"), (ms * 2).alias("end-time"), F.col("dur").alias("duration")
     record = F.struct(F.col("user_id").cast("string").alias("jid"), F.lit("job").alias("name"), F.lit("FINISHED").alias("state"), *times, parts.alias("vertices"))
-    return _users(s, d).select(F.from_json(F.to_json(record), artifacts.JOB).alias("j")).select("j.*")
+    return (users or _users(s, d)).select(F.from_json(F.to_json(record), artifacts.JOB).alias("j")).select("j.*")
 
 
 query(

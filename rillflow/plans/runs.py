@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..config import PipelineConfig
 from ..operators import artifacts, compare, metrics
 from ..operators import pipeline as core
+from ..scratch import stored
 from ..sources import runs as files
-from ..streaming import jobs, state, stats
+from ..streaming import arrivals, jobs, state, stats
 from .queries import AMOUNTS, COOLDOWN_SQL, HOURLY, NAMELESS, NAME_HEAD, USERS, WINDOW_SQL, _jobs, _users
 from .registry import query
 
@@ -47,8 +48,8 @@ FROM r"""
 
 @query("metrics_row", METRICS_SQL, "")
 def metrics_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = _users(spark, sf_dir)
-    made = _jobs(spark, sf_dir).withColumn("user_id", F.col("jid").cast("long")).join(users.select("user_id", "n", "hi"), "user_id")
+    users = stored(_users(spark, sf_dir))
+    made = _jobs(spark, sf_dir, users).withColumn("user_id", F.col("jid").cast("long")).join(users.select("user_id", "n", "hi"), "user_id")
     name = _text(f"{NAME_HEAD}[rate=", F.col("n"), "k,par=", F.col("hi"), ",win=TUM-10s", F.when(F.col("user_id") % 2 == 0, ",cpu=500,dist=STEP").otherwise(""), "]")
     own = made.withColumn("name", name).withColumn("run", _run()).withColumn("workload", _text("w", F.col("user_id") % 3)).withColumn("strategy", _text("s", F.col("user_id")))
     thousands = lambda c: F.format_number(c * 1000, 0)
@@ -90,6 +91,54 @@ def scan_source_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.source_log(files.read_lines(spark, root, "*.txt"))
 
 
+BLOCKS_SQL = f"""
+WITH {GROUPS}, r AS (SELECT workload || '/' || strategy AS run, * FROM k)
+SELECT run, row_number() OVER (PARTITION BY run ORDER BY user_id) AS seq, 'p#' || user_id AS pod, 'FCFS' AS strategy, CASE WHEN n % 2 = 0 THEN 'n1' END AS node, hi + 0.5e0 AS cpu
+FROM r"""
+SWITCH_BLOCKS_SQL = f"""
+WITH {GROUPS}, r AS (SELECT workload || '/' || strategy AS run, * FROM k)
+SELECT run, row_number() OVER (PARTITION BY run ORDER BY user_id) AS seq, 'FCFS' AS from_strategy, 'B' || user_id AS to_strategy, hi + 0.5e0 AS cpu,
+       TIMESTAMP '2025-11-27 22:38:18' AS at
+FROM r"""
+
+
+def _scheduler_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log a run, with a decision and a switch for each user, behind the end of a block that was cut off; written as text, read as lines."""
+    root, user = jobs.scratch(spark, "scheduler"), F.col("user_id")
+    users = _in_folders(_users(spark, sf_dir))
+    block = _text(
+        "[SCHEDULING] Pod: p#", user, "\n  Strategy: FCFS\n", F.when(F.col("n") % 2 == 0, "  Result: SCHEDULED to n1\n").otherwise(""), "  Node CPU: ", F.col("hi"), ".5% (real)\n",
+        "[STRATEGY SWITCH]\n  From: FCFS\n  To: B", user, "\n  Reason: Cluster CPU = ", F.col("hi"), ".5%\n  Time: 2025-11-27 22:38:18",
+    )
+    heads = users.select("workload", "strategy").distinct().select("workload", "strategy", F.lit(None).cast("long").alias("user_id"), F.lit("  Strategy: LOST\n  To: LOST").alias("value"))
+    rows = heads.unionByName(users.select("workload", "strategy", "user_id", block.alias("value")))
+    rows.repartition("workload", "strategy").sortWithinPartitions("workload", "strategy", "user_id").drop("user_id").write.partitionBy("workload", "strategy").text(root)
+    return files.read_ordered_lines(spark, root, "*.txt")
+
+
+query("scan_decisions", BLOCKS_SQL, "")(lambda s, d: artifacts.decision_lines(_scheduler_logs(s, d)))
+query("scan_switches", SWITCH_BLOCKS_SQL, "")(lambda s, d: artifacts.switch_lines(_scheduler_logs(s, d)))
+ARRIVING_SQL = f"""
+WITH {GROUPS}, g AS (SELECT workload, strategy, CAST(sum(n) AS BIGINT) AS n, max(dur) AS dur, max(ms) AS ms, CAST(sum(hi) AS BIGINT) AS hi FROM k GROUP BY ALL)
+SELECT workload || '/' || strategy AS run, workload, strategy, 'FINISHED' AS state, n AS processed_events, n * 1000 // dur AS throughput_processed, hi AS scheduling_decisions FROM g"""
+
+
+@query("follow_runs", ARRIVING_SQL, "")
+def follow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs arrive twice: first without records, then each again with its own, which replaces its row."""
+    root, table, kept = (jobs.scratch(spark, name) for name in ("arriving", "metrics", "kept"))
+    users = stored(_in_folders(_users(spark, sf_dir)))
+    for again in (False, True):
+        vertex = F.struct(F.lit("Source: Bid Generator").alias("name"), F.struct((F.sum("n") if again else F.lit(0).cast("long")).alias("write-records")).alias("metrics"))
+        made = users.groupBy("workload", "strategy").agg(F.max("dur").alias("duration"), F.array(vertex).alias("vertices")).withColumn("state", F.lit("FINISHED" if again else "RUNNING"))
+        if again:
+            lines = users.select("workload", "strategy", F.explode(F.array_repeat(F.lit("[SCHEDULING] Pod: a"), F.col("hi").cast("int"))).alias("value"))
+            lines.repartition("workload", "strategy").write.partitionBy("workload", "strategy").mode("append").text(root)
+        made.withColumn("start-time", F.lit(int(again)).cast("long")).repartition("workload", "strategy").write.partitionBy("workload", "strategy").mode("append").json(root)
+        found = arrivals.follow(spark, root, table, kept, job_files="*.json", scheduler_files="*.txt")
+    return found.select("run", "workload", "strategy", "state", "processed_events", "throughput_processed", "scheduling_decisions")
+
+
 SCAN_JOBS_SQL = f"""
 WITH {GROUPS}, g AS (SELECT workload, strategy, CAST(sum(n) AS BIGINT) AS n, max(dur) AS dur FROM k GROUP BY ALL)
 SELECT workload || '/' || strategy AS run, workload, strategy, 'FINISHED' AS state, n AS processed, n * 1000 // dur AS throughput FROM g"""

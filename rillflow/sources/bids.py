@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
+from .paths import literal
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -28,8 +28,8 @@ def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bid_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1) -> DataFrame:
     """The same as a stream of files. Event time needs an instant, so ts is read in the session's zone."""
     # as a pattern, the path may be a file or a folder of files; a plain path must be a folder
-    path = re.sub(r"([\\*?{}\[\]])", r"\\\1", path.rstrip("/"))
-    path = f"{path[:-1]}[{path[-1]}]" if not path.endswith(("\\]", "\\}", "\\*", "\\?", "\\[", "\\{", "\\\\")) else path
+    last, path = path.rstrip("/")[-1], literal(path)
+    path = path if path.endswith(f"\\{last}") else f"{path[:-1]}[{last}]"
     reader = spark.readStream.schema(EVENTS)
     events = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
     return as_bids(events).withColumn("ts", F.col("ts").cast("timestamp"))
