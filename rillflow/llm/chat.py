@@ -1,11 +1,11 @@
 """Chat formatting: each assistant turn becomes an example with all turns before it as context, and only its reply trained.
 
-A conversation is formatted once, turn by turn, as pieces; the pieces in order are its text. An example is a prefix of
-that text and the piece after it, and is kept by reference: the row of an assistant turn has the number of the example
-and the place where its reply begins, and the pieces of lower ord are its context. So rows and characters kept grow with
-the turns. read_back() follows these references: it takes an example's trained text from its mask, and checks that the
-context before it is whole and that a turn ends behind it. rendered() writes examples out in full, one after the other;
-those characters grow with the square of a conversation's turns.
+A conversation is formatted once, turn by turn, as pieces; the pieces in order are its text. expanded() explodes each
+assistant piece into the piece and an example: a row of its own that names the pieces of its context (from, until, and their
+characters), its reply, and what of the example's text is trained. Context is kept by reference, so rows and characters grow with
+the turns. read_back() follows the example rows: it takes the trained text from an example's mask, and checks that the
+context it names is whole and that a turn ends behind the reply. rendered() writes examples out in full, one after the
+other; those characters grow with the square of a conversation's turns.
 
 Inside texts a backslash stands before a backslash or a "<" that begins a control string, so control strings mark turns only.
 """
@@ -51,22 +51,40 @@ def examples(turns: DataFrame) -> DataFrame:
     )
 
 
+def expanded(rows: DataFrame) -> DataFrame:
+    """conv_id, ord, piece, example: each row of examples() as a piece (example is null), and each assistant's one exploded into an
+    example besides (piece is null).
+
+    example: n (0, 1, ... in the conversation), context (from, until: the ords of its pieces; chars: their code points), reply (the
+    ord of its last piece) and trained (from, to: code points of the example's text).
+    """
+    own = F.struct(
+        F.col("example").alias("n"), F.struct(F.lit(0).alias("from"), F.col("ord").alias("until"), F.col("start").alias("chars")).alias("context"), F.col("ord").alias("reply"),
+        F.struct((F.col("start") + F.col("reply")["from"]).alias("from"), (F.col("start") + F.col("reply")["to"]).alias("to")).alias("trained"),
+    )
+    kind = rows.select(own.alias("e")).schema["e"].dataType
+    piece = F.struct(F.col("piece").alias("piece"), F.lit(None).cast(kind).alias("example"))
+    both = F.array(piece, F.struct(F.lit(None).cast("string").alias("piece"), own.alias("example")))
+    each = rows.select("conv_id", "ord", F.explode(F.when(F.col("example").isNull(), F.array(piece)).otherwise(both)).alias("_r"))
+    return each.select("conv_id", "ord", "_r.piece", "_r.example")
+
+
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of examples(), a conversation in one partition and in order."""
-    return rows.select("conv_id", "ord", "piece", "start", "reply", "example").repartition("conv_id").sortWithinPartitions("conv_id", "ord")
+    """expanded() rows of examples(), a conversation in one partition and in order, each example behind its reply."""
+    return expanded(rows).repartition("conv_id").sortWithinPartitions("conv_id", "ord", F.col("example").isNotNull())
 
 
 def built(batches: Iterator) -> Iterator[tuple]:
-    """(conv_id, example, text, from, to) of dealt rows, for each assistant turn: its example in full, which is all pieces up
-    to its own, and the part of that text that is trained."""
+    """(conv_id, example, text, from, to) of dealt rows, for each example: all pieces up to its own, and the part that is trained."""
     conv, text, first = None, "", True
     for batch in batches:
-        for own, piece, start, reply, example in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "start", "reply", "example")), strict=True):
+        for own, piece, example in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "example")), strict=True):
             if first or own != conv:
                 conv, text, first = own, "", False
-            text += piece
-            if example is not None:
-                yield conv, example, text, start + reply["from"], start + reply["to"]
+            if example is None:
+                text += piece
+            else:
+                yield conv, example["n"], text, example["trained"]["from"], example["trained"]["to"]
 
 
 def rendered(rows: DataFrame) -> DataFrame:
@@ -99,9 +117,10 @@ def rendered(rows: DataFrame) -> DataFrame:
 def read_back(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, read from formatted text alone.
 
-    Turns are read from their pieces, and what is trained from each example by its mask, whose place counts from the
-    conversation's beginning. Pieces are dealt by conversation, sorted there and hashed as they pass: a digest of a whole
-    conversation needs its turns in order in one task, which holds one batch of them, whatever their number.
+    Turns are read from their pieces, and what is trained from each row of an example by its mask, whose place counts from the
+    conversation's beginning. Rows are dealt by conversation, sorted there and hashed as they pass: a digest of a whole
+    conversation needs its turns in order in one task, which holds one batch of them, whatever their number. A text of any
+    length is one value: a piece and its text are held beside the batch.
     """
     kind = dict(rows.dtypes)["conv_id"]
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
@@ -115,7 +134,7 @@ def read_back(rows: DataFrame) -> DataFrame:
 
         escaped = re.compile(r"\\(.)", re.S)
         body_at = re.compile(r"(?:[^\\>]|\\.)*> ", re.S)
-        own, out = None, []
+        own, out, said = None, [], ("", 0, 0)
 
         def closed() -> tuple:
             conv, n, turns, chars, loss, size, examples = own
@@ -129,9 +148,18 @@ def read_back(rows: DataFrame) -> DataFrame:
         if head is None:
             return
         fields = [pa.field("conv_id", head.schema.field("conv_id").type), *(pa.field(n, t) for n, t in (("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())))]
-        columns = ("conv_id", "piece", "start", "reply", "example")
         for batch in itertools.chain([head], batches):
-            for conv, piece, start, reply, example in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            for conv, piece, example in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "example")), strict=True):
+                if example is not None:
+                    last, at, before = said  # the piece before, where its text begins, and the characters of its context
+                    context, since, to = example["context"], example["trained"]["from"] - before, example["trained"]["to"] - before
+                    if own is None or context["from"] or context["until"] != own[1] - 1 or context["chars"] != before or since != at or last[to:] != CLOSE:
+                        raise ValueError("an example's context isn't whole, or its mask isn't that of the turn after it")
+                    reply = escaped.sub(r"\1", last[since:to])
+                    own[3] += len(reply)
+                    own[4].update(reply.encode("utf-8", "surrogatepass"))
+                    own[6] += 1
+                    continue
                 if own is None or own[0] != conv:
                     if own is not None:
                         out.append(closed())
@@ -143,14 +171,7 @@ def read_back(rows: DataFrame) -> DataFrame:
                 text = escaped.sub(r"\1", piece[at : -len(CLOSE)])
                 own[1] += 1
                 own[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if example is not None:
-                    since, to = start + reply["from"] - own[5], start + reply["to"] - own[5]  # own[5]: characters of the context
-                    if since != at or piece[to:] != CLOSE:
-                        raise ValueError("a mask isn't that of the last turn after its context")
-                    said = escaped.sub(r"\1", piece[since:to])
-                    own[3] += len(said)
-                    own[4].update(said.encode("utf-8", "surrogatepass"))
-                    own[6] += 1
+                said = piece, at, own[5]
                 own[5] += len(piece)
             if out:
                 yield batch_of(out)

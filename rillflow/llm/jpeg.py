@@ -22,9 +22,9 @@ DEFAULT = {
     ),
     0x11: (
         (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
-        "0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758"
+        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758"
         "595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9da"
-        "e2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa".replace(" ", ""),
+        "e2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
     ),
 }
 _k = np.arange(8)

@@ -134,7 +134,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known is a table of template_grams(), by default that of the phrases and notices above.
 
     Null text counts as empty: no words, no labels, score 0. Rows are told apart by doc_id and text; rows that repeat
-    both get the same values. score is the best span's, 1 for a whole phrase.
+    both get the same values. score is the best span's, 1 for a whole phrase. A text of any length is searched to its end:
+    its words are an array in one task, and what leaves it are the places that may be in a span.
     """
     known = known or templates(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))

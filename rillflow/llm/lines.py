@@ -148,7 +148,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     of each stretch of the text that goes; copies are the maximal runs behind them, which may overlap: line, lines
     (with words), first_doc and first_line, where the first copy begins.
     Null text counts as empty and stays null. Rows that repeat doc_id and text are one document and get the same
-    result. Other columns, whatever their names, are in row alone.
+    result. Other columns, whatever their names, are in row alone. A text of any length is split into rows of lines; only
+    its kept_text is put together by one task.
     """
     keyed = _keyed(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")))
     runs = maximal_runs(keyed.drop("row"), min_lines, min_words)

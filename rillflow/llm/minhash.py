@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     Components are of texts: rows that share a doc_id but not the text may be in different ones, and each is kept or not
     by its own. Null or blank texts have no shingles and are their own component. A null doc_id takes part in links but
-    is never a component's least id unless no row of the component has one.
+    is never a component's least id unless no row of the component has one. A text of any length counts with all its shingles,
+    8 bytes each, which are one value and one task's work.
 
     key names a binary column of docs that tells texts apart, and is put out too. With it, a component without any doc_id
     keeps the rows of its least key; without, it keeps all its rows.

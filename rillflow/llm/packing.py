@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: s
 
     A document is its ids and end_id; null text counts as empty. Longer ones than size are cut so that only the
     first piece is shorter than size. Repeated rows are packed as often as they occur. Other columns are ignored.
-    escape is that of Ids.
+    escape is that of Ids. A text of any length is tokenized whole in one task, which holds its ids, and gives a row a piece.
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids

@@ -126,7 +126,8 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids, text_sha256 and decoded_sha256 (of the ids decoded again): a row per row of docs.
 
     Null text counts as empty: no pieces. The two digests differ only where a text has the space mark itself, which
-    decodes to a space. Repeated rows give repeated results.
+    decodes to a space. Repeated rows give repeated results. A text of any length is encoded whole, word by word, in one task
+    that holds it and its ids; ids of over 500 million pieces don't fit a value.
     """
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_pieces long, ids array<int>, text_sha256 string, decoded_sha256 string"
 

@@ -171,7 +171,10 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
 
 
 def score(docs: DataFrame, value: np.ndarray, bias: float) -> DataFrame:
-    """doc_id, row (the whole input row) and toxic_score, over whole texts; null text counts as empty and scores 0."""
+    """doc_id, row (the whole input row) and toxic_score, over whole texts; null text counts as empty and scores 0.
+
+    A text of any length is scored whole, segment by segment, in one task, whose arrays of n-grams are several times its size.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((value, bias))  # as large for any corpus
     out = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text")

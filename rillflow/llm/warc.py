@@ -29,6 +29,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     The payload is html in UTF-8; null counts as empty. Of equal payloads of at least `least` bytes, the record with the
     smallest page_id (nulls last) is a response and the others revisit it; shorter ones are all responses. Rows that
     repeat a page_id and payload repeat its record; line breaks in a url are percent-encoded, a null url is left out.
+    A payload of any length is one value, which is copied and hashed whole.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
