@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PipelineConfig
 from .paths import literal
 
+SENT = 100_000
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -36,12 +37,13 @@ def bid_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1
 
 
 def pool_replay(rows: DataFrame, pool: int = 10_000) -> DataFrame:
-    """The bid of each row (id): pool[id % pool]. The pool is `pool` rows of arithmetic, so it is small enough to broadcast."""
+    """The bid of each row (id): pool[id % pool]. The pool is `pool` rows of arithmetic; up to SENT of them are broadcast."""
     k = F.col("k")
     made = rows.sparkSession.range(pool).toDF("k").select(
         "k", (k * 7919 % 1000).alias("auction_id"), (k * 104729 % 10000).alias("bidder_id"), ((k * 15485863 % 99000 + 1000) / 100).alias("price")
     )
-    return rows.select("id").withColumn("k", F.pmod("id", F.lit(pool))).join(F.broadcast(made), "k").select("id", "auction_id", "bidder_id", "price")
+    made = F.broadcast(made) if pool <= SENT else made
+    return rows.select("id").withColumn("k", F.pmod("id", F.lit(pool))).join(made, "k").select("id", "auction_id", "bidder_id", "price")
 
 
 def rate(config: PipelineConfig, t: Column) -> Column:

@@ -18,7 +18,7 @@ def job(name, duration, vertices, state="FINISHED"):
 
 @pytest.fixture
 def root(tmp_path):
-    name = PipelineConfig(rate=60_000, parallelism=8, cpu_load=2500, profile="step").run_name()
+    name = PipelineConfig(rate=70_000, parallelism=6, cpu_load=300, profile="step").run_name()
     files = {
         # a fused vertex belongs to the class that comes first, of two of a class the later one counts, a count may be missing
         ("calm", "A"): {
@@ -45,7 +45,7 @@ def test_metrics_rows_of_a_folder_tree(spark, root, tmp_path):
     assert rows.columns == ["run", *metrics.FULL]
     a, b = rows.orderBy("run").collect()
     want = {
-        "run": "calm/A", "strategy": "A", "workload": "calm", "distribution": "STEP", "rate": 60_000, "duration_sec": 10.01, "cpu_load": 2500, "parallelism": 8,
+        "run": "calm/A", "strategy": "A", "workload": "calm", "distribution": "STEP", "rate": 70_000, "duration_sec": 10.01, "cpu_load": 300, "parallelism": 6,
         "state": "FINISHED", "throughput_processed": 49, "throughput_generated": 299, "throughput_emitted": 289, "processed_events": 500, "total_generated": 3000,
         "total_dropped": 100, "drop_pct": 3.33, "nodes_used": 2, "total_tms": 2, "scheduling_decisions": 2, "strategy_switches": 1, "lat_proc_p50": 2, "lat_proc_p95": 4,
         "lat_proc_p99": 5, "lat_proc_avg": 3.0, "lat_total_p50": None, "lat_total_p95": None, "lat_total_p99": None, "lat_total_avg": None,
