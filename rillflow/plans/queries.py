@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AGGREGATES, PROFILES, WINDOWS, PipelineConfig
@@ -625,7 +625,7 @@ def _users(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), high.alias("hi"), (last * 7 + 1).alias("ms"), (last % 977 + 1).alias("dur"))
 
 
-def _jobs(s: SparkSession, d: str, users: DataFrame | None = None) -> DataFrame:
+def _jobs(s: SparkSession, d: str, users: DataFrame | None = None, name: Column | None = None) -> DataFrame:
     def vertex(name: str, came, went):
         metrics = F.struct(came.alias("read-records"), went.alias("write-records"), F.col("ms").alias("accumulated-backpressured-time"), F.col("hi").alias("accumulated-idle-time"))
         return F.struct(F.lit(name).alias("name"), F.lit(4).alias("parallelism"), metrics.alias("metrics"))
@@ -637,7 +637,7 @@ def _jobs(s: SparkSession, d: str, users: DataFrame | None = None) -> DataFrame:
     )
     ms = F.col("ms")
     times = ms.alias("start-time"), (ms * 2).alias("end-time"), F.col("dur").alias("duration")
-    record = F.struct(F.col("user_id").cast("string").alias("jid"), F.lit("job").alias("name"), F.lit("FINISHED").alias("state"), *times, parts.alias("vertices"))
+    record = F.struct(F.col("user_id").cast("string").alias("jid"), (F.lit("job") if name is None else name).alias("name"), F.lit("FINISHED").alias("state"), *times, parts.alias("vertices"))
     return (users or _users(s, d)).select(F.from_json(F.to_json(record), artifacts.JOB).alias("j")).select("j.*")
 
 
@@ -867,20 +867,21 @@ runs AS (
   FROM l GROUP BY ALL)"""
 
 
-def _runs(s: SparkSession, d: str) -> DataFrame:
+def _runs(s: SparkSession, d: str, late: bool = False) -> DataFrame:
+    """A row per strategy and distribution; late: with percentiles."""
     strategy, ms = F.concat(F.lit("s"), (F.col("auction_id") % 5).cast("string")), F.round(F.col("price") * 100).cast("bigint")
     rows = _bids(s, d).select(strategy.alias("strategy"), F.col("event_type").alias("distribution"), ms.alias("ms"), "price", "event_id").withColumn("run", F.concat_ws("/", "strategy", "distribution"))
     share = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 2)
     counts = rows.groupBy("run", "strategy", "distribution").agg(
         F.count("*").alias("throughput"), F.max("event_id").alias("seq"), share(F.col("price") > 100).alias("drop_pct"), share(F.col("ms") > 15000).alias("stale_pct")
     )
-    return counts.join(latency.percentiles(rows, "run", "ms").select("run", "p95", "p99"), "run").drop("run")
+    return (counts.join(latency.percentiles(rows, "run", "ms").select("run", "p95", "p99"), "run") if late else counts).drop("run")
 
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 for _name, _column in (("pivot_throughput", "throughput"), ("pivot_drop", "drop_pct"), ("pivot_p95", "p95"), ("pivot_p99", "p99")):
     _cells = ", ".join(f"max({_column}) FILTER (distribution = '{t}') AS \"{t}\"" for t in EVENT_TYPES)
-    query(_name, f"SELECT strategy, {_cells} FROM runs GROUP BY 1", RUNS)(lambda s, d, c=_column: compare.matrix(_runs(s, d), c, list(EVENT_TYPES)))
+    query(_name, f"SELECT strategy, {_cells} FROM runs GROUP BY 1", RUNS)(lambda s, d, c=_column: compare.matrix(_runs(s, d, c in ("p95", "p99")), c, list(EVENT_TYPES)))
 WANTED = ["s0", "s1", "s2", "s9"]
 COMPARED = """
   SELECT w.strategy, r.throughput, CASE WHEN r.throughput IS NULL THEN 'FAILED' ELSE 'FINISHED' END AS state
@@ -921,7 +922,7 @@ query(
     RUNS,
 )(
     lambda s, d: compare.consolidate(
-        {"old": _runs(s, d).select("strategy", "distribution", "throughput", "p95"), "new": _runs(s, d).select("strategy", "distribution", "throughput", "p99")},
+        {"old": _runs(s, d, True).select("strategy", "distribution", "throughput", "p95"), "new": _runs(s, d, True).select("strategy", "distribution", "throughput", "p99")},
     )
 )
 

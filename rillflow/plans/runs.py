@@ -49,9 +49,9 @@ FROM r"""
 @query("metrics_row", METRICS_SQL, "")
 def metrics_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = stored(_users(spark, sf_dir))
-    made = _jobs(spark, sf_dir, users).withColumn("user_id", F.col("jid").cast("long")).join(users.select("user_id", "n", "hi"), "user_id")
     name = _text(f"{NAME_HEAD}[rate=", F.col("n"), "k,par=", F.col("hi"), ",win=TUM-10s", F.when(F.col("user_id") % 2 == 0, ",cpu=500,dist=STEP").otherwise(""), "]")
-    own = made.withColumn("name", name).withColumn("run", _run()).withColumn("workload", _text("w", F.col("user_id") % 3)).withColumn("strategy", _text("s", F.col("user_id")))
+    made = _jobs(spark, sf_dir, users, name).withColumn("user_id", F.col("jid").cast("long"))
+    own = made.withColumns({"run": _run(), "workload": _text("w", F.col("user_id") % 3), "strategy": _text("s", F.col("user_id"))})
     thousands = lambda c: F.format_number(c * 1000, 0)
     source = _lines(
         users.where("user_id % 4 <> 0"), _text("[Source-1] t=10s target=1k/s gen=", thousands(F.col("n"))),
