@@ -6,8 +6,9 @@
    label and cells, and the sorted sequence is cut into blocks of BLOCK points, each with the box of its projections.
 3. Intervals of blocks make a tree of FAN branches. Pairs of intervals are split level by level, and a pair whose boxes
    are more than eps apart in the projected space is dropped with all below it: no pair of it can link.
-4. Pairs of blocks that are left are compared by a matrix product in double precision. What leaves a task is the number
-   of links of each point and a spanning forest of the links, not the links themselves.
+4. Pairs of blocks that are left are put into tiles, so that a block travels once a tile, and are compared by a matrix product in
+   double precision. What leaves a task is the number of links of each point and a spanning forest of the links, not the
+   links themselves.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .common import components, cut, join_groups
 
-BLOCK, FAN, DIRECTIONS, SAMPLE = 256, 16, 6, 4000
+BLOCK, FAN, DIRECTIONS, SAMPLE, TILE = 256, 16, 6, 4000, 8
 
 
 def _can_link():
@@ -143,42 +144,45 @@ def forest(hit):
     return np.concatenate(edges)
 
 
-def block_links(pairs: DataFrame, filled: DataFrame, least: float) -> DataFrame:
+def block_links(pairs: DataFrame, filled: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """kind 0: id a has `n` links to others, counted with weights; kind 1: a and b are linked. a and b are numbers of points.
 
-    filled: label, size, block, ids, weights, units. Each pair of blocks is a task's work of its own.
+    filled: label, size, block, ids, weights, units. The square of pairs is cut into tiles of `tile` blocks by `tile`: a block travels
+    once for each tile that it has a pair in, and a task's group is one tile, so 2 * tile blocks at most.
     """
     own = ["label", "size"]
+    tiles = [F.floor(F.col(c) / tile).cast("long").alias(f"t{c}") for c in ("x", "y")]
+    sides = pairs.select(*own, *tiles, F.explode(F.array("x", "y")).alias("block")).distinct()
+    blocks = sides.join(filled.select(*own, "block", "ids", "weights", "units"), [*own, "block"])
+    asked = pairs.select(F.col("label").alias("_label"), F.col("size").alias("_size"), *(t.alias(f"_{c}") for t, c in zip(tiles, "xy", strict=True)), "x", "y")
 
-    def run(batches: Iterator) -> Iterator:
+    def run(key, table, wanted):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for r in batch.to_pylist():
-                x = np.frombuffer(b"".join(r["xunits"]), "<f8").reshape(-1, r["size"])
-                y = np.frombuffer(b"".join(r["yunits"]), "<f8").reshape(-1, r["size"])
-                xi, yi, xw, yw = (np.array(r[c]) for c in ("xids", "yids", "xweights", "yweights"))
-                hit = x @ y.T >= least
-                same = r["x"] == r["y"]
-                if same:
-                    np.fill_diagonal(hit, False)
-                links = forest(hit if same else np.block([[np.zeros((len(x), len(x)), bool), hit], [hit.T, np.zeros((len(y), len(y)), bool)]]))
-                names = xi if same else np.concatenate([xi, yi])
-                counts = [(xi, hit @ yw)] + ([] if same else [(yi, hit.T @ xw)])
-                for ids, n in counts:
-                    some = np.flatnonzero(n)
-                    for c, v in zip(out, (np.zeros(len(some), int), ids[some], ids[some], n[some]), strict=True):
-                        c.append(v)
-                for c, v in zip(out, (np.ones(len(links), int), names[links[:, 0]], names[links[:, 1]], np.zeros(len(links), int)), strict=True):
+        held, out = {}, [[np.empty(0, np.int64)] for _ in range(4)]
+        for k in range(table.num_rows):
+            r = table.slice(k, 1).to_pylist()[0]
+            held[r["block"]] = np.frombuffer(b"".join(r["units"]), "<f8").reshape(-1, key[1].as_py()), np.array(r["ids"]), np.array(r["weights"])
+        for a, b in zip(wanted.column("x").to_pylist(), wanted.column("y").to_pylist(), strict=True):
+            (x, xi, xw), (y, yi, yw) = held[a], held[b]
+            hit = x @ y.T >= least
+            same = a == b
+            if same:
+                np.fill_diagonal(hit, False)
+            links = forest(hit if same else np.block([[np.zeros((len(x), len(x)), bool), hit], [hit.T, np.zeros((len(y), len(y)), bool)]]))
+            names = xi if same else np.concatenate([xi, yi])
+            counts = [(xi, hit @ yw)] + ([] if same else [(yi, hit.T @ xw)])
+            for ids, n in counts:
+                some = np.flatnonzero(n)
+                for c, v in zip(out, (np.zeros(len(some), int), ids[some], ids[some], n[some]), strict=True):
                     c.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["kind", "a", "b", "n"])
+            for c, v in zip(out, (np.ones(len(links), int), names[links[:, 0]], names[links[:, 1]], np.zeros(len(links), int)), strict=True):
+                c.append(v)
+        return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["kind", "a", "b", "n"])
 
-    sides = [filled.select(*own, F.col("block").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("ids", "weights", "units"))) for s in ("x", "y")]
-    met = pairs.join(sides[0], [*own, "x"]).join(sides[1], [*own, "y"])
-    return met.select("size", "x", "y", "xids", "xweights", "xunits", "yids", "yweights", "yunits").mapInArrow(run, "kind long, a long, b long, n long")
+    by = [*own, "tx", "ty"]
+    return blocks.groupBy(*by).cogroup(asked.groupBy("_label", "_size", "_x", "_y")).applyInArrow(run, "kind long, a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, block: int = BLOCK) -> DataFrame:
