@@ -23,8 +23,10 @@ def sketched(rows: DataFrame, by: list[Column | str], value: str, k: int = K) ->
 
 
 def percentiles(sketch: Column | str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> list[Column]:
-    """p50, p95, p99 of a sketch."""
-    return [F.kll_sketch_get_quantile_bigint(sketch, F.lit(p)).alias(f"p{round(p * 100)}") for p in shares]
+    """p50, p95, p99 of a sketch, by the rule of exact percentiles: sorted[min(n - 1, int(n * p))]. They are that value as long as the
+    sketch holds all values."""
+    # the sketch takes the first value with a rank of p or more, and the rule the next one where n * p is whole
+    return [F.kll_sketch_get_quantile_bigint(sketch, F.lit(p + 1e-7)).alias(f"p{round(p * 100)}") for p in shares]
 
 
 def merged(rows: DataFrame, by: list[str]) -> DataFrame:

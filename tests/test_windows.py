@@ -96,10 +96,10 @@ def test_snapshots_are_within_their_rank_error(spark):
             low, high = sum(v < value for v in known) / n, sum(v <= value for v in known) / n
             assert low - 2 * sketches.ERROR <= p <= high + 2 * sketches.ERROR, (r, p)
             if n < 3:
-                assert value in known
+                assert value == known[min(n - 1, int(n * p))]
     # sketches of parts and of all tell the same within the error
     parts = sketches.sketched(df, ["g", F.col("ms") % 3], "ms").drop("(ms % 3)")
-    whole = {r.g: r for r in sketches.merged(parts, ["g"]).select("g", "n_rows", *sketches.percentiles("sketch", (0.25,))).collect()}
+    whole = {r.g: r for r in sketches.merged(parts, ["g"]).select("g", "n_rows", *sketches.percentiles("sketch", shares=(0.25,))).collect()}
     known = sorted(ms for g, _, ms in rows if g == "b")
     assert whole["b"].n_rows == 40_000 and abs(sum(v <= whole["b"].p25 for v in known) / 40_000 - 0.25) < 2 * sketches.ERROR + 0.001
     assert sketches.snapshots(df.limit(0), "10 seconds", "g", "ms").count() == 0
