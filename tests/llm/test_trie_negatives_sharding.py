@@ -220,6 +220,6 @@ def test_all_orders_are_as_likely(spark, tmp_path):
     """Four rows, in two parts, over two shards of two: each of the 24 orders comes up about as often."""
     spark.range(4).coalesce(1).write.parquet(str(tmp_path / "in"))
     stored, seen = spark.read.parquet(str(tmp_path / "in")), Counter()
-    for seed in range(60):
+    for seed in range(40):
         seen[tuple(r.row.id for r in sorted(sharding.shuffle(stored, 2, seed=seed, part=2, cell=1).collect(), key=lambda r: (r["shard"], r.slot)))] += 1
-    assert len(seen) >= 17 and max(seen.values()) <= 11
+    assert len(seen) >= 14 and max(seen.values()) <= 9
