@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, stored
+
 #: Rows of text that a Python task turns into output at a time are cut at this many bytes.
 CHUNK_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, which executors and driver share.
-
-    Where the setting is missing, only a local session gets a folder of this machine; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder, so that later reads don't depend on executors or on its plan.
 
     A table and not checkpoint(): a checkpoint keeps its plan's estimate of size, which is a product over joins and
-    grows in a loop without end, while a table has a true size for Spark to plan with. The tables stay as long as
-    results that read them; the folder is scratch space and is emptied as checkpoints are.
+    grows in a loop without end, while a table has a true size for Spark to plan with. A table stays until drop() or as
+    long as the folder, which is scratch space and is emptied as checkpoints are.
     """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -86,9 +69,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         took = graph.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to"))
         twice = took.select(F.col("x").alias("to"), F.col("to").alias("far"))
         jumps.append(cut(took.join(twice, "to").select("x", "far")))
-        graph = graph.join(jumps[-1], "x").select(F.col("far").alias("fx"), "y").join(jumps[-1].toDF("y", "fy"), "y")
-        graph = cut(graph.where("fx <> fy").select(F.col("fx").alias("x"), F.col("fy").alias("y")).distinct())
+        moved = graph.join(jumps[-1], "x").select(F.col("far").alias("fx"), "y").join(jumps[-1].toDF("y", "fy"), "y")
+        smaller = cut(moved.where("fx <> fy").select(F.col("fx").alias("x"), F.col("fy").alias("y")).distinct())
+        drop(graph)
+        graph = smaller
     for k, jump in enumerate(jumps):  # the first names every id
         moved = labels.join(jump.toDF("component", "far"), "component", "left").select("id", F.coalesce("far", "component").alias("component"))
         labels = moved if k else jump.toDF("id", "component")
-    return cut(labels) if jumps else labels
+    if not jumps:
+        return labels
+    named = cut(labels)
+    drop(graph, *jumps)
+    return named

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_groups
+from .common import cut, drop, join_groups
 
 MIN_LINES, MIN_WORDS = 4, 50
 # words are runs of anything but these
@@ -59,7 +59,9 @@ def numbered_lines(keyed: DataFrame, min_lines: int, min_words: int) -> DataFram
     raw = cut(keyed.select("doc_id", "_doc", F.inline(rows)))
     # a document is in one range, so the numbers of its lines follow each other
     ordered = raw.repartitionByRange("doc_id", "_doc").distinct().sortWithinPartitions("doc_id", "_doc", "at")
-    return cut(ordered.withColumn("pos", F.monotonically_increasing_id()))
+    numbered = cut(ordered.withColumn("pos", F.monotonically_increasing_id()))
+    drop(raw)
+    return numbered
 
 
 def _ranked(groups: DataFrame, *by: str) -> DataFrame:
@@ -86,16 +88,18 @@ def suffix_levels(numbered: DataFrame) -> list[DataFrame]:
         pairs = own.join(ahead, ["pos", "start"]).select("pos", "start", "least", F.col("rank").alias("own"), "next")
         tied = pairs.groupBy("own", "next").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1")
         levels.append(cut(pairs.join(_ranked(tied, "own", "next"), ["own", "next"]).select("pos", "start", "least", "rank", "first")))
-    return levels[:-1]
+    drop(levels.pop())
+    return levels
 
 
-def longest_previous(levels: list[DataFrame]) -> DataFrame | None:
+def longest_previous(levels: list[DataFrame]) -> tuple[DataFrame | None, list[DataFrame]]:
     """pos, start, least, width, first: the longest copy of what begins at pos that ends before it or is in an earlier document.
 
     None without any repeat. A row of `rows` is a suffix in the interval of `width` whose first place is `first`; asks says
-    that it looks for its own copy, the others are there to be found.
+    that it looks for its own copy, the others are there to be found. Levels above the second are dropped on the way; the other tables that the
+    result reads are the second value.
     """
-    rows = None
+    rows, spent = None, []
     for k in range(len(levels) - 1, -1, -1):
         width = 1 << k
         mine = levels[k]
@@ -116,8 +120,10 @@ def longest_previous(levels: list[DataFrame]) -> DataFrame | None:
         inside = F.struct((F.col("width") + step).alias("width"), F.col("_part").alias("first"), moves.alias("asks"))
         stays = F.struct("width", "first", "asks")
         both = F.array(F.when(F.col("_asked"), inside), F.when(~moves & (F.col("asks") | F.col("_part").isNull() | (F.col("pos") == F.col("_part"))), stays))
-        rows = cut(split.select("pos", "start", "least", F.inline(F.array_compact(both))))
-    return None if rows is None else rows.where("asks").select("pos", "start", "least", "width", "first")
+        finer = cut(split.select("pos", "start", "least", F.inline(F.array_compact(both))))
+        drop(*spent, *levels[k + 1 : k + 2])
+        rows, spent = finer, [finer]
+    return (None if rows is None else rows.where("asks").select("pos", "start", "least", "width", "first")), [*spent, *levels[:2]]
 
 
 def maximal_runs(keyed: DataFrame, min_lines: int, min_words: int) -> DataFrame:
@@ -126,17 +132,19 @@ def maximal_runs(keyed: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     at and lines are in lines with words; first_line is the first copy's line in the text of first_doc.
     """
     numbered = numbered_lines(keyed, min_lines, min_words)
-    found = longest_previous(suffix_levels(numbered))
+    found, spent = longest_previous(suffix_levels(numbered))
     if found is None:
         return numbered.where("false").select("_doc", "at", F.lit(0).alias("lines"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"))
     end = F.col("pos") + F.col("width")
     before = F.lag(end).over(Window.partitionBy("start").orderBy("pos"))
     runs = found.where("width >= least").withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < end))
     runs = cut(runs.select("pos", "first", F.col("width").alias("lines")))
+    drop(*spent)
     named = runs.join(numbered.select("pos", "_doc", "at"), "pos")
-    return named.join(numbered.select(F.col("pos").alias("first"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")), "first").select(
-        "_doc", "at", "lines", "first_doc", "first_line"
-    )
+    named = named.join(numbered.select(F.col("pos").alias("first"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")), "first")
+    named = cut(named.select("_doc", "at", "lines", "first_doc", "first_line"))
+    drop(numbered, runs)
+    return named
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:

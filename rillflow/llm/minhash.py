@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, join_groups
+from .common import chunks, components, cut, drop, join_groups
 from .shingles import MinHash, mix, set_key, shingle_sets
 
 BATCH, MISS = 24, 1e-7
@@ -123,7 +123,9 @@ def exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, per
     sets = full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), docs, classes, words)
     met = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     both = F.size(F.array_intersect("xa", "xb"))
-    return met.where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
+    found = cut(met.where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b"))
+    drop(sets)
+    return found
 
 
 def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFrame, words: int, size: int, bands: int, percent: int, miss: float) -> DataFrame:
@@ -177,12 +179,17 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
     others = F.when(fits, 1).otherwise(blocks(F.col("_n") - F.col("_main.n"), F.col("_s") - F.col("_main.s")))
     mixed = sums.where("_of > 1").select("band", "key", F.col("_main.component").alias("_largest"), main.alias("_main"), others.alias("_others"))
     own = cut(join_groups(own, mixed, ["band", "key"], F.xxhash64("class")))
-    sets = full_sets(own.select("class").distinct(), docs, classes, words).select("class", F.array_sort("shingles").alias("shingles"))
+    met = own
+    sets = full_sets(own.select("class").distinct(), docs, classes, words)
     draw, largest = F.xxhash64("class"), (F.col("component") == F.col("_largest")) & (F.col("_main") > 0)
     own = own.withColumn("_block", F.when(largest, F.col("_others") + F.pmod(draw, F.col("_main"))).otherwise(F.pmod(draw, F.col("_others"))))
     own = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_others") - 1 + F.when(largest, 0).otherwise(F.col("_main")))))
-    own = own.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o")).join(classes.select("class", "sketch", "bands").join(sets, "class"), "class")
-    return own.select("band", "key", "_i", "_j", "_block", "class", "component", "sketch", "bands", "shingles").groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary")
+    own = own.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o"))
+    own = own.join(classes.select("class", "sketch", "bands").join(sets.select("class", F.array_sort("shingles").alias("shingles")), "class"), "class")
+    own = own.select("band", "key", "_i", "_j", "_block", "class", "component", "sketch", "bands", "shingles")
+    found = cut(own.groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary"))
+    drop(met, sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, miss: float = MISS, key: str | None = None) -> DataFrame:
@@ -206,9 +213,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     full = spread.groupBy("band", "key").agg(F.count("*").alias("_n"), F.min(draw)["leader"].alias("leader")).where("_n > 1")
     buckets = cut(join_groups(spread, full.drop("_n"), ["band", "key"], F.xxhash64("class")))
     pairs = buckets.where("leader <> class").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
-    links = cut(exact(cut(likely(pairs, classes, size, percent, miss)), docs, classes, words, percent))
+    candidates = cut(likely(pairs, classes, size, percent, miss))
+    links = exact(candidates, docs, classes, words, percent)
+    drop(candidates)
     labels = components(links)
-    more = cut(crossing(buckets.where("leader <> class").drop("leader"), docs, classes, labels, words, size, bands, percent, miss))
+    more = crossing(buckets.where("leader <> class").drop("leader"), docs, classes, labels, words, size, bands, percent, miss)
+    drop(buckets)
     named = classes.select("class", "first_id").join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     if more.limit(1).count():  # links between components: a graph of components alone
         of = named.select("class", "component")

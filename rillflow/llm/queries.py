@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, licenses, lines, media, minhash, negatives, packing, pieces, sharding, toxicity, trie, vectors, warc
-from .common import shared_folder, table
+from ..scratch import scratch
+from .common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +153,7 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark)
+    path = scratch(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.describe(warc.read_archive(spark, path))
 
