@@ -8,8 +8,9 @@
 4. Survivors are verified on their full sets, which are made again from the texts of candidates alone.
 5. Links give components. Buckets that still hold several components are compared in full across components, in square
    blocks, under 3 and 4; so no pair that shares a band is left out, and pairs inside a component cost nothing. Leaders
-   stay away, having met all members under 2. Sets travel with the members there, and a block returns the links that
-   join its components, never its pairs.
+   stay away, having met all members under 2. Blocks go through once with sketches, which leaves the members that a pair
+   survives for, and those go through again with their sets; a block returns the links that join its components, never
+   its pairs.
 
 At 0.85 a pair shares none of 24 bands of 6 with a chance of 1.2e-5; at 0.8 (5 words), none of 30 bands of 5 with 6e-6.
 """
@@ -139,25 +140,48 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
     """
     bounds = fewest_equal(size, BATCH, percent, miss)
 
-    def run(pdf):
+    def sides(pdf):
+        """The two sides of a group, the numbers of their components, and the places in two that may link with a place in one."""
         import numpy as np
-        import pandas as pd
 
         i, j, band = (int(pdf[c].iat[0]) for c in ("_i", "_j", "band"))
         one = pdf if i == j else pdf[pdf["_block"] == i]
         two = pdf if i == j else pdf[pdf["_block"] == j]
         x, y = (np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(-1, size) for p in (one, two))
-        bx, by_ = (np.array(p["bands"].tolist(), np.int64).reshape(-1, bands) for p in (one, two))
+        bx, by = (np.array(p["bands"].tolist(), np.int64).reshape(-1, bands) for p in (one, two))
         codes = {c: k for k, c in enumerate(dict.fromkeys([*one["component"], *two["component"]]))}
         cx, cy = (np.array([codes[c] for c in p["component"]], int) for p in (one, two))
-        ax, by, xs, ys, out = one["class"].to_numpy(), two["class"].to_numpy(), one["shingles"].to_numpy(), two["shingles"].to_numpy(), []
-        sizes = np.array([len(v) for v in ys], int)
-        for r in range(len(x)):
+
+        def partners(r):
             left = np.flatnonzero(cy != cx[r])
             left = left[left > r] if i == j else left
             for n, least in bounds:
                 left = left[(y[left, :n] == x[r, :n]).sum(1) >= least]
-            left = left[~(by_[left, :band] == bx[r, :band]).any(1)]
+            return left[~(by[left, :band] == bx[r, :band]).any(1)]
+
+        return i == j, one, two, cx, cy, partners
+
+    def possible(pdf):
+        import numpy as np
+        import pandas as pd
+
+        same, one, two, _, _, partners = sides(pdf)
+        hits, met = np.zeros(len(one), bool), np.zeros(len(two), bool)
+        for r in range(len(one)):
+            left = partners(r)
+            hits[r] |= len(left) > 0
+            met[left] = True
+        return one[hits | met] if same else pd.concat([one[hits], two[met]])
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        _, one, two, cx, cy, partners = sides(pdf)
+        ax, by, xs, ys, out = one["class"].to_numpy(), two["class"].to_numpy(), one["shingles"].to_numpy(), two["shingles"].to_numpy(), []
+        sizes = np.array([len(v) for v in ys], int)
+        for r in range(len(one)):
+            left = partners(r)
             if not len(left):
                 continue
             own, met = xs[r], np.concatenate(ys[left])  # sorted, without repeats
@@ -178,17 +202,19 @@ def crossing(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: Da
     main = F.when(fits, 0).otherwise(blocks(F.col("_main.n"), F.col("_main.s")))
     others = F.when(fits, 1).otherwise(blocks(F.col("_n") - F.col("_main.n"), F.col("_s") - F.col("_main.s")))
     mixed = sums.where("_of > 1").select("band", "key", F.col("_main.component").alias("_largest"), main.alias("_main"), others.alias("_others"))
-    own = cut(join_groups(own, mixed, ["band", "key"], F.xxhash64("class")))
-    met = own
-    sets = full_sets(own.select("class").distinct(), docs, classes, words)
+    own = join_groups(own, mixed, ["band", "key"], F.xxhash64("class"))
     draw, largest = F.xxhash64("class"), (F.col("component") == F.col("_largest")) & (F.col("_main") > 0)
     own = own.withColumn("_block", F.when(largest, F.col("_others") + F.pmod(draw, F.col("_main"))).otherwise(F.pmod(draw, F.col("_others"))))
     own = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_others") - 1 + F.when(largest, 0).otherwise(F.col("_main")))))
     own = own.withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o"))
-    own = own.join(classes.select("class", "sketch", "bands").join(sets.select("class", F.array_sort("shingles").alias("shingles")), "class"), "class")
-    own = own.select("band", "key", "_i", "_j", "_block", "class", "component", "sketch", "bands", "shingles")
-    found = cut(own.groupBy("band", "key", "_i", "_j").applyInPandas(run, "a binary, b binary"))
-    drop(met, sets)
+    own = own.join(classes.select("class", "sketch", "bands"), "class")
+    own = own.select("band", "key", "_i", "_j", "_block", "class", "component", "sketch", "bands")
+    by = ["band", "key", "_i", "_j"]
+    near = cut(own.groupBy(*by).applyInPandas(possible, own.schema))
+    sets = full_sets(near.select("class").distinct(), docs, classes, words)
+    whole = near.join(sets.select("class", F.array_sort("shingles").alias("shingles")), "class")
+    found = cut(whole.groupBy(*by).applyInPandas(run, "a binary, b binary"))
+    drop(near, sets)
     return found
 
 
