@@ -82,7 +82,7 @@ def ucb_scores(selections: DataFrame, least: int = 2) -> DataFrame:
 
     run, seq, node, chosen, tried, bound, phase: a row per step and arm of the run. bound is the mean reward so far and
     sqrt(2) * sqrt(ln(N + 1) / n), for an arm not tried yet the largest double. The phase is EXPLORATION as long as an
-    arm has fewer than `least` selections. Rewards are summed to 8 decimals; a null run is a run like any other, a step without a
+    arm has fewer than `least` selections before the step; rows that share run and seq are one step, and have one phase. Rewards are summed to 8 decimals; a null run is a run like any other, a step without a
     node chooses no arm. A run has few arms: all of them are summed up side by side in one pass over the steps, and a step is
     spread to its arms afterwards.
     """
@@ -94,9 +94,10 @@ def ucb_scores(selections: DataFrame, least: int = 2) -> DataFrame:
     )
     own = lambda k: F.coalesce(F.col("_own") == k, F.lit(False))
     sums = {f"_n{k}": own(k).cast("long") for k in range(most)} | {f"_r{k}": F.when(own(k), F.col("_reward")).otherwise(F.lit(0).cast("decimal(20,8)")) for k in range(most)}
-    seen = running(rows, ["run"], "seq", sums | {"_steps": F.lit(1)})
+    seen = running(rows, ["run"], "seq", sums | {"_steps": F.lit(1)}, tied=tuple(f"_n{k}" for k in range(most)))
+    before = F.array(*(f"_n{k}_tied" for k in range(most)))
     tried, total = F.array(*(f"_n{k}" for k in range(most))), F.array(*(F.col(f"_r{k}").cast("double") for k in range(most)))
-    few = F.array_min(F.slice(tried, 1, F.size("_arms"))) < least
+    few = F.array_min(F.slice(before, 1, F.size("_arms"))) < least
     each = seen.select("run", "seq", "_own", "_steps", tried.alias("_n"), total.alias("_r"), few.alias("_few"), F.posexplode("_arms").alias("_k", "node"))
     n, mean = F.get("_n", F.col("_k")), F.get("_r", F.col("_k")) / F.get("_n", F.col("_k"))
     bound = F.round(mean + F.sqrt(F.lit(2.0)) * F.sqrt(F.log((F.col("_steps") + 1).cast("double")) / n), 6)

@@ -28,10 +28,12 @@ def dealt(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return stored(rows.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
 
 
-def running(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column], tied: tuple[str, ...] = ()) -> DataFrame:
     """rows with a column for each of sums: its total over the group's rows before this one, 0 for the first.
 
-    order must differ within a group. Sums of doubles depend on the partitions in their last digits; give decimals.
+    Rows with the same order come in any sequence. Names of sums in tied, of values of 0 or more, have a column name_tied as well: the
+    total before all rows with the same order, which are in one task. Sums of doubles depend on the partitions in their last
+    digits; give decimals.
     """
     placed = dealt(rows, by, order)
     parts = placed.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
@@ -39,7 +41,10 @@ def running(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column])
     parts = parts.select(*by, "_part", *(F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums))
     inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     own = placed.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()))
-    return _met(own, parts, by).select(*rows.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
+    # equal orders are in one range, and rows lie sorted for this window already
+    own = own.withColumns({f"{n}_tied": F.min(n).over(Window.partitionBy(*by, "_part", order)) for n in tied})
+    totals = [(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums] + [(F.col(f"{n}_tied") + F.col(f"_{n}")).alias(f"{n}_tied") for n in tied]
+    return _met(own, parts, by).select(*rows.columns, *totals)
 
 
 def previous(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:

@@ -55,6 +55,15 @@ def test_every_arm_is_scored_at_every_step(spark):
         tried[run, node] = tried.get((run, node), 0) + 1
 
 
+def test_rows_of_one_step_share_its_phase(spark):
+    """Three rows a step: the first steps choose arm 0, the next arm 1; the phase is that of the selections before the step."""
+    rows = [(run, seq, node, 0.5) for run in ("a", None) for seq, node in enumerate((0, 1, 0, 1)) for _ in range(3)]
+    got = decisions.ucb_scores(spark.createDataFrame(rows, "run string, seq long, node int, reward double").repartition(5)).collect()
+    assert {(r.run, r.seq): r.phase for r in got} == {(run, seq): "EXPLORATION" if seq < 2 else "EXPLOITATION" for run in ("a", None) for seq in range(4)}
+    assert len({(r.run, r.seq, r.phase) for r in got}) == 8
+    assert sorted(r.tried for r in got if r.run == "a" and r.node == 0 and r.chosen) == [0, 1, 2, 3, 4, 5]
+
+
 def test_cooldown_against_a_loop(spark):
     rows = [(run, s, T0 + dt.timedelta(seconds=random.Random(s).randrange(3000)), cpu) for run, s, _, cpu in steps() if run]
     got = {(r.run, r.seq): (r.from_regime, r.to_regime) for r in decisions.regime_cooldown(spark.createDataFrame(rows, "run string, seq long, ts timestamp_ntz, cpu double"), 300).collect()}
