@@ -81,6 +81,26 @@ def test_percentiles_of_one_group_of_distinct_values(spark):
     assert latency.percentiles(rows.limit(0), "g", "ms").count() == 0
 
 
+def test_snapshots_of_many_values_are_exact(spark, tmp_path):
+    """More distinct values than a sketch of 4,096 holds, days without rows of a group, values below 0, rows without a type."""
+    draw = random.Random(6)
+    rows = [(i, T0 + dt.timedelta(days=draw.choice((0, 1, 2, 4))), 1, draw.choice(("a", "a", "a", "b")), draw.randrange(-1000, 40_000) / 100) for i in range(9000)]
+    rows += [(9000, T0, 1, None, 1.0), (9001, T0 + dt.timedelta(days=3), 1, "few", 5.0), (9002, T0 + dt.timedelta(days=9), 1, "few", 3.0)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    df.withColumn("props", F.lit("")).write.parquet(str(tmp_path / "events.parquet"))
+    queries = pytest.importorskip("rillflow.plans.catalogue").QUERIES
+    got = queries["latency_snapshots_p"](spark, str(tmp_path)).collect()
+    assert len(got) == 10
+    for r in got:
+        known = sorted(round(v * 100) for _, ts, _, g, v in rows if g == r.event_type and ts < r.snapshot_at)
+        assert (r.n_rows, r.min_ms, r.max_ms, r.sum_ms, r.avg_ms) == (len(known), known[0], known[-1], sum(known), sum(known) / len(known))
+        assert [r.p50, r.p95, r.p99] == [known[min(len(known) - 1, int(len(known) * p))] for p in (0.5, 0.95, 0.99)]
+    unnamed = latency.snapshot_percentiles(df.select("event_type", "ts", F.col("event_id").alias("ms")), "1 day", "event_type", "ms")
+    assert unnamed.where("event_type is null").select("n_rows", "p50").collect() == [(1, 9000)]
+    assert latency.snapshot_percentiles(df.limit(0).withColumn("ms", F.lit(1)), "1 day", "event_type", "ms").count() == 0
+
+
 def test_snapshots_are_within_their_rank_error(spark):
     draw = random.Random(5)
     rows = [(g, T0 + dt.timedelta(seconds=draw.randrange(60)), int(draw.lognormvariate(6, 2))) for g in ("a", "b") for _ in range(40_000)]
