@@ -9,6 +9,8 @@ from ..scratch import drop, stored
 
 #: Rows of text that a Python task turns into output at a time are cut at this many bytes.
 CHUNK_BYTES = 4 << 20
+#: Rows of 64 bits each that the filter of parted() has at most.
+FILTER_WORDS = 1 << 18
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,6 +41,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], draw: Column,
     return rows.withColumn("_salt", F.pmod(draw, F.lit(2)).cast("int")).join(salted, [*by, "_salt"], how).drop("_salt")
 
 
+def parted(rows: DataFrame, keys: DataFrame, key: str, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be one of keys, and rows whose key is none of them or null: told apart without a shuffle of rows.
+
+    Each key sets one of 64 * words bits by its hash; the words that have a bit are broadcast, a few MB at most however many keys
+    there are. The more bits are set, the more of the other rows come in the first part; a row with a key of keys always does.
+    """
+    digest = F.xxhash64(key)
+    word, bit = F.pmod(F.shiftright(digest, 6), F.lit(words)), digest.bitwiseAND(F.lit(63)).cast("int")
+    bits = keys.where(F.col(key).isNotNull()).select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bits"))
+    met = rows.join(F.broadcast(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))), word == F.col("_word"), "left")
+    may = F.coalesce(F.getbit("_bits", bit), F.lit(0)) == 1
+    return met.where(may).drop("_word", "_bits"), met.where(~may).drop("_word", "_bits")
+
+
 def chunks(batches, column: str, most: int = CHUNK_BYTES):
     """Slices of Arrow batches whose strings in column take about most bytes at once; a longer single row comes alone."""
     import numpy as np

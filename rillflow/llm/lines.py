@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, drop, join_groups
+from .common import cut, drop, join_groups, parted
 
 MIN_LINES, MIN_WORDS = 4, 50
 # words are runs of anything but these
@@ -157,12 +157,14 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     (with words), first_doc and first_line, where the first copy begins.
     Null text counts as empty and stays null. Rows that repeat doc_id and text are one document and get the same
     result. Other columns, whatever their names, are in row alone. A text of any length is split into rows of lines; only
-    its kept_text is put together by one task.
+    its kept_text is put together by one task. Texts are shuffled only if they have runs, or share a bit of a filter with one that has.
     """
     keyed = _keyed(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")))
     runs = maximal_runs(keyed.drop("row"), min_lines, min_words)
     by_doc = runs.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("at", "lines", "first_doc", "first_line"))).alias("_runs"))
-    met = keyed.join(by_doc, "_doc", "left")
+    # texts without runs stay where they are
+    may, without = parted(keyed, runs, "_doc")
+    met = may.join(by_doc, "_doc", "left").unionByName(without, allowMissingColumns=True)
     lines = F.split("text", "\n", -1)
     worded = F.filter(F.transform(lines, lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
     line = lambda at: F.get(F.col("_worded"), at)

@@ -1,12 +1,13 @@
 """Operators drop the tables that they made on the way, and their results don't read them."""
 
 import os
+import random
 
 import pytest
 
 pytest.importorskip("rillflow.llm")
 from rillflow.llm import lines, minhash  # noqa: E402
-from rillflow.llm.common import components  # noqa: E402
+from rillflow.llm.common import components, parted  # noqa: E402
 
 
 def _tables(spark):
@@ -30,6 +31,41 @@ def test_line_dedup_keeps_its_runs_alone(spark):
     assert sum("a run" in (text or "") for _, text in once) == 1
 
 
+def _shuffled(spark):
+    """Bytes of all shuffles so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    doubles, none = context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, doubles, none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_runs_are_not_shuffled(spark, tmp_path):
+    draw = random.Random(8)
+    alone = [(1000 + i, "\n".join(draw.randbytes(400).hex() for _ in range(20))) for i in range(300)]
+    spark.createDataFrame(_texts() + alone, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        found = {r.doc_id: r.kept_text for r in lines.repeated_lines(docs).collect()}
+        sent = _shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert all(found[i] == text for i, text in alone) and len(found) == len(alone) + len(_texts())
+    assert sent < sum(len(text) for _, text in alone) / 5
+
+
+def test_a_full_filter_loses_no_key(spark):
+    rows = spark.createDataFrame([(i,) for i in range(2000)] + [(None,)], "key long")
+    keys = rows.where("key % 5 = 0 or key is null")
+    for words, most in ((1 << 18, 410), (4, 2000)):
+        may, without = (sorted(r.key if r.key is not None else -1 for r in part.collect()) for part in parted(rows, keys, "key", words))
+        assert set(range(0, 2000, 5)) <= set(may) and len(may) <= most + 1
+        assert sorted(may + without) == list(range(-1, 2000))
+
+
 def test_near_duplicates_can_be_read_again(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [(i, " ".join(words[:-1] + [f"z{i}"])) for i in range(30)] + [(50, "quite another text of few words"), (51, None)]
